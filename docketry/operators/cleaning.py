@@ -13,6 +13,7 @@ from docketry.functions import patent as P
 from docketry.functions import text as X
 from docketry.functions.text import any_contains, blank_to_null, col, strip_space, text_or_empty
 from docketry.lexicons import NOT_AVAILABLE, TECH, TechLexicon
+from docketry.session import cut_lineage
 from docketry.operators.scaling import (
     BROADCAST_ROWS, count_up_to, exact_quantiles, global_rank, neighbours, top_per_key,
 )
@@ -111,6 +112,7 @@ def sorted_codes(df: DataFrame, value: str) -> DataFrame:
 
 
 def _coded(values: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    values = cut_lineage(values)  # one row per distinct value; read again by every lookup
     if count_up_to(values, BROADCAST_ROWS) <= BROADCAST_ROWS:
         small = values.coalesce(1)  # row count checked above
         return small.withColumn("code", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
@@ -135,8 +137,9 @@ def processed_raw(df: DataFrame, row_no: str, text: str = "opinion_text",
     out = df.withColumns({c: F.lit(None).cast("string") for c in wanted})
     out = out.withColumns({c: F.date_format(to_day(c), "yyyy-MM-dd") for c in dates if c in out.columns})
     out = out.na.fill(NOT_AVAILABLE)
+    base = out
     for c in categories:
-        out = with_codes(out, c, first_appearance_codes(out, c, row_no), f"{c}_encoded")
+        out = with_codes(out, c, first_appearance_codes(base, c, row_no), f"{c}_encoded")
     count = F.coalesce(F.col("citation_count").cast("string").try_cast("double"), F.lit(0.0))
     out = out.withColumn("citation_count", count).withColumns(
         {"citation_count_log": F.log1p("citation_count"),
@@ -343,7 +346,7 @@ def derived_features(df: DataFrame, categories: Sequence[str] = ("court_id", "pr
         }
     )
     for c in categories:
-        out = with_codes(out, c, sorted_codes(out, c), f"{c}_encoded", missing=-1)
+        out = with_codes(out, c, sorted_codes(df, c), f"{c}_encoded", missing=-1)
     return out
 
 
