@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("cleaning", "text")
+FAMILIES = ("cleaning", "text", "aggregates")
 
 
 def load():
