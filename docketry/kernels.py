@@ -179,3 +179,30 @@ def similarity_task(block: dict, weights: tuple, threshold: float, schema: pa.Sc
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
+
+
+# --- synthetic minority rows ------------------------------------------------
+
+
+def interpolated(rows, neighbours: int, seed: int):
+    """New points between each row of a bounded group and one of its nearest rows.
+
+    ``rows`` has ``id``, ``vector`` and ``copies``; a row yields ``copies`` points.
+    """
+    import pandas as pd
+
+    rows = rows.sort_values("id")
+    points = np.array(rows["vector"].tolist(), float)
+    norms = (points ** 2).sum(axis=1)
+    gaps = norms[:, None] + norms[None, :] - 2.0 * points @ points.T
+    np.fill_diagonal(gaps, np.inf)
+    k = min(neighbours, len(points) - 1)
+    near = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+    ids, made = [], []
+    for i, (key, copies) in enumerate(zip(rows["id"], rows["copies"])):
+        random = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF])
+        for _ in range(int(copies)):
+            other = points[near[i, random.integers(k)]] if k else points[i]
+            made.append(points[i] + random.random() * (other - points[i]))
+            ids.append(key)
+    return pd.DataFrame({"id": ids, "vector": made})

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("cleaning", "text", "aggregates", "retrieval")
+FAMILIES = ("cleaning", "text", "aggregates", "retrieval", "learning")
 
 
 def load():
