@@ -24,23 +24,18 @@ def claim_numbers(value: str | Column) -> Column:
 
     A malformed range empties the whole list; a malformed single is skipped.
     """
-    parts = F.transform(F.split(text_or_empty(value), ","), strip_space)
-    range_form = r"^\s*(\d+)\s*-\s*(\d+)\s*$"
-    broken = F.exists(parts, lambda p: F.contains(p, F.lit("-")) & ~p.rlike(range_form))
+    empty = F.array().cast("array<int>")
 
     def expand(part: Column) -> Column:
-        low = F.regexp_extract(part, range_form, 1).try_cast("int")
-        high = F.regexp_extract(part, range_form, 2).try_cast("int")
-        single = F.regexp_extract(part, r"^\+?(\d+)$", 1).try_cast("int")
-        empty = F.array().cast("array<int>")
-        return (
-            F.when(low.isNotNull() & (low <= high), F.sequence(low, high))
-            .when(single.isNotNull(), F.array(single))
-            .otherwise(empty)
-        )
-
-    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, expand))))
-    return F.when(col(value).isNull() | broken, F.array().cast("array<int>")).otherwise(numbers)
+        ends = F.transform(F.split(part, "-"), lambda e: e.try_cast("int"))
+        low, high = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+        # A null list marks a malformed range, and makes the flattened list null.
+        spanned = F.when(F.size(ends) == 2, F.when(low <= high, F.sequence(low, high)).when(low > high, empty))
+        single = part.try_cast("int")
+        return F.when(F.contains(part, F.lit("-")), spanned).when(single.isNotNull(), F.array(single)).otherwise(empty)
+
+    parts = F.transform(F.split(text_or_empty(value), ","), expand)
+    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(parts))), empty)
 
 
 def rejection_types(value: str | Column, allow_space: bool = False) -> Column:

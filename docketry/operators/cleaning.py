@@ -139,15 +139,16 @@ def processed_raw(df: DataFrame, row_no: str, text: str = "opinion_text",
     out = out.na.fill(NOT_AVAILABLE)
     base = out
     for c in categories:
-        out = with_codes(out, c, first_appearance_codes(base, c, row_no), f"{c}_encoded")
+        if c in df.columns:
+            out = with_codes(out, c, first_appearance_codes(base, c, row_no), f"{c}_encoded")
+        else:  # a missing column holds one value only
+            out = out.withColumn(f"{c}_encoded", F.lit(0).cast("long"))
     count = F.coalesce(F.col("citation_count").cast("string").try_cast("double"), F.lit(0.0))
-    out = out.withColumn("citation_count", count).withColumns(
-        {"citation_count_log": F.log1p("citation_count"),
-         "tech_keyword_count": X.keyword_count(text, lexicon.primary)}
-    )
-    if not sort:
-        return out
-    return out.orderBy(F.desc("tech_relevance_score"), F.desc("citation_count"), F.asc(row_no))
+    out = out.withColumn("citation_count", count).withColumn("citation_count_log", F.log1p("citation_count"))
+    if sort:
+        out = out.orderBy(F.desc("tech_relevance_score"), F.desc("citation_count"), F.asc(row_no))
+    # After the sort, whose sampling pass would otherwise read every text too.
+    return out.withColumn("tech_keyword_count", X.keyword_count(text, lexicon.primary))
 
 
 TEXT_COLUMNS = ("full_text", "text_excerpt", "syllabus", "procedural_history")

@@ -124,8 +124,26 @@ VIEWS = {
 }
 
 
+# Unique columns of the tables whose rows are costly to process.
+_SPREAD_BY = {
+    "documents": ("doc_id",), "pages": ("page_id",),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+}
+
+
+def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Use all cores when a scan yields fewer tasks than the cluster has.
+
+    One small file is one task. A large table has many files and row groups and
+    is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _SPREAD_BY[name]) if name in _SPREAD_BY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
