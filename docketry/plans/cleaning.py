@@ -169,7 +169,8 @@ def snk2(t):
     path = files.write_by_relevance(
         t.cases.select("id", "tech_relevance_score", "court_id"), scratch_path(t.spark, "relevance")
     )
-    return t.spark.read.parquet(path).groupBy("high_relevance").agg(F.count("*").alias("rows"))
+    back = t.spark.read.parquet(path).withColumn("high_relevance", F.col("high_relevance").cast("boolean"))
+    return back.groupBy("high_relevance").agg(F.count("*").alias("rows"))
 
 
 @query("snk4_saved_tables", views=("office_actions",),

@@ -232,7 +232,18 @@ def txt16(t):
         "id", "time_period", "category", "f.text", "f.context")
 
 
-@query("txt17_key_points")
+_POINTS = " UNION ALL ".join(
+    f"SELECT id, '{kind}' AS type, unnest(regexp_extract_all(sentence, '(?i){p}', 1)) AS raw FROM u"
+    for kind, p in lexicons.KEY_POINT_PATTERNS.items()
+)
+
+
+@query(
+    "txt17_key_points",
+    views=("cases",),
+    sql=rf""", u AS (SELECT id, unnest({_sql_sentences("full_text")}) AS sentence FROM cases), f AS ({_POINTS}),
+      g AS (SELECT id, type, regexp_replace(raw, '^{WS}+|{WS}+$', '', 'g') AS text FROM f) SELECT id, type, text FROM g WHERE length(text) > 10""",
+)
 def txt17(t):
     points = t.cases.select("id", F.explode(X.key_points(X.sentences("full_text"))).alias("p"))
     return points.select("id", "p.type", "p.text")

