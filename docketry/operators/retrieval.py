@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as X
 from docketry.kernels import nearest_task
 from docketry.operators.scaling import broadcast_if_small, top_per_key
+from docketry.session import cut_lineage
 
 # Queries handled by one pass over the vectors. More queries take more passes.
 QUERY_BLOCK = 4096
@@ -30,11 +31,11 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", p
 _FOUND_SQL = "query_id long, id long, distance double"
 
 
-def blocks_of(queries: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+def blocks_of(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
     """Split queries by key hash into parts of about ``size`` rows, nothing left out."""
+    queries = cut_lineage(queries)
     parts = max(1, math.ceil(queries.count() / size))
-    for i in range(parts):
-        yield queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK,

@@ -32,8 +32,12 @@ def count_up_to(df: DataFrame, limit: int) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its counted rows are within ``limit``."""
-    return F.broadcast(df) if count_up_to(df, limit) <= limit else df
+    """Write a result once, and mark it for broadcast when its rows are within ``limit``.
+
+    Counting and joining both read the written table, so ``df`` is computed once.
+    """
+    written = cut_lineage(df)
+    return F.broadcast(written) if count_up_to(written, limit) <= limit else written
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],

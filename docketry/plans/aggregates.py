@@ -620,20 +620,17 @@ def fct6(t):
 @query(
     "fct6_sparse_regimes",
     views=("gappy_series",),
-    sql=""", gs AS (SELECT keyword, year, CASE WHEN length(keyword) % 4 = 1 THEN 0 ELSE count END AS count FROM gappy_series
-        WHERE length(keyword) % 4 = 1 OR year < 1999),
+    sql=""", gs AS (SELECT keyword, year, CASE WHEN keyword LIKE 'small %' THEN 0 ELSE count END AS count FROM gappy_series),
       sp AS (SELECT keyword, unnest(generate_series(min(year), max(year)))::INT AS year FROM gs GROUP BY keyword),
       z AS (SELECT sp.keyword, sp.year, coalesce(g.count, 0)::BIGINT AS count FROM sp LEFT JOIN gs g ON g.keyword = sp.keyword AND g.year = sp.year),
       f AS (SELECT keyword, sum(count) AS total, count(*) AS n, max(year) AS y, avg(count) AS m, avg(year) AS mid, coalesce(regr_slope(count, year), 0) AS b FROM z GROUP BY 1),
-      s AS (SELECT *, unnest(generate_series(1, 5)) AS i FROM f WHERE total = 0 OR n < 5)
+      s AS (SELECT *, unnest(generate_series(1, 5)) AS i FROM f WHERE total = 0 OR n < 8)
       SELECT keyword, (y + i)::INT AS year, CASE WHEN total = 0 THEN 'ramp' ELSE 'line' END AS regime,
         round(CASE WHEN total = 0 THEN i * 0.5::DOUBLE ELSE greatest(1.0::DOUBLE, m + b * (y + i - mid)) END, 6) AS value FROM s""",
 )
 def fct6s(t):
-    flat = F.length("keyword") % 4 == 1
-    series = t.gappy_series.where(flat | (F.col("year") < 1999)).withColumn(
-        "count", F.when(flat, F.lit(0).cast("long")).otherwise(F.col("count")))
-    return T.sparse_forecast(series).withColumn("value", F.round("value", 6))
+    none = F.when(F.col("keyword").startswith("small "), F.lit(0).cast("long")).otherwise(F.col("count"))
+    return T.sparse_forecast(t.gappy_series.withColumn("count", none), enough=8).withColumn("value", F.round("value", 6))
 
 
 @query(

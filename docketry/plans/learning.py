@@ -31,7 +31,7 @@ def issue_rows(t):
     return L.case_features(t.cases, "row_no", "full_text", "date_filed", cites(t))
 
 
-@query("ml1_feature_pipeline")
+@query("ml1_feature_vectors")
 def ml1(t):
     rows = issue_rows(t)
     model = L.fit_feature_pipeline(rows, 1000, 2.0, 2)

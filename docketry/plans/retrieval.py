@@ -10,7 +10,9 @@ from docketry.operators import retrieval as R
 from docketry.operators import strategy as S
 from docketry.operators.joins import enriched_cases
 from docketry.plans.aggregates import r6
+from docketry.operators.statistics import vector_statistics
 from docketry.plans.registry import query
+from docketry.session import cut_lineage
 
 # --- joins ------------------------------------------------------------------
 
@@ -34,9 +36,9 @@ def jn1(t):
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("docket_id"),
         F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("type"), F.lit("party").alias("role"),
     )
-    clusters = t.documents.where(F.col("doc_id") % 2 == 0).select(
+    clusters = t.documents.select(
         F.col("doc_id").cast("string").alias("id"),
-        F.concat(F.lit("Cluster "), "source").alias("precedential_status"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Cluster "), "source")).alias("precedential_status"),
         F.array("source").alias("citing"), F.array("lang").alias("cited_by"),
     )
     out = enriched_cases(cases, dockets, parties, clusters)
@@ -95,8 +97,6 @@ def query_profiles(t):
 
 
 def strategy_inputs(t):
-    from docketry.session import cut_lineage
-
     profiles = cut_lineage(case_profiles(t))
     return query_profiles(t), profiles, S.fit_case_terms(profiles, 2000, 2.0, 2)
 
@@ -231,8 +231,6 @@ def rnk1(t):
       round(list_avg(x), 6) AS query_mean FROM nn JOIN cases ON row_no = nn.id JOIN v ON v.vec_id = query_id WHERE rn <= 20""",
 )
 def rnk2(t):
-    from docketry.operators.statistics import vector_statistics
-
     found = R.nearest(vectors(t), vectors(t), 20)
     stats = vector_statistics(t.embeddings, "embedding").select(F.col("vec_id").alias("query_id"), F.col("mean").alias("query_mean"))
     names = t.cases.select(F.col("row_no").alias("id"), "case_name", "tech_keywords_found")

@@ -109,9 +109,11 @@ KEYWORD_SERIES = """
   GROUP BY p.p_name, year(o.o_orderdate)
 """
 
-# The same counts with gaps: years whose sum with the keyword length is a
-# multiple of three are left out.
-GAPPY_SERIES = "SELECT keyword, year, count FROM (" + KEYWORD_SERIES + ") s WHERE (year + length(keyword)) % 3 <> 0"
+# The keyword's busy years: counts at or above its mean, which leaves gaps.
+GAPPY_SERIES = (
+    "SELECT keyword, year, count FROM (SELECT s.*, avg(count) OVER (PARTITION BY keyword) AS mean FROM ("
+    + KEYWORD_SERIES + ") s) m WHERE count >= mean"
+)
 
 VIEWS = {
     "cases": CASES,
