@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from docketry import lexicons
 from docketry.functions.text import filed_year, sentences
 from docketry.operators.scaling import broadcast_if_small, global_rank
-from docketry.operators.statistics import split_bucket
 
 
 def append_batches(batches: Sequence[DataFrame]) -> DataFrame:

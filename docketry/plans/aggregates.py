@@ -3,15 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docketry import lexicons
-from docketry.functions import patent as P
 from docketry.functions import text as X
 from docketry.operators import cleaning as C
 from docketry.operators import office_actions as O
 from docketry.operators import sampling as S
 from docketry.operators import statistics as ST
 from docketry.operators import trends as T
-from docketry.operators.scaling import global_rank, neighbours, top_per_key
+from docketry.operators.scaling import global_rank, neighbours
 from docketry.plans.registry import query
 from docketry.plans.text import PERIOD, SQL_ISSUES, _PARSED
 

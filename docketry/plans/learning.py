@@ -6,8 +6,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from docketry.functions import patent as P
-from docketry.functions import text as X
-from docketry.operators import cleaning as C
 from docketry.operators import graph as G
 from docketry.operators import learn as L
 from docketry.operators import office_actions as O

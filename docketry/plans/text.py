@@ -1,12 +1,10 @@
 """Text, date and advice queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry import lexicons
 from docketry.functions import patent as P
 from docketry.functions import text as X
-from docketry.operators import cleaning as C
 from docketry.plans.cleaning import sql_in, sql_list, sql_matches, sql_relevance
 from docketry.plans.registry import query
 
