@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def pieces_of(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Rec
     A run has one row at least, so memory is bounded by ``limit`` plus one value.
     """
     begin, size = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > limit:
             yield batch.slice(begin, i - begin)
