@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import byte_pair, token_transducer
+from docketry.llm import bbit_minhash, byte_pair, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op5_byte_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of texts on three-word shingles at similarity 0.85."""
+    found = bbit_minhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
