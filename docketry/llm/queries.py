@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_pair, token_transducer
+from docketry.llm import bbit_minhash, byte_pair, rotation_codes, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op5_byte_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of vectors with cosine 0.98 or more under one label."""
+    return rotation_codes.near_vectors(read(spark, sf_dir, "embeddings"), 0.98).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of texts on three-word shingles at similarity 0.85."""
@@ -40,3 +46,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
     counts = token_transducer.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+ORACLES["op6_rotation_codes"] = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), unit AS (
+  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM ok
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN part p ON p.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
