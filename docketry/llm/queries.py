@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_pair, rotation_codes, token_transducer
+from docketry.llm import bbit_minhash, byte_pair, divergence, rotation_codes, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances from the language's histograms, and the verdict on every text."""
+    return divergence.judged(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
