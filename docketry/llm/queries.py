@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_pair, divergence, rotation_codes, token_transducer
+from docketry.llm import bbit_minhash, byte_pair, divergence, mixing, rotation_codes, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +56,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_rotation_codes"] = """
 WITH RECURSIVE ok AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), unit AS (
-  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM ok
+  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM ok
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b
     ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
@@ -73,3 +73,114 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, p.component_id, e.vec_id = p.component_id AS kept
 FROM embeddings e JOIN part p ON p.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
 """
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dealt row of a mixture at 97 % of the largest entropy."""
+    dealt = mixing.report(read(spark, sf_dir, "documents"))
+    source = F.when(F.col("source") != "none", F.expr("substring(source, 8)"))
+    return dealt.select(F.col("id").cast("long").alias("doc_id"), source.alias("source"), "tokens", "mix_copy", "mix_order")
+
+
+ORACLES["op10_mixing"] = """
+WITH RECURSIVE slim AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'none') AS id, source AS name, coalesce('source ' || source, 'none') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens
+  FROM documents
+), totals AS (
+  SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS n FROM slim GROUP BY source HAVING sum(tokens) > 0
+), whole AS (SELECT sum(tokens)::BIGINT AS t, count(*) AS k FROM totals),
+shares AS (SELECT tokens / t::DOUBLE AS p FROM totals, whole),
+entropy AS (  -- of the powered shares at 2^24 grid points, met by halving
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN h >= 0.97 * log2(k) THEN mid ELSE lo END, CASE WHEN h >= 0.97 * log2(k) THEN hi ELSE mid END
+  FROM (SELECT e.step, e.lo, e.hi, (e.lo + e.hi) / 2 AS mid, w.k,
+          (SELECT log2(sum(pow(p, (e.lo + e.hi) / 2))) - (e.lo + e.hi) / 2 * sum(pow(p, (e.lo + e.hi) / 2) * log2(p)) / sum(pow(p, (e.lo + e.hi) / 2)) FROM shares) AS h
+        FROM entropy e, whole w) WHERE step < 24
+), asis AS (SELECT log2(sum(p)) - sum(p * log2(p)) / sum(p) >= 0.97 * (SELECT log2(k) FROM whole) AS ok FROM shares),
+alpha AS (
+  SELECT CASE WHEN (SELECT ok FROM asis) OR (SELECT k FROM whole) < 2 THEN 1.0 ELSE floor(lo * 1e6) / 1e6 END AS a FROM entropy WHERE step = 24
+), norm AS (SELECT sum(pow(p, a)) AS s FROM shares, alpha),
+quotas AS (
+  SELECT source, tokens, n, floor(pow(tokens / t::DOUBLE, a) / s * t)::BIGINT AS quota, ceil(n / 1024.0)::BIGINT AS blocks
+  FROM totals, whole, alpha, norm
+), sized AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM quotas),
+placed AS (
+  SELECT d.*, q.passes, q.rest, ('0x' || substr(md5('mix/block/' || d.id), 1, 15))::BIGINT % q.blocks AS block
+  FROM slim d JOIN sized q USING (source)
+), keyed AS (
+  SELECT *, substr(md5('mix/order/' || (passes + 1) || '/' || source || '/' || block), 1, 16) || '/' || lpad(block::VARCHAR, 12, '0') AS block_key,
+    substr(md5('mix/row/' || (passes + 1) || '/' || id), 1, 16) || '/' || id AS row_key
+  FROM placed
+), blocks AS (SELECT source, rest, block_key, sum(tokens) AS tokens FROM keyed GROUP BY ALL),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block_key) AS upto FROM blocks),
+cuts AS (SELECT source, min(block_key) AS cut_block, min_by(rest - upto + tokens, block_key) AS room FROM summed WHERE upto > rest GROUP BY source),
+inside AS (
+  SELECT k.source, k.row_key, c.room, sum(k.tokens) OVER (PARTITION BY k.source ORDER BY k.row_key) AS upto
+  FROM keyed k JOIN cuts c ON c.source = k.source AND c.cut_block = k.block_key
+), ends AS (SELECT source, max(row_key) AS cut_row FROM inside WHERE upto <= room GROUP BY source),
+dealt AS (
+  SELECT k.*, passes + CASE WHEN block_key < coalesce(cut_block, '') OR (block_key = cut_block AND row_key <= coalesce(cut_row, '')) THEN 1 ELSE 0 END AS copies
+  FROM keyed k LEFT JOIN cuts USING (source) LEFT JOIN ends USING (source)
+), spread AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS mix_copy FROM dealt)
+SELECT doc_id, name AS source, tokens, mix_copy,
+  substr(md5('mix/order/' || mix_copy || '/' || source || '/' || block), 1, 16) || '/' || lpad(block::VARCHAR, 12, '0') || '/'
+  || substr(md5('mix/row/' || mix_copy || '/' || id), 1, 16) || '/' || id AS mix_order
+FROM spread
+"""
+
+ORACLES["op2_divergence"] = """
+WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shape AS (
+  SELECT *, regexp_replace(text, '[a-z]+', '', 'g') AS t1 FROM docs
+), shape2 AS (SELECT *, regexp_replace(t1, '[\\x20\\x09-\\x0D]+', '', 'g') AS t2 FROM shape),
+shape3 AS (SELECT *, regexp_replace(t2, '[A-Z]+', '', 'g') AS t3 FROM shape2),
+shape4 AS (SELECT *, regexp_replace(t3, '[0-9]+', '', 'g') AS t4 FROM shape3),
+shape5 AS (SELECT *, regexp_replace(t4, '[.,;:!?''"()-]+', '', 'g') AS t5 FROM shape4),
+shape6 AS (SELECT *, regexp_replace(t5, '[\\x00-\\x7F]+', '', 'g') AS t6 FROM shape5),
+classed AS (
+  SELECT doc_id, lang, text, words, [length(text) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4),
+    length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS classes FROM shape6
+), counted AS (SELECT lang, lower(w) AS w, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM docs) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM counted),
+tops AS (SELECT lang, list(w ORDER BY r) AS common, list(n ORDER BY r) AS ns, sum(n) AS listed FROM ranked WHERE r <= 20 GROUP BY lang),
+sums AS (
+  SELECT lang, sum(len(words)) AS total, [sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6]), sum(classes[7])] AS ref_classes
+  FROM classed GROUP BY lang
+), refs AS (SELECT lang, common, list_append(ns, (total - listed)::BIGINT) AS ref_words, ref_classes FROM sums JOIN tops USING (lang)),
+hist AS (
+  SELECT c.*, r.ref_classes, r.ref_words, list_transform(c.words, lambda w: lower(w)) AS lowered, r.common FROM classed c JOIN refs r USING (lang)
+), hist2 AS (
+  SELECT *, list_transform(common, lambda k: len(list_filter(lowered, lambda w: w = k))) AS hits FROM hist
+), hist3 AS (SELECT *, list_append(hits, len(words) - coalesce(list_sum(hits), 0)) AS own_words FROM hist2),
+shares AS (
+  SELECT *, list_transform(classes, lambda x: x / list_sum(classes)::DOUBLE) AS pc, list_transform(ref_classes, lambda x: x / list_sum(ref_classes)::DOUBLE) AS qc,
+    list_transform(own_words, lambda x: x / list_sum(own_words)::DOUBLE) AS pw, list_transform(ref_words, lambda x: x / list_sum(ref_words)::DOUBLE) AS qw
+  FROM hist3
+), apart AS (
+  SELECT *, list_sum(list_transform(list_zip(pc, qc), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END
+      + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)) AS dc,
+    list_sum(list_transform(list_zip(pw, qw), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END
+      + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2)) AS dw
+  FROM shares
+), windows AS (
+  SELECT doc_id, i, [words[i], words[i + 1], words[i + 2]] AS w3 FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM docs)
+), often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w3) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
+dups AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+counts AS (
+  SELECT a.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, CASE WHEN length(text) >= 200 THEN dc END AS class_distance,
+    CASE WHEN len(words) >= 50 THEN dw END AS word_distance
+  FROM apart a LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(class_distance, 0) <= 0.07 AND coalesce(word_distance, 0) <= 0.14 AS kept,
+  class_distance, word_distance
+FROM counts
+"""
