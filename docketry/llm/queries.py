@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_pair, divergence, mixing, rotation_codes, token_transducer
+from docketry.llm import bbit_minhash, byte_pair, deobfuscate, divergence, mixing, rotation_codes, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,21 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judged(read(spark, sf_dir, "documents"))
 
 
+def fold(parts: int) -> Column:
+    """Remainder that deals ids to folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op3_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = deobfuscate.toxicity(read(spark, sf_dir, "documents"), labels, fold(5) != 0)
+    return scored.withColumnRenamed("id", "doc_id").select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op5_byte_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
