@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_pair, deobfuscate, divergence, mixing, rotation_codes, token_transducer
+from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,16 @@ def op6_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation_codes.near_vectors(read(spark, sf_dir, "embeddings"), 0.98).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = byte_cnn.quality(read(spark, sf_dir, "documents"), labels, fold(4) != 2)
+    return scored.withColumnRenamed("id", "doc_id").select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of texts on three-word shingles at similarity 0.85."""
