@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, token_transducer
+from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, sanitise, token_transducer
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it, in every text."""
+    return sanitise.report(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, distances from the language's histograms, and the verdict on every text."""
