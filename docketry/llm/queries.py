@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, sanitise, token_transducer
+from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, sanitise, token_transducer, url_trees
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,20 @@ def op3_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules of the contract.
+URL_RULES = (
+    url_trees.Rule("allow", "org", "/"), url_trees.Rule("block", "example.org", "/es/"),
+    url_trees.Rule("block", "example.org", "/en/1"), url_trees.Rule("allow", "com", "/fr/"),
+    url_trees.Rule("block", "com", "/de/"),
+)
+
+
+@query
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_trees.judged(read(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 @query
 def op5_byte_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text decoded from them, as digests."""
