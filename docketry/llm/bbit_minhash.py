@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import components, map_texts
 from docketry.llm.common_groups import block_pairs, near_ids, roots, sorted_groups
+from docketry.operators.scaling import broadcast_if_small
 from docketry.session import cut_lineage
 
 MINIMA = 128
@@ -302,3 +303,19 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_column:
         .select("id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that with the smallest id.
+
+    Rows without words or without an id all stay. Rows that share an id stay once
+    when they are equal in every column.
+    """
+    marks = cut_lineage(near_duplicates(df, width, percent, id_column, text_column))
+    dropped = broadcast_if_small(marks.where("NOT kept").select(F.col("id").alias("_id")).distinct())
+    kind = df.schema[id_column].dataType
+    rows = df.join(dropped, df[id_column].cast("long") == F.col("_id"), "left_anti")
+    often = marks.where("kept AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    often = broadcast_if_small(often.select(F.col("id").cast(kind).alias("_often")))
+    again = rows.join(often, rows[id_column] == F.col("_often"), "left_semi").dropDuplicates()
+    return rows.join(often, rows[id_column] == F.col("_often"), "left_anti").unionByName(again)

@@ -157,7 +157,27 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
 
         return run
 
-    return map_texts(df, id_column, text_column, f"id {df.schema[id_column].dataType.simpleString()}, ids array<int>, decoded string", make)
+    kind = df.schema[id_column].dataType.simpleString()
+    return map_texts(df, id_column, text_column, f"id {kind}, ids array<int>, decoded string", make)
+
+
+def encoded_rows(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids, round_trip)``: as ``encode_texts``, with a flag in place of the decoded text."""
+    shared = df.sparkSession.sparkContext.broadcast(load(path))
+
+    def make():
+        c = codec(shared.value)
+
+        def run(ids, texts):
+            codes = [unpack(c.encode(t)) for t in texts]
+            same = [c.decode(x) == t for x, t in zip(codes, texts)]
+            return {"doc_id": ids, "n_tokens": [len(x) for x in codes], "ids": codes, "round_trip": same}
+
+        return run
+
+    kind = df.schema[id_column].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
+    return map_texts(df, id_column, text_column, schema, make, limit=2_000_000)
 
 
 def round_trip_digests(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -327,3 +327,24 @@ def toxicity(df: DataFrame, labels: DataFrame, use: Column, label: str = "toxic"
     """
     model = character_model(df, text_column)
     return scores(df, model, fit(df, labels, use, model, label, id_column, text_column, rows), id_column, text_column)
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.5, label: str = "toxic",
+                  id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
+    """The rows whose score is below ``threshold``, with all their columns, in one pass without a shuffle."""
+    model = character_model(df, text_column)
+    weights = fit(df, labels, use, model, label, id_column, text_column, rows)
+    context = df.sparkSession.sparkContext
+    table, shared = context.broadcast(model), context.broadcast(weights)
+    at = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, curve = Scorer(Restorer(table.value), shared.value), shared.value.curve
+        for batch in batches:
+            for piece in pieces_of(batch, at, 8_000_000):
+                texts = [t or "" for t in piece.column(at).to_pylist()]
+                x = curve_inputs(np.array([scorer.strongest(t) for t in texts]).reshape(-1, 3))
+                score = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+                yield piece.filter(pa.array(score < threshold))
+
+    return df.mapInArrow(run, df.schema)
