@@ -312,10 +312,9 @@ def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, id_column: str
     when they are equal in every column.
     """
     marks = cut_lineage(near_duplicates(df, width, percent, id_column, text_column))
-    dropped = broadcast_if_small(marks.where("NOT kept").select(F.col("id").alias("_id")).distinct())
-    kind = df.schema[id_column].dataType
-    rows = df.join(dropped, df[id_column].cast("long") == F.col("_id"), "left_anti")
+    dropped = broadcast_if_small(marks.where("NOT kept").select(F.col("id").alias("_dropped")).distinct())
+    rows = df.join(dropped, df[id_column].cast("long") == dropped["_dropped"], "left_anti")
     often = marks.where("kept AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    often = broadcast_if_small(often.select(F.col("id").cast(kind).alias("_often")))
-    again = rows.join(often, rows[id_column] == F.col("_often"), "left_semi").dropDuplicates()
-    return rows.join(often, rows[id_column] == F.col("_often"), "left_anti").unionByName(again)
+    often = broadcast_if_small(often.select(F.col("id").alias("_often")))
+    same = rows[id_column].cast("long") == often["_often"]
+    return rows.join(often, same, "left_anti").unionByName(rows.join(often, same, "left_semi").dropDuplicates())

@@ -64,37 +64,30 @@ def map_texts(df: DataFrame, id_column: str, text_column: str, schema: str, make
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of every node: ``(node, component)`` from ``(src, dst)``.
+    """Smallest reachable node of every node: ``(node, component)`` from ``(src, dst)``; roots are left out.
 
-    Large-star and small-star steps by turns. In each, every node's least
-    neighbour is an aggregate with partial sums in the map tasks, and it returns
-    to the edges by a join, so a node with very many edges is never gathered.
-    Tables are written between steps; the loop ends when a round changes
-    nothing, which needs a number of rounds logarithmic in the path lengths.
+    Rounds of a large-star and a small-star step, until every node points at a
+    root and no root points further; their number is logarithmic in the path
+    lengths. A node's least neighbour is an aggregate with partial results in the
+    map tasks and returns to the edges by a join, so a node with very many edges
+    is never gathered. The edges are written after every round.
     """
-    spark = edges.sparkSession
     now = cut_lineage(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
-    mark = _mark(now)
-    while mark[0]:
+    while not _settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v")))
         now = cut_lineage(small.where("u <> v").distinct())
-        after = _mark(now)
-        if after == mark:
-            break
-        mark = after
-    del spark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and checksum, to see whether a round changed anything."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, and leads to a node without one."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.out").alias("n"), F.min("e.out").alias("root"))
+    return nodes.where("n > 1 OR (n > 0 AND root = 0)").limit(1).count() == 0

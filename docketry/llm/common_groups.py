@@ -27,7 +27,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
         for k in range(keys):
             values = batch.column(k).to_numpy(zero_copy_only=False)
             changed |= values[1:] != values[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        starts = np.concatenate([[0], np.flatnonzero(changed) + 1]).astype(np.int64)
         if len(starts) > 1:
             yield batch.slice(0, int(starts[-1])), starts
         waiting = batch.slice(int(starts[-1])) if batch.num_rows else None

@@ -185,7 +185,7 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     own = F.concat(F.lit("language "), F.col(language_column).cast("string"))
     key = F.when(own.isin(keys), own).otherwise(F.lit(POOLED))
     rows = df.select(
-        F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"), key.alias("key")
+        F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), key.alias("key")
     ).join(F.broadcast(known), "key")  # LANGUAGES + 1 rows of fixed width
 
     def measure(words: Column) -> Column:
@@ -197,20 +197,20 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     text = F.col("text")
     measured = rows.select(
-        F.col(id_column), "word_counts", "class_counts", let(words_of(text), measure).alias("m"),
+        "id", "word_counts", "class_counts", let(words_of(text), measure).alias("m"),
         F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"), class_counts(text).alias("classes"), F.length(text).alias("n_chars"),
     )
     # The written structs and arrays are each read several times below.
     flat = measured.select(
-        F.col(id_column), "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
+        "id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
         F.when(F.col("n_chars") >= least_chars, distance(F.col("classes"), F.col("class_counts"))).alias("class_distance"),
         F.when(F.col("m.n_words") >= least_words, distance(F.col("m.common"), F.col("word_counts"))).alias("word_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
     return flat.select(
-        F.col(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & near).alias("kept"), "class_distance", "word_distance",
     )

@@ -203,33 +203,29 @@ def risky_terms(texts: DataFrame, values: int = VALUES, generalise: float = GENE
     return cut_lineage(best.select("term", (-F.col("best.k")).alias("kind"), F.col("best.share").alias("share")))
 
 
-_FOUND = "id {}, base array<struct<start:int,kind:int,end:int>>, maybe array<struct<start:int,end:int,term:string>>"
-
-
-def spans_of(df: DataFrame, id_column: str, text_column: str, risky: DataFrame, keep_text: bool, carry: list[str]) -> DataFrame:
-    """``(id, base, terms, ...)`` of every row: personal data, and spans of risky terms outside of it.
+def spans_of(df: DataFrame, text_column: str, risky: DataFrame, carry: list[Column], keep_text: bool = False) -> DataFrame:
+    """``(c0, c1, ..., base, terms)`` of every row: the carried columns, personal data, and risky terms outside of it.
 
     A sieve of fixed size picks the terms that may be risky; a join decides, so
-    the table of risky terms may have any size.
+    the table of risky terms may have any size. ``keep_text`` adds ``text``.
     """
     shared = df.sparkSession.sparkContext.broadcast(sieve_of(risky))
-    kind = df.schema[id_column].dataType.simpleString()
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
-    names = [f"c{i}" for i in range(len(carry))] if keep_text else []
-    source = df.select(F.col(id_column).alias("id"), text.alias("text"), *(rest if keep_text else []))
-    schema = _FOUND.format(kind)
-    if keep_text:
-        schema += ", text string" + "".join(f", c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    source = df.select(text.alias("text"), *[c.alias(f"c{i}") for i, c in enumerate(carry)])
+    kept = source.columns[0 if keep_text else 1:]
+    schema = source.select(kept).withColumns({
+        "base": F.expr("cast(null as array<struct<start:int,kind:int,end:int>>)"),
+        "maybe": F.expr("cast(null as array<struct<start:int,end:int,term:string>>)"),
+    }).schema
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     maybe_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
         for whole in batches:
-            for batch in pieces_of(whole, 1, 8_000_000):
+            for batch in pieces_of(whole, 0, 8_000_000):
                 base, maybe = [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(0).to_pylist():
                     spans = base_spans(text)
                     base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                     found = []
@@ -239,9 +235,9 @@ def spans_of(df: DataFrame, id_column: str, text_column: str, risky: DataFrame,
                             if sieve.may_hold(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in spans)
                         ]
                     maybe.append(found)
-                columns = [batch.column(0), pa.array(base, base_type), pa.array(maybe, maybe_type)]
-                extra = [batch.column(i) for i in range(1, batch.num_columns)] if keep_text else []
-                yield pa.RecordBatch.from_arrays(columns + extra, ["id", "base", "maybe"] + (["text"] if keep_text else []) + names)
+                columns = [batch.column(i) for i in range(0 if keep_text else 1, batch.num_columns)]
+                columns += pa.array(base, base_type), pa.array(maybe, maybe_type)
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "base", "maybe"])
 
     found = cut_lineage(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     sure = (
@@ -269,18 +265,22 @@ def all_spans() -> Column:
 
 
 def report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms)`` of every row."""
+    """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms)`` of every row.
+
+    Null and empty texts have no spans. Repeated rows each get a row. Only the
+    two named columns are read; an empty table gives an empty result.
+    """
     texts = df.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    found = spans_of(df, id_column, text_column, risky_terms(texts), False, [])
+    found = spans_of(df, text_column, risky_terms(texts), [F.col(id_column)])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
-        "id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        F.col("c0").alias("id"), *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(all_spans()).alias("spans"),
         F.size("terms").cast("long").alias("n_terms"),
     )
 
 
-def sanitised(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", remove: float = REMOVE) -> DataFrame:
+def sanitised(df: DataFrame, text_column: str = "text", remove: float = REMOVE) -> DataFrame:
     """The rows with sanitised texts and all other columns as they were.
 
     Personal data becomes ``[email]``, ``[ip]``, ``[card]`` or ``[phone]``, a risky
@@ -290,13 +290,11 @@ def sanitised(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     are treated alike. The corpus statistics are over all rows; a term near
     copies of one value counts once for it. An empty table gives an empty result.
     """
-    carry = [c for c in df.columns if c not in (id_column, text_column)]
+    carry = [c for c in df.columns if c != text_column]
     texts = df.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    was_null = df.withColumn("_was_null", F.col(text_column).isNull())
-    found = spans_of(was_null, id_column, text_column, risky_terms(texts), True, [*carry, "_was_null"])
-    flat = F.transform(
-        all_spans(), lambda s: F.struct(s["start"], s["end"], s["kind"])
-    )
+    columns = [*(F.col(f"`{c}`") for c in carry), F.col(text_column).isNull()]
+    found = spans_of(df, text_column, risky_terms(texts), columns, keep_text=True)
+    flat = F.transform(all_spans(), lambda s: F.struct(s["start"], s["end"], s["kind"]))
     gone = F.transform(F.filter("terms", lambda t: t["share"] >= remove), lambda t: t["start"])
     rows = found.select("*", flat.alias("spans"), gone.alias("gone"))
 
@@ -310,7 +308,7 @@ def sanitised(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     done = rows.mapInArrow(run, rows.schema)
     text = F.when(~F.col(f"c{len(carry)}"), F.col("text"))
-    named = {id_column: F.col("id"), text_column: text} | {c: F.col(f"c{i}") for i, c in enumerate(carry)}
+    named = {text_column: text} | {c: F.col(f"c{i}") for i, c in enumerate(carry)}
     return done.select(*[named[c].alias(c) for c in df.columns])
 
 
