@@ -21,7 +21,7 @@ from docketry.session import cut_lineage
 CLASSES = ("[a-z]+", SPACES, "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", r"[\x00-\x7F]+")
 SYMBOLS = "#*$%&|<>"
 COMMON = 20  # most common words in a language's histogram
-# Languages with a reference of their own, by number of words; a bound for the broadcast.
+# Languages with a reference of their own, those with the most common words; a bound for the broadcast.
 LANGUAGES = 512
 POOLED = "pooled"
 
@@ -108,48 +108,58 @@ def distance(counts: Column, reference: Column) -> Column:
     return let(F.struct(total(counts).alias("a"), total(reference).alias("b")), of)
 
 
-def references(df: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
-    """``(key, words, word_counts, class_counts)`` of each language, from all rows, and one pooled row.
-
-    ``key`` is ``"language "`` and the language for the ``LANGUAGES`` with the most
-    words, so the table has a bounded size. The pooled row adds up the lists of
-    all languages; rows without a language count in it alone.
-    """
-    rows = df.select(
+def keyed(df: DataFrame, language: str, text: str) -> DataFrame:
+    return df.select(
         F.coalesce(F.concat(F.lit("language "), F.col(language).cast("string")), F.lit("none")).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
+
+
+def common_words(df: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
+    """``(key, words, counts)``: the most common lower-case words of each language, over all rows, and of all pooled.
+
+    ``key`` is ``"language "`` and the language for the ``LANGUAGES`` whose lists
+    count the most words, so the table has a bounded size. The pooled list adds
+    up the lists of all languages; rows without a language count in it alone.
+    """
     counted = (
-        rows.select("key", F.explode(words_of(F.col("text"))).alias("word"))
+        keyed(df, language, text).select("key", F.explode(words_of(F.col("text"))).alias("word"))
         .groupBy("key", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy("key").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
-    shapes = rows.select("key", class_counts(F.col("text")).alias("c"), F.size(words_of(F.col("text"))).alias("w"))
-    n_classes = len(CLASSES) + 1
-    sums = cut_lineage(shapes.groupBy("key").agg(
-        F.sum("w").alias("words_total"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n_classes)]
-    ))
-    lists = cut_lineage(top.select("key", "word", "n", "rank"))
-    kept = sums.where("key <> 'none'").orderBy(F.desc("words_total"), "key").limit(LANGUAGES)
-    pooled_order = Window.orderBy(F.desc("n"), "word")  # over the lists only
-    pooled_lists = (
+    lists = cut_lineage(
+        counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON).select("key", "word", "n", "rank")
+    )
+    pooled = (
         lists.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
-        .select(F.lit(POOLED).alias("key"), "word", "n", F.row_number().over(pooled_order).alias("rank"))
+        .select(F.lit(POOLED).alias("key"), "word", "n", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"))
     )
-    totals = ["words_total", *[f"c{i}" for i in range(n_classes)]]
-    pooled = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals]).select(F.lit(POOLED).alias("key"), *totals)
-    columns = ["key", *totals]
-    every = kept.select(columns).union(pooled.select(columns))
     ranked = F.sort_array(F.collect_list(F.struct("rank", "word", "n")))  # COMMON entries
-    listed = lists.union(pooled_lists).groupBy("key").agg(ranked.alias("top"))
+    known = lists.where("key <> 'none'").groupBy("key").agg(F.sum("n").alias("listed"), ranked.alias("top"))
+    known = known.orderBy(F.desc("listed"), "key").limit(LANGUAGES).select("key", "top")
     empty = F.expr("cast(array() as array<struct<rank:int,word:string,n:bigint>>)")
-    joined = every.join(listed, "key", "left").withColumn("top", F.coalesce("top", empty))
-    others = F.col("words_total") - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    return joined.select(
-        "key", F.transform("top", lambda x: x["word"]).alias("words"),
-        F.concat(F.transform("top", lambda x: x["n"]), F.array(others)).alias("word_counts"),
-        F.array(*[F.col(f"c{i}") for i in range(n_classes)]).alias("class_counts"),
+    both = known.union(pooled.agg(ranked.alias("top")).select(F.lit(POOLED), F.coalesce("top", empty)))
+    return both.select(
+        "key", F.transform("top", lambda x: x["word"]).alias("words"), F.transform("top", lambda x: x["n"]).alias("counts")
+    )
+
+
+def references(measured: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(key, word_counts, class_counts)`` of the keys of ``lists``, from the counts of every row.
+
+    A row that is compared with the pooled histograms adds to them alone, all
+    others to their language's and the pooled ones.
+    """
+    places = range(len(CLASSES) + 1)
+    totals = ["total", *[f"c{i}" for i in places]]
+    sums = cut_lineage(measured.groupBy("key").agg(
+        F.sum("n_words").alias("total"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in places]
+    ))
+    pooled = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals]).select(F.lit(POOLED).alias("key"), *totals)
+    every = sums.where(F.col("key") != POOLED).union(pooled)
+    others = F.col("total") - F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    return every.join(lists, "key").select(
+        "key", F.concat("counts", F.array(others)).alias("word_counts"), F.array(*[F.col(f"c{i}") for i in places]).alias("class_counts")
     )
 
 
@@ -179,14 +189,13 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     languages pooled. Rows are judged one by one, so repeated rows and ties need
     no rule; an empty table gives an empty result. Only the named columns are read.
     """
-    known = references(df, language_column, text_column)
-    known = cut_lineage(known)
-    keys = [r["key"] for r in known.select("key").collect()]  # LANGUAGES + 1 at most
+    lists = cut_lineage(common_words(df, language_column, text_column))
+    keys = [r["key"] for r in lists.select("key").collect()]  # LANGUAGES + 1 at most
     own = F.concat(F.lit("language "), F.col(language_column).cast("string"))
     key = F.when(own.isin(keys), own).otherwise(F.lit(POOLED))
     rows = df.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), key.alias("key")
-    ).join(F.broadcast(known), "key")  # LANGUAGES + 1 rows of fixed width
+    ).join(F.broadcast(lists.select("key", "words")), "key")  # LANGUAGES + 1 rows of fixed width
 
     def measure(words: Column) -> Column:
         return F.struct(
@@ -196,17 +205,17 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         )
 
     text = F.col("text")
-    measured = rows.select(
-        "id", "word_counts", "class_counts", let(words_of(text), measure).alias("m"),
+    measured = cut_lineage(rows.select(
+        "id", "key", let(words_of(text), measure).alias("m"),
         F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"), class_counts(text).alias("classes"), F.length(text).alias("n_chars"),
-    )
-    # The written structs and arrays are each read several times below.
-    flat = measured.select(
-        "id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
+    ).select("id", "key", "m.*", "word_chars", "n_symbols", "n_dup_lines", "classes", "n_chars"))  # counts only
+    compared = measured.join(F.broadcast(references(measured, lists)), "key")  # LANGUAGES + 1 rows of fixed width
+    flat = compared.select(
+        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.col("n_chars") >= least_chars, distance(F.col("classes"), F.col("class_counts"))).alias("class_distance"),
-        F.when(F.col("m.n_words") >= least_words, distance(F.col("m.common"), F.col("word_counts"))).alias("word_distance"),
+        F.when(F.col("n_words") >= least_words, distance(F.col("common"), F.col("word_counts"))).alias("word_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
