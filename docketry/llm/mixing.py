@@ -129,7 +129,7 @@ def plan(slim: DataFrame, target: Target, seed: str) -> DataFrame:
     weight = F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(alpha)) / F.lit(norm)
     quotas = (
         totals.withColumn("weight", weight)
-        .withColumn("quota", F.floor(F.col("weight") * F.lit(size)).cast("long"))
+        .withColumn("quota", F.round(F.col("weight") * F.lit(size)).cast("long"))
         .withColumn("passes", F.expr("quota div tokens").cast("int"))
         .withColumn("rest", F.expr("quota % tokens"))
         .withColumn("blocks", F.ceil(F.col("rows") / F.lit(float(BLOCK_ROWS))).cast("long"))

@@ -145,11 +145,22 @@ entropy AS (  -- of the powered shares at 2^24 grid points, met by halving
           (SELECT log2(sum(pow(p, (e.lo + e.hi) / 2))) - (e.lo + e.hi) / 2 * sum(pow(p, (e.lo + e.hi) / 2) * log2(p)) / sum(pow(p, (e.lo + e.hi) / 2)) FROM shares) AS h
         FROM entropy e, whole w) WHERE step < 24
 ), asis AS (SELECT log2(sum(p)) - sum(p * log2(p)) / sum(p) >= 0.97 * (SELECT log2(k) FROM whole) AS ok FROM shares),
-alpha AS (
+mixed AS (
   SELECT CASE WHEN (SELECT ok FROM asis) OR (SELECT k FROM whole) < 2 THEN 1.0 ELSE floor(lo * 1e6) / 1e6 END AS a FROM entropy WHERE step = 24
+), often AS (  -- the smallest source's repetition at an exponent, met by halving
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN many THEN mid ELSE lo END, CASE WHEN many THEN hi ELSE mid END
+  FROM (SELECT o.step, o.lo, o.hi, (o.lo + o.hi) / 2 AS mid,
+          (SELECT pow(min(p), (o.lo + o.hi) / 2 - 1) / sum(pow(p, (o.lo + o.hi) / 2)) > 4 FROM shares) AS many
+        FROM often o) WHERE step < 24
+), alpha AS (
+  SELECT CASE WHEN (SELECT pow(min(p), min(a) - 1) / sum(pow(p, a)) > 4 FROM shares, mixed) THEN least(1.0, ceil((lo + pow(16.0, -6)) * 1e6) / 1e6)
+    ELSE (SELECT a FROM mixed) END AS a
+  FROM often WHERE step = 24
 ), norm AS (SELECT sum(pow(p, a)) AS s FROM shares, alpha),
 quotas AS (
-  SELECT source, tokens, n, floor(pow(tokens / t::DOUBLE, a) / s * t)::BIGINT AS quota, ceil(n / 1024.0)::BIGINT AS blocks
+  SELECT source, tokens, n, round(pow(tokens / t::DOUBLE, a) / s * t)::BIGINT AS quota, ceil(n / 1024.0)::BIGINT AS blocks
   FROM totals, whole, alpha, norm
 ), sized AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM quotas),
 placed AS (
