@@ -104,38 +104,63 @@ def nearest_in_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, limi
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-def nearest_task(queries: np.ndarray, query_ids: np.ndarray, k: int, probes: dict | None, schema: pa.Schema):
-    """Arrow batches of ``(id, vector[, cell])`` to each query's ``k`` nearest rows of the task.
+def nearest_task(k: int, schema: pa.Schema):
+    """Arrow batches of ``(space, a, b, is_row, id, vector)`` to each query's ``k`` nearest rows of its group.
 
-    ``probes`` maps a cell to the positions of the queries that look into it.
+    Rows come sorted by the first four columns, so a group's queries precede its
+    rows. The task holds one block of queries and ``k`` rows for each of them.
     """
 
+    def matrix(column):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def keys(column):
+        return np.array(column.to_pylist())
+
     def run(batches):
-        found = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-        limit = np.full(len(queries), np.inf)
+        group, queries, names = None, [], []
+        found, limit = None, None
+
+        def result():
+            if found is None or not len(found[0]):
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names[0][found[0]], schema.field(0).type), pa.array(found[2], schema.field(1).type),
+                 pa.array(found[1], pa.float64())], schema=schema)
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            groups = [(slice(None), np.arange(len(queries)))]
-            if probes is not None:
-                cells = batch.column(2).to_numpy(zero_copy_only=False)
-                groups = [(cells == c, probes[c]) for c in np.unique(cells) if c in probes]
-            for picked, who in groups:
-                q, d, i = nearest_in_rows(queries[who], rows[picked], ids[picked], limit[who], k)
-                found = keep_nearest(
-                    np.concatenate([found[0], who[q]]), np.concatenate([found[1], d]),
-                    np.concatenate([found[2], i]), k,
-                )
-                number, count = np.unique(found[0], return_counts=True)
-                last = np.searchsorted(found[0], number, side="right") - 1
-                full = count >= k
-                limit[number[full]] = found[1][last[full]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[found[0]], pa.int64()), pa.array(found[2], pa.int64()), pa.array(found[1], pa.float64())],
-            schema=schema,
-        )
+            marks = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype(np.int64)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(marks)]):
+                if lo == hi:
+                    continue
+                key, part = tuple(marks[lo, :3]), batch.slice(lo, hi - lo)
+                if key != group:
+                    if (done := result()) is not None:
+                        yield done
+                    group, queries, names, found, limit = key, [], [], None, None
+                if not marks[lo, 3]:
+                    queries.append(matrix(part.column(5)))
+                    names.append(keys(part.column(4)))
+                    continue
+                if not queries:
+                    continue
+                if found is None:
+                    queries, names = [np.concatenate(queries)], [np.concatenate(names)]
+                    limit = np.full(len(queries[0]), np.inf)
+                    found = (np.empty(0, np.int64), np.empty(0), names[0][:0])
+                for at in range(0, hi - lo, 4096):
+                    some = part.slice(at, 4096)
+                    q, d, i = nearest_in_rows(queries[0], matrix(some.column(5)), keys(some.column(4)), limit, k)
+                    found = keep_nearest(
+                        np.concatenate([found[0], q]), np.concatenate([found[1], d]), np.concatenate([found[2], i]), k
+                    )
+                    number, count = np.unique(found[0], return_counts=True)
+                    last = np.searchsorted(found[0], number, side="right") - 1
+                    full = count >= k
+                    limit[number[full]] = found[1][last[full]]
+        if (done := result()) is not None:
+            yield done
 
     return run
 
@@ -143,66 +168,63 @@ def nearest_task(queries: np.ndarray, query_ids: np.ndarray, k: int, probes: dic
 # --- similarity of cases to a block of queries ------------------------------
 
 
-def similarity_task(block: dict, weights: tuple, threshold: float, schema: pa.Schema):
-    """Score each case row against every query of a block; rows above the threshold go out.
+def overlaps(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """Jaccard overlap of every left list with every right list; 0 when both are empty."""
+    names = np.array(left.flatten().to_pylist() + right.flatten().to_pylist(), str)
+    _, place = np.unique(names, return_inverse=True)
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in (left, right)])
+    held = np.zeros((len(sizes), int(place.max()) + 1 if len(place) else 1), np.float32)
+    held[np.repeat(np.arange(len(sizes)), sizes), place] = 1.0
+    one, two = held[:len(left)], held[len(left):]
+    both = (one @ two.T).astype(float)
+    either = one.sum(axis=1)[:, None] + two.sum(axis=1)[None, :] - both
+    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
 
-    Batches hold ``(id, indices, values, issues, rank, citations)``.
-    """
-
-    def run(batches):
-        vectors, query_ids = block["vectors"], block["ids"]  # vocabulary x queries
-        issue_of, issue_sets, issue_sizes = block["issue_of"], block["issues"], block["issues"].sum(axis=1)
-        cited_by, cite_sizes, ranks = block["cited_by"], block["cite_sizes"], block["ranks"]
-        w_text, w_issue, w_time, w_cite = weights
-        for batch in batches:
-            out = {name: [] for name in schema.names}
-            for case, idx, val, issues, rank, cites in zip(*[c.to_pylist() for c in batch.columns]):
-                text = np.asarray(val) @ vectors[idx] if idx else np.zeros(len(query_ids))
-                mine = np.zeros(len(issue_of))
-                for name in issues:
-                    if name in issue_of:
-                        mine[issue_of[name]] = 1.0
-                both = issue_sets @ mine
-                either = issue_sizes + len(issues) - both
-                issue = np.divide(both, either, out=np.zeros(len(query_ids)), where=either > 0)
-                time = 1.0 - np.abs(ranks - rank) / 3.0
-                shared = np.zeros(len(query_ids))
-                for name in cites:
-                    for q in cited_by.get(name, ()):
-                        shared[q] += 1.0
-                either = cite_sizes + len(cites) - shared
-                cite = np.divide(shared, either, out=np.zeros(len(query_ids)), where=either > 0)
-                total = w_text * text + w_issue * issue + w_time * time + w_cite * cite
-                for q in np.nonzero(total > threshold)[0]:
-                    for name, value in zip(schema.names, (query_ids[q], case, total[q], text[q], issue[q], time[q], cite[q])):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return run
+def dense_rows(indices: pa.ListArray, values: pa.ListArray, width: int) -> np.ndarray:
+    out = np.zeros((len(indices), width))
+    rows = np.repeat(np.arange(len(indices)), np.diff(indices.offsets.to_numpy()))
+    out[rows, indices.flatten().to_numpy()] = values.flatten().to_numpy()
+    return out
 
 
-# --- synthetic minority rows ------------------------------------------------
+def similarity_task(width: int, weights: tuple, threshold: float, schema: pa.Schema, step: int = 256):
+    """Score groups of queries and cases; pairs above the threshold go out.
 
+    Batches hold ``(space, a, b, is_row, id, indices, values, issues, rank,
+    citations)``, sorted by the first four columns, so that a group's queries,
+    one block of them, precede its cases.
+    """
+    w_text, w_issue, w_time, w_cite = weights
 
-def interpolated(rows, neighbours: int, seed: int):
-    """New points between each row of a bounded group and one of its nearest rows.
+    def run(batches):
+        group, waiting, asked, vectors = None, [], None, None
+        for batch in batches:
+            marks = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype(np.int64)
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(marks)]):
+                if lo == hi:
+                    continue
+                if tuple(marks[lo, :3]) != group:
+                    group, waiting, asked = tuple(marks[lo, :3]), [], None
+                if not marks[lo, 3]:
+                    waiting.append(batch.slice(lo, hi - lo))
+                    continue
+                if asked is None:
+                    if not waiting:
+                        continue
+                    asked = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                    vectors = dense_rows(asked.column(5), asked.column(6), width)
+                for at in range(lo, hi, step):
+                    some = batch.slice(at, min(step, hi - at))
+                    text = vectors @ dense_rows(some.column(5), some.column(6), width).T
+                    issue, cite = (overlaps(asked.column(c), some.column(c)) for c in (7, 9))
+                    ranks = (c.column(8).to_numpy(zero_copy_only=False).astype(float) for c in (asked, some))
+                    time = 1.0 - np.abs(np.subtract.outer(*ranks)) / 3.0
+                    total = w_text * text + w_issue * issue + w_time * time + w_cite * cite
+                    q, c = np.nonzero(total > threshold)
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.column(4).take(pa.array(q)), some.column(4).take(pa.array(c)),
+                         *(pa.array(x[q, c]) for x in (total, text, issue, time, cite))], schema=schema)
 
-    ``rows`` has ``id``, ``vector`` and ``copies``; a row yields ``copies`` points.
-    """
-    import pandas as pd
-
-    rows = rows.sort_values("id")
-    points = np.array(rows["vector"].tolist(), float)
-    norms = (points ** 2).sum(axis=1)
-    gaps = norms[:, None] + norms[None, :] - 2.0 * points @ points.T
-    np.fill_diagonal(gaps, np.inf)
-    k = min(neighbours, len(points) - 1)
-    near = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-    ids, made = [], []
-    for i, (key, copies) in enumerate(zip(rows["id"], rows["copies"])):
-        random = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF])
-        for _ in range(int(copies)):
-            other = points[near[i, random.integers(k)]] if k else points[i]
-            made.append(points[i] + random.random() * (other - points[i]))
-            ids.append(key)
-    return pd.DataFrame({"id": ids, "vector": made})
+    return run

@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from docketry import lexicons
 from docketry.functions import patent as P
 from docketry.functions import text as X
-from docketry.kernels import interpolated
 from docketry.operators.cleaning import court_level, numeric_features
 from docketry.operators.graph import with_node_metrics
-from docketry.operators.retrieval import build_cells, fit_tfidf, vocabulary
+from docketry.operators.retrieval import fit_tfidf, nearest, vocabulary
 from docketry.operators.scaling import broadcast_if_small, global_rank
 from docketry.operators.statistics import split_bucket
 from docketry.session import cut_lineage
@@ -338,42 +337,46 @@ def patent_features(actions: DataFrame, metrics: DataFrame | None = None) -> Dat
 
 
 def synthetic_minority(rows: DataFrame, key: str = "id", vector: str = "vector", label: str = "label", neighbours: int = 5,
-                       seed: int = SEED, group: int = 2048) -> DataFrame:
+                       seed: int = SEED) -> DataFrame:
     """Balance two classes with points between minority rows and their neighbours.
 
-    ``rows`` has a long ``key``, an ``array<double>`` vector and a 0/1 label. Up to
-    ``group`` minority rows are compared exactly. Above that, rows are divided
-    into k-means cells and each cell into parts of about ``group`` rows, so a hot
-    cell never becomes one task. Every minority row takes part.
+    ``rows`` has a ``key`` of any type, an ``array<double>`` vector and a 0/1 label.
+    Neighbours are the exactly nearest other minority rows at every size. Rows with
+    equal vectors are searched once and count as often as they occur.
     """
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # two classes
     if len(counts) < 2:
-        return rows.withColumn("synthetic", F.lit(False))
+        return rows.select(key, vector, label).withColumn("synthetic", F.lit(False))
     small = min(counts, key=lambda c: (counts[c], c))
-    need = max(counts.values()) - counts[small]
-    least = rows.where(F.col(label) == small).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    n = counts[small]
-    ranked = global_rank(least.withColumn("_h", F.xxhash64("id", F.lit(seed))), [F.col("_h"), F.col("id")], "_pos")
-    copies = ranked.select(
-        "id", "vector", (F.lit(need // n) + (F.col("_pos") <= need % n).cast("long")).alias("copies")
+    need, n = max(counts.values()) - counts[small], counts[small]
+    least = rows.where(F.col(label) == small).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    order = F.xxhash64(F.col("key"), F.lit(seed))
+    ranked = cut_lineage(global_rank(least.withColumn("_h", order), [F.col("_h"), F.col("key")], "pos"))
+    points = cut_lineage(ranked.groupBy("vector").agg(F.min("pos").alias("id"), F.count("*").alias("m")))
+    near = nearest(points.select("id", "vector"), points.select("id", "vector"), neighbours + 1).join(
+        points.select("id", "m"), "id")
+    own = F.col("id") == F.col("query_id")
+    times = F.least(F.lit(neighbours).cast("long"), F.col("m") - F.when(own, 1).otherwise(0)).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct("distance", (~own).alias("other"), "id", times.alias("times"))))
+    # At most neighbours + 1 points of at most ``neighbours`` rows each.
+    near = near.groupBy("query_id").agg(listed.alias("found")).select(
+        F.col("query_id").alias("point"),
+        F.slice(F.flatten(F.transform("found", lambda x: F.array_repeat(x["id"], x["times"]))), 1, neighbours).alias("near"),
     )
-    if n > group:
-        cells, _ = build_cells(copies, seed=seed)
-        cells = cut_lineage(cells)
-        sizes = cells.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count("*") / F.lit(float(group))).alias("_parts"))
-        copies = cells.join(broadcast_if_small(sizes), F.col("cell") == F.col("_cell")).withColumn(
-            "part", F.pmod(F.xxhash64("id"), F.col("_parts"))
-        ).drop("_cell", "_parts")
-    else:
-        copies = copies.withColumns({"cell": F.lit(0), "part": F.lit(0).cast("long")})
-
-    def make(part):
-        return interpolated(part, neighbours, seed)
-
-    made = copies.select("id", "vector", "copies", "cell", "part").groupBy("cell", "part").applyInPandas(
-        make, "id long, vector array<double>"
+    copies = F.lit(need // n) + F.when(F.col("pos") <= need % n, 1).otherwise(0)
+    draw = lambda what: F.xxhash64(F.lit(what), F.col("pos"), F.col("copy"), F.lit(seed))
+    wanted = (
+        ranked.select("key", "vector", "pos", copies.alias("copies")).where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
+        .join(points.select("vector", F.col("id").alias("point")), "vector").join(near, "point")
+        .withColumn("partner", F.when(F.size("near") > 0, F.get("near", F.pmod(draw("row"), F.size("near")).cast("int"))).otherwise(F.col("point")))
+        .withColumn("way", F.pmod(draw("way"), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    )
+    made = wanted.join(points.select(F.col("id").alias("partner"), F.col("vector").alias("target")), "partner").select(
+        F.col("key").alias(key),
+        F.zip_with("vector", "target", lambda x, y: x + F.col("way") * (y - x)).alias(vector),
+        F.lit(small).alias(label), F.lit(True).alias("synthetic"),
     )
-    made = made.select(F.col("id").alias(key), F.col("vector").alias(vector), F.lit(small).alias(label), F.lit(True).alias("synthetic"))
     return rows.select(key, vector, label).withColumn("synthetic", F.lit(False)).unionByName(made)
 
 

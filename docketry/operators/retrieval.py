@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
@@ -18,85 +17,101 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docketry.functions import text as X
 from docketry.kernels import nearest_task
 from docketry.operators.scaling import broadcast_if_small, top_per_key
 from docketry.session import cut_lineage
 
-# Queries handled by one pass over the vectors. More queries take more passes.
-QUERY_BLOCK = 4096
+# Queries and rows that one group compares; larger tables make more groups.
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
-_FOUND_SQL = "query_id long, id long, distance double"
 
-
-def blocks_of(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
-    """Split queries by key hash into parts of about ``size`` rows, nothing left out."""
-    queries = cut_lineage(queries)
-    parts = max(1, math.ceil(queries.count() / size))
-    return [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK,
-            centroids: np.ndarray | None = None, nprobe: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact ``k`` nearest rows by squared distance: ``(query_id, id, distance)``.
 
-    Both inputs are ``(id, vector)``. Each pass holds one block of queries and
-    scans the vectors once; a task keeps ``k`` rows per query, so the shuffle
-    carries tasks x queries x k rows however the data is skewed. With
-    ``centroids``, vectors have a ``cell`` column and a query looks only into its
-    ``nprobe`` nearest cells.
+    Both inputs are ``(id, vector)`` with ids of one type; null vectors are left
+    out. Queries and rows are dealt into blocks by hash, every block of queries
+    meets every block of rows in a task, and a group keeps ``k`` rows per query.
     """
-    vectors = vectors.where(F.col("vector").isNotNull())
-    found = None
-    for part in blocks_of(queries.select("id", "vector"), "id", block):
-        rows = part.orderBy("id").collect()  # about ``block`` rows
-        if not rows:
-            continue
-        ids = np.array([r["id"] for r in rows], np.int64)
-        matrix = np.array([r["vector"] for r in rows], np.float64)
-        probes, scan = None, vectors.select(F.col("id").cast("long"), "vector")
-        if centroids is not None:
-            probes = _probes(matrix, centroids, nprobe or 1)
-            scan = vectors.select(F.col("id").cast("long"), "vector", F.col("cell").cast("int"))
-            if len(probes) < len(centroids):
-                scan = scan.where(F.col("cell").isin([int(c) for c in probes]))
-        hits = scan.mapInArrow(nearest_task(matrix, ids, k, probes, _FOUND), _FOUND_SQL)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], _FOUND_SQL)
-    return top_per_key(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    whole = lambda df: df.select(F.lit(0).alias("space"), "id", "vector")
+    return nearest_within(whole(queries), whole(vectors), k)
 
 
-def _probes(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
-    distance = ((queries[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2) if len(centroids) < 64 else (
-        (queries ** 2).sum(1)[:, None] + (centroids ** 2).sum(1)[None, :] - 2.0 * queries @ centroids.T
-    )
-    near = np.argsort(distance, axis=1)[:, :nprobe]
-    return {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
+def block_pairs(queries: DataFrame, rows: DataFrame, query_block: int, row_block: int) -> DataFrame:
+    """Both tables in one, dealt so that every query meets every row of its ``space`` in one group.
 
+    The tables have equal columns with ``space`` (an integer) and ``id`` among them.
+    Groups are ``(space, a, b)``: block ``a`` of a space's queries and block ``b`` of
+    its rows, by hash of the id. Queries, with ``is_row`` 0, come first in a group.
+    """
+    columns = [c for c in queries.columns if c != "space"]
+    sides = []
+    for df, name, size in ((queries, "a", query_block), (rows, "b", row_block)):
+        df = cut_lineage(df.select("space", *columns))
+        parts = df.groupBy("space").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias(f"n_{name}"))
+        sides.append((df, parts))
+    (asked, of_asked), (rows, of_rows) = sides
+    # A row per space that both sides have; spaces are one, or the cells of an index.
+    sizes = broadcast_if_small(of_asked.join(of_rows, "space"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["space", "a", "b", "is_row"]
+    asked = asked.join(sizes, "space").withColumn("a", part("n_a")).withColumn("b", every("n_b")).withColumn("is_row", F.lit(0))
+    rows = rows.join(sizes, "space").withColumn("b", part("n_b")).withColumn("a", every("n_a")).withColumn("is_row", F.lit(1))
+    both = asked.select(*keys, *columns).unionByName(rows.select(*keys, *columns))
+    return both.repartition("space", "a", "b").sortWithinPartitions(*keys)
+
+
+def nearest_within(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``nearest`` for rows of equal ``space`` (an integer); a query may look into several spaces."""
+    ready = lambda df: df.where(F.col("vector").isNotNull()).select(
+        "space", "id", F.col("vector").cast("array<double>").alias("vector"))
+    placed = block_pairs(ready(queries), ready(vectors), QUERY_BLOCK, ROW_BLOCK)
+    kind = queries.schema["id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
+    found = placed.mapInArrow(nearest_task(k, to_arrow_schema(schema)), schema)
+    return top_per_key(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
-def build_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 42, per_cell: int = 256):
-    """Assign vectors to k-means cells; returns the table with ``cell`` and the centroids.
 
-    Cells are trained on about ``per_cell`` rows each; every row is assigned.
-    """
-    n = vectors.count()
+def build_cells(vectors: DataFrame, nlist: int | None = None, seed: int = 42):
+    """Assign vectors to k-means cells trained on all rows; returns the table with ``cell`` and the centroids."""
+    points = cut_lineage(vectors.withColumn("_point", array_to_vector(F.transform("vector", lambda x: x.cast("double")))))
+    n = points.count()
     nlist = nlist or max(1, min(4096, int(math.sqrt(n))))
-    points = vectors.withColumn("_point", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
-    share = min(1.0, nlist * per_cell / max(n, 1))
-    training = points if share >= 1.0 else points.sample(share, seed=seed)
-    model = KMeans(k=nlist, seed=seed, featuresCol="_point", predictionCol="cell", maxIter=10).fit(training)
+    model = KMeans(k=nlist, seed=seed, featuresCol="_point", predictionCol="cell", maxIter=10).fit(points)
     cells = model.transform(points).drop("_point")
     return cells, np.array([c for c in model.clusterCenters()])
 
 
+def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
+    """Each query once per ``space`` it looks into: its ``nprobe`` nearest cells."""
+    near = _cell_distances(centroids)("vector")
+    picked = F.slice(F.sort_array(near), 1, nprobe)
+    return queries.where(F.col("vector").isNotNull()).select("id", "vector", F.explode(picked).alias("_c")).select(
+        F.col("_c.cell").alias("space"), "id", "vector")
+
+
+def _cell_distances(centroids: np.ndarray):
+    """Distances to every centroid by a matrix product in Arrow batches."""
+
+    @F.pandas_udf("array<struct<d:double,cell:int>>")
+    def run(vectors: pd.Series) -> pd.Series:
+        x = np.array(vectors.tolist(), float)
+        d = (x ** 2).sum(axis=1)[:, None] + (centroids ** 2).sum(axis=1)[None, :] - 2.0 * x @ centroids.T
+        return pd.Series([[{"d": float(v), "cell": i} for i, v in enumerate(row)] for row in d])
+
+    return run
+
+
 def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, nlist: int | None = None,
                         nprobe: int | None = None, seed: int = 42) -> DataFrame:
     """Nearest rows among the cells closest to each query."""
     cells, centroids = build_cells(vectors, nlist, seed)
-    return nearest(queries, cells, k, centroids=centroids, nprobe=nprobe or min(64, len(centroids)))
+    spaces = cells.select(F.col("cell").alias("space"), "id", "vector")
+    return nearest_within(probed(queries, centroids, nprobe or min(64, len(centroids))), spaces, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -198,17 +213,31 @@ def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, impo
     """The ``k`` nearest distinct cases per query, ranked by a weighted score.
 
     ``queries`` is ``(id, text, vector)``, ``vectors`` ``(id, vector)``, ``cases``
-    has the same ``id``, ``importance`` is ``(id, score)``. The candidates, ``pool``
-    times ``k`` per query, are joined to the case columns; rows lacking a field
-    or a date are dropped first, then each normalised name keeps its nearest row.
+    has the same ``id``, ``importance`` is ``(id, score)``. Rows lacking a field or a
+    date are dropped, then each normalised name keeps its nearest row. The search
+    begins with ``pool`` times ``k`` candidates; queries that these leave with fewer
+    than ``k`` names search four times as many, until they have ``k`` or all rows
+    were candidates.
     """
-    candidates = nearest(queries, vectors, k * pool)
     columns = cases.select("id", "case_name", "date_filed", "court", *REQUIRED_FIELDS)
-    joined = columns.join(broadcast_if_small(candidates), "id")
-    usable = joined.dropna(subset=[*REQUIRED_FIELDS, "date_filed", "case_name"])
-    named = usable.withColumn("_name", X.normalised_name("case_name"))
+    usable = cut_lineage(columns.dropna(subset=[*REQUIRED_FIELDS, "date_filed", "case_name"]).withColumn(
+        "_name", X.normalised_name("case_name")))
+    vectors = cut_lineage(vectors.select("id", "vector").where(F.col("vector").isNotNull()))
     near = [F.asc("distance"), F.asc("id")]
-    firsts = top_per_key(top_per_key(named, ["query_id", "_name"], near), ["query_id"], near, k)
+    left, size, rows, firsts = queries.select("id", "vector"), k * pool, vectors.count(), None
+    while True:
+        named = usable.join(broadcast_if_small(nearest(left, vectors, size)), "id")
+        some = cut_lineage(top_per_key(top_per_key(named, ["query_id", "_name"], near), ["query_id"], near, k))
+        filled = some.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        whole = size >= rows
+        done = some if whole else some.join(filled.select("query_id"), "query_id", "left_semi")
+        firsts = done if firsts is None else firsts.unionByName(done)
+        if whole:
+            break
+        left = cut_lineage(left.join(filled, F.col("id") == F.col("query_id"), "left_anti"))
+        if not left.limit(1).count():
+            break
+        size *= 4
     texts = queries.select(F.col("id").alias("query_id"), F.col("text").alias("_query"))
     scored = firsts.join(texts, "query_id").join(importance.select("id", F.col("score").alias("_imp")), "id", "left")
     q_words = X.word_set(F.col("_query"))

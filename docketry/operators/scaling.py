@@ -136,16 +136,18 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
 def neighbours(df: DataFrame, file: str, row_no: str, block: int = 100_000) -> DataFrame:
     """Give each row its block and the rows next to the block's edges.
 
-    Rows at an edge are copied into the block beside them with ``_own`` false, so
-    ``lead`` and ``lag`` over (file, block) see across edges while no window
-    holds more than ``block + 2`` rows. ``row_no`` must count without gaps.
+    Rows are numbered without gaps in the order of (file, row_no) first, so
+    ``row_no`` may have gaps anywhere. Rows at an edge are copied into the block
+    beside them with ``_own`` false, so ``lead`` and ``lag`` over (file, block) see
+    across edges while no window holds more than ``block + 2`` rows.
     """
-    n = F.col(row_no)
+    ranked = global_rank(df, [F.col(file), F.col(row_no)], "_pos")
+    n = F.col("_pos")
     own = F.floor(n / block).cast("long")
     blocks = F.array_distinct(F.array(own, F.floor((n - 1) / block).cast("long"), F.floor((n + 1) / block).cast("long")))
     return (
-        df.withColumn("_home", own)
+        ranked.withColumn("_home", own)
         .withColumn("_block", F.explode(blocks))
         .withColumn("_own", F.col("_block") == F.col("_home"))
-        .drop("_home")
+        .drop("_home", "_pos")
     )

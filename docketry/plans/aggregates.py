@@ -589,20 +589,20 @@ def fct2(t):
 
 @query(
     "fct3_floor_projection",
-    views=("gappy_series",),
+    views=("keyword_series",),
     sql=""", e AS (SELECT keyword, arg_min(count, year) AS first, arg_max(count, year) AS last, min(count) AS floor, count(*) AS n, max(year) AS y
-        FROM gappy_series GROUP BY 1),
+        FROM keyword_series GROUP BY 1),
       s AS (SELECT *, unnest(generate_series(1, 5)) AS i, CASE WHEN n > 1 THEN (last - first)::DOUBLE / (n - 1) ELSE 0 END AS slope FROM e),
       v AS (SELECT keyword, (y + i)::INT AS year, floor, greatest(greatest(floor, last)::DOUBLE, greatest(floor, last) + slope * i) AS value FROM s)
       SELECT keyword, year, round(value, 6) AS value, round(greatest(floor::DOUBLE, value * 0.8::DOUBLE), 6) AS lower, round(value * 1.2::DOUBLE, 6) AS upper FROM v""",
 )
 def fct3(t):
-    return T.floor_projection(t.gappy_series).select("keyword", "year", *r6(*BAND))
+    return T.floor_projection(t.keyword_series).select("keyword", "year", *r6(*BAND))
 
 
 @query("fct4_smoothing_forecast")
 def fct4(t):
-    return T.smoothing_forecast(t.gappy_series)
+    return T.smoothing_forecast(t.keyword_series)
 
 
 @query("fct5_smoothing_validation")
@@ -612,13 +612,13 @@ def fct5(t):
 
 @query("fct6_regime_forecast")
 def fct6(t):
-    return T.regime_forecast(t.gappy_series)
+    return T.regime_forecast(t.keyword_series)
 
 
 @query(
     "fct6_sparse_regimes",
-    views=("gappy_series",),
-    sql=""", gs AS (SELECT keyword, year, CASE WHEN keyword LIKE 'small %' THEN 0 ELSE count END AS count FROM gappy_series),
+    views=("keyword_series",),
+    sql=""", gs AS (SELECT keyword, year, CASE WHEN keyword LIKE 'small %' THEN 0 ELSE count END AS count FROM keyword_series),
       sp AS (SELECT keyword, unnest(generate_series(min(year), max(year)))::INT AS year FROM gs GROUP BY keyword),
       z AS (SELECT sp.keyword, sp.year, coalesce(g.count, 0)::BIGINT AS count FROM sp LEFT JOIN gs g ON g.keyword = sp.keyword AND g.year = sp.year),
       f AS (SELECT keyword, sum(count) AS total, count(*) AS n, max(year) AS y, avg(count) AS m, avg(year) AS mid, coalesce(regr_slope(count, year), 0) AS b FROM z GROUP BY 1),
@@ -628,7 +628,7 @@ def fct6(t):
 )
 def fct6s(t):
     none = F.when(F.col("keyword").startswith("small "), F.lit(0).cast("long")).otherwise(F.col("count"))
-    return T.sparse_forecast(t.gappy_series.withColumn("count", none), enough=8).withColumn("value", F.round("value", 6))
+    return T.sparse_forecast(t.keyword_series.withColumn("count", none), enough=8).withColumn("value", F.round("value", 6))
 
 
 @query(

@@ -138,8 +138,7 @@ def src3(t):
     "src4_patent_json_pages",
     views=("office_actions",),
     sql="""SELECT publicationNumber, citedDocumentIdentifier, CAST(techCenter AS STRING) AS techCenter,
-      relatedClaimNumberText FROM office_actions
-      ORDER BY publicationNumber, citedDocumentIdentifier NULLS FIRST, techCenter, relatedClaimNumberText LIMIT 5000""",
+      relatedClaimNumberText FROM office_actions""",
 )
 def src4(t):
     path = scratch_path(t.spark, "patent-pages")
@@ -149,9 +148,7 @@ def src4(t):
     )
     docs = F.struct(F.lit(0).alias("start"), F.lit(1).alias("numFound"), F.array(F.struct("*")).alias("docs"))
     raw.select(docs.alias("response")).write.json(path)
-    rows = files.read_patent_pages(
-        t.spark, path, order=("publicationNumber", "citedDocumentIdentifier", "techCenter", "relatedClaimNumberText")
-    )
+    rows = files.read_patent_pages(t.spark, path)
     return rows.select("publicationNumber", "citedDocumentIdentifier", "techCenter", "relatedClaimNumberText")
 
 

@@ -33,9 +33,9 @@ def read_result_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.API_PAGE).json(path).select(F.inline("results"))
 
 
-def read_patent_pages(spark: SparkSession, path: str, max_records: int | None = 5000,
+def read_patent_pages(spark: SparkSession, path: str, max_records: int | None = None,
                       order: tuple[str, ...] = ("publicationNumber", "citedDocumentIdentifier")) -> DataFrame:
-    """Saved patent pages to one row per record, at most ``max_records`` in a fixed order."""
+    """Saved patent pages to one row per record; with ``max_records``, the first so many in ``order``."""
     rows = spark.read.schema(schemas.PATENT_PAGE).json(path).select(F.inline("response.docs"))
     if max_records is None:
         return rows

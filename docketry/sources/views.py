@@ -44,7 +44,7 @@ CASES = """
     CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE 'Appeal from order ' || CAST(o.o_orderkey AS STRING) END AS procedural_history,
     CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE 'Filed in ' || d.lang END AS syllabus,
     coalesce(l.n_lines, 0) AS citation_count,
-    CASE WHEN d.doc_id % 11 = 7 THEN NULL ELSE substr(d.text, 1, 500) END AS text_excerpt,
+    CASE WHEN d.doc_id % 11 = 7 THEN NULL ELSE d.text END AS text_excerpt,
     d.text ||""" + _LEGAL_TAIL.replace("{n}", "d.doc_id") + """ AS full_text,
     l.score AS tech_relevance_score,
     CASE WHEN d.doc_id % 13 = 5 THEN NULL ELSE '[''primary:' || d.lang || ''', ''Secondary: ' || d.source || ' '']' END AS tech_keywords_found,

@@ -101,11 +101,15 @@ def vectors(spark, n=400, d=8, seed=0):
     return m, spark.createDataFrame([(i, m[i].tolist()) for i in range(n)], "id long, vector array<float>").repartition(5)
 
 
-def test_nearest_equals_brute_force_in_blocks(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_equals_brute_force_in_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 90)
+    monkeypatch.setattr(R, "ROW_BLOCK", 70)
     m, df = vectors(spark)
+    df = df.withColumn("id", F.lpad(F.col("id").cast("string"), 6, "0") if kind == "string" else F.col("id"))
     got = {}
-    for r in R.nearest(df, df, 6, block=90).collect():
-        got.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
+    for r in R.nearest(df, df, 6).collect():
+        got.setdefault(int(r["query_id"]), []).append((r["distance"], int(r["id"])))
     x = m.astype(float)
     for q in range(len(m)):
         d = ((x - x[q]) ** 2).sum(axis=1)
@@ -136,13 +140,15 @@ TEXTS = [
 ]
 
 
-def test_similar_pairs_equal_brute_force(spark):
+def test_similar_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRATEGY_BLOCK", 1)
+    monkeypatch.setattr(S, "CASE_BLOCK", 2)
     rows = [(i, t, f"{1995 + 6 * i}-01-01") for i, t in enumerate(TEXTS)]
     cases = spark.createDataFrame(rows, "id long, t string, d string")
     profiles = S.profiled(cases, "id", "t", "d")
     queries = S.profiled(spark.createDataFrame([(7, TEXTS[0]), (8, TEXTS[2] + " " + TEXTS[3])], "id long, t string"), "id", "t")
     model = S.fit_case_terms(profiles, 100, 1.0, 2)
-    got = {(r["query_id"], r["id"]): r["similarity"] for r in S.similar_pairs(queries, profiles, model, block=1).collect()}
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in S.similar_pairs(queries, profiles, model).collect()}
     from docketry.lexicons import PERIOD_RANK
     from docketry.operators.retrieval import with_tfidf
 
@@ -179,16 +185,49 @@ def test_near_copies_are_left_out(spark):
     assert got == [0, 2, 3, 4]  # 1 copies 0; 5 copies 4; other period or no points never do
 
 
-def test_synthetic_rows_lie_between_parents(spark):
+def test_string_ids(spark):
+    rows = [(f"US{i}A", t) for i, t in enumerate(TEXTS)]
+    profiles = S.profiled(spark.createDataFrame(rows, "id string, t string"), "id", "t")
+    model = S.fit_case_terms(profiles, 100, 1.0, 2)
+    same = {r["query_id"]: r["similarity"] for r in S.similar_pairs(profiles, profiles, model).collect() if r["id"] == r["query_id"]}
+    assert set(same) == {r[0] for r in rows}
+    asked = S.profiled(spark.createDataFrame([(7, TEXTS[0])], "id long, t string"), "id", "t")
+    assert {(r["query_id"], type(r["id"])) for r in S.similar_pairs(asked, profiles, model).collect()} == {(7, str)}
+    minority = spark.createDataFrame([(f"US{i}A", [float(i), 0.0], float(i < 4)) for i in range(12)], "id string, vector array<double>, label double")
+    made = [r["id"] for r in L.synthetic_minority(minority).collect() if r["synthetic"]]
+    assert sorted(made) == ["US0A", "US1A", "US2A", "US3A"]
+
+
+def test_search_fills_up_behind_one_name(spark):
+    """The nearest rows share a name; the search widens until k names are found."""
+    n = 80
+    rows = [(i, "Same v. Same" if i < 50 else f"Case {i}", "2001-01-01", "c", "software claims", "[]", 0.5) for i in range(n)]
+    cases = spark.createDataFrame(rows, "id long, case_name string, date_filed string, court string, text_excerpt string, tech_keywords_found string, tech_relevance_score double")
+    cases = cases.withColumn("date_filed", F.col("date_filed").cast("date"))
+    vectors_ = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(n)], "id long, vector array<float>")
+    asked = spark.createDataFrame([(900, "software", [0.0, 1.0]), (901, "software", [79.0, 1.0])], "id long, text string, vector array<float>")
+    found = R.hybrid_search(asked, cases, vectors_, spark.createDataFrame([], "id long, score double"), k=5, pool=4).collect()
+    got = {q: sorted(r["id"] for r in found if r["query_id"] == q) for q in (900, 901)}
+    assert got == {900: [0, 50, 51, 52, 53], 901: [75, 76, 77, 78, 79]}
+    few = R.hybrid_search(asked, cases.where("id < 52"), vectors_, spark.createDataFrame([], "id long, score double"), k=5, pool=4)
+    assert sorted(r["id"] for r in few.collect() if r["query_id"] == 900) == [0, 50, 51]
+
+
+def test_synthetic_rows_lie_between_nearest_rows(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=2).tolist(), 1.0 if i < 15 else 0.0) for i in range(60)]
+    rows[3] = (3, rows[2][1], 1.0)  # equal vectors
     df = spark.createDataFrame(rows, "id long, vector array<double>, label double")
-    for group in (2048, 6):
-        out = L.synthetic_minority(df, group=group).collect()
-        made = [r for r in out if r["synthetic"]]
-        assert len(made) == 30 and all(r["label"] == 1.0 for r in made)
-        points = {r[0]: np.array(r[1]) for r in rows if r[2] == 1.0}
-        for r in made:
-            p, x = points[r["id"]], np.array(r["vector"])
-            between = [abs(np.linalg.norm(x - p) + np.linalg.norm(x - q) - np.linalg.norm(p - q)) < 1e-9 for k, q in points.items() if k != r["id"]]
-            assert any(between)
+    first = None
+    for block in (4096, 4):  # the same points however the search is dealt out
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(R, "ROW_BLOCK", block)
+        made = sorted((r["id"], tuple(r["vector"]), r["label"]) for r in L.synthetic_minority(df).collect() if r["synthetic"])
+        assert len(made) == 30 and all(r[2] == 1.0 for r in made)
+        first = first or made
+        assert made == first
+    points = {r[0]: np.array(r[1]) for r in rows if r[2] == 1.0}
+    for i, x, _ in made:
+        p = points[i]
+        near = sorted((k for k in points if k != i), key=lambda k: float(((points[k] - p) ** 2).sum()))[:5]
+        assert any(abs(np.linalg.norm(x - p) + np.linalg.norm(x - points[k]) - np.linalg.norm(p - points[k])) < 1e-9 for k in near)

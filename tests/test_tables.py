@@ -172,3 +172,16 @@ def test_augmentation_fills_thin_periods(spark):
     assert all(9.0 <= r["citation_count"] <= 11.0 and r["full_text"].count(".") == 8 for r in made)
     again = S.augmented_cases(df.repartition(3), "id", "full_text", "period", ["citation_count"], minimum=10).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_moved_text_is_found_over_gaps_and_block_edges(spark, monkeypatch):
+    from docketry.operators import scaling
+
+    real = scaling.neighbours
+    monkeypatch.setattr("docketry.operators.cleaning.neighbours", lambda df, file, row: real(df, file, row, 10))
+    rows = [(9, None), (12, "moved"), (35, "whole"), (47, None), (58, "last")]
+    df = spark.createDataFrame(rows, "row_no long, text string")
+    from docketry.operators.cleaning import repair_misaligned
+
+    got = {r["row_no"]: r["text"] for r in repair_misaligned(df, "text", "row_no").collect()}
+    assert got == {9: "moved", 35: "whole", 47: "last"}
