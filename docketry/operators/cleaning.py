@@ -15,7 +15,7 @@ from docketry.functions.text import any_contains, blank_to_null, col, strip_spac
 from docketry.lexicons import NOT_AVAILABLE, TECH, TechLexicon
 from docketry.session import cut_lineage
 from docketry.operators.scaling import (
-    BROADCAST_ROWS, count_up_to, exact_quantiles, global_rank, neighbours, top_per_key,
+    broadcast_if_small, exact_quantiles, global_rank, neighbours, top_per_key,
 )
 
 
@@ -113,17 +113,12 @@ def sorted_codes(df: DataFrame, value: str) -> DataFrame:
 
 def _coded(values: DataFrame, value: str, order: list[Column]) -> DataFrame:
     values = cut_lineage(values)  # one row per distinct value; read again by every lookup
-    if count_up_to(values, BROADCAST_ROWS) <= BROADCAST_ROWS:
-        small = values.coalesce(1)  # row count checked above
-        return small.withColumn("code", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     return global_rank(values, order, "code").withColumn("code", F.col("code") - 1)
 
 
 def with_codes(df: DataFrame, value: str, codes: DataFrame, name: str, missing: int | None = None) -> DataFrame:
-    """Look codes up; the table is broadcast only after its rows were counted."""
-    small = count_up_to(codes, BROADCAST_ROWS) <= BROADCAST_ROWS
-    table = codes.select(F.col(value).alias("_value"), F.col("code").alias(name))
-    table = F.broadcast(table) if small else table
+    """Look codes up; the table is broadcast only after it was measured."""
+    table = broadcast_if_small(codes.select(F.col(value).alias("_value"), F.col("code").alias(name)))
     out = df.join(table, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
     return out if missing is None else out.withColumn(name, F.coalesce(F.col(name), F.lit(missing)))
 
@@ -359,9 +354,8 @@ def court_level(court: str | Column) -> Column:
 
 def court_levels(df: DataFrame, levels: DataFrame, court: str = "court_id") -> DataFrame:
     """Court level from a table (court_id, level)."""
-    small = count_up_to(levels, BROADCAST_ROWS) <= BROADCAST_ROWS
-    side = levels.select(F.col("court_id").alias("_court"), F.col("level").alias("court_level"))
-    out = df.join(F.broadcast(side) if small else side, F.col(court) == F.col("_court"), "left").drop("_court")
+    side = broadcast_if_small(levels.select(F.col("court_id").alias("_court"), F.col("level").alias("court_level")))
+    out = df.join(side, F.col(court) == F.col("_court"), "left").drop("_court")
     return out.withColumn("court_level", F.coalesce("court_level", F.lit(1)).cast("long"))
 
 

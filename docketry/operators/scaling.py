@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.session import cut_lineage
 
-# A side is broadcast only when its counted rows stay below this.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only when its counted rows and their size as text stay below these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1,
@@ -26,53 +29,67 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return kept if rank else kept.drop(name)
 
 
-def count_up_to(df: DataFrame, limit: int) -> int:
-    """Row count, not reading past ``limit + 1`` rows."""
-    return df.limit(limit + 1).count()
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table stays within the limits; at most ``rows + 1`` rows are read."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    width = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return seen["n"] <= rows and seen["size"] <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a result once, and mark it for broadcast when its rows are within ``limit``.
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write a result once, and mark it for broadcast when it stays within the limits.
 
-    Counting and joining both read the written table, so ``df`` is computed once.
+    Measuring and joining both read the written table, so ``df`` is computed once.
     """
     written = cut_lineage(df)
-    return F.broadcast(written) if count_up_to(written, limit) <= limit else written
+    return F.broadcast(written) if fits_broadcast(written, rows) else written
+
+
+def running_sums(names: Sequence[str]):
+    """Arrow batches of one sorted partition to the same batches with running totals in place of the named columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = dict.fromkeys(names, 0)
+        for batch in batches:
+            for name in names:
+                at = batch.schema.get_field_index(name)
+                values = pc.fill_null(batch.column(at), 0).to_numpy(zero_copy_only=False)
+                totals = np.cumsum(values) + before[name]
+                before[name] = totals[-1] if len(totals) else before[name]
+                batch = batch.set_column(at, name, pa.array(totals, batch.column(at).type))
+            yield batch
+
+    return run
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
                 partitions: int | None = None) -> DataFrame:
     """Running totals over the whole table in ``order``, without a one-task window.
 
-    Rows are range-partitioned, written once, totalled per range, and each range
-    adds the total of the ranges before it. ``order`` should end in a unique key;
-    equal keys land in one range.
+    Rows are range-partitioned and sorted, and each task adds up its own range as
+    it writes; the totals of the ranges before, one number per range, are added
+    on reading. ``order`` should end in a unique key; equal keys land in one range.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = df.select("*", *[v.alias(f"_v_{name}") for name, v in sums.items()])
-    ranged = values.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    columns = [f"_v_{name}" for name in sums]
+    values = df.select("*", *[v.alias(c) for v, c in zip(sums.values(), columns)], *[v.alias(f"_own{c}") for v, c in zip(sums.values(), columns)])
+    ranged = values.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged.mapInArrow(running_sums(columns), ranged.schema))
     totals = (
-        ranged.groupBy("_range")
-        .agg(*[F.sum(f"_v_{name}").alias(name) for name in sums])
-        .orderBy("_range")
+        ranged.groupBy("_range").agg(*[F.sum(f"_own{c}").alias(c) for c in columns]).orderBy("_range")
         .collect()  # one row per range, at most n
     )
     before, running = [], [0] * len(sums)
     for row in totals:
         before.append((row["_range"], *running))
-        running = [r + (row[name] or 0) for r, name in zip(running, sums)]
-    kinds = {name: ranged.schema[f"_v_{name}"].dataType.simpleString() for name in sums}
-    offsets = spark.createDataFrame(
-        before, "_range int, " + ", ".join(f"`_b_{name}` {kinds[name]}" for name in sums)
-    )
-    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        running = [r + (row[c] or 0) for r, c in zip(running, columns)]
+    kinds = [ranged.schema[c].dataType.simpleString() for c in columns]
+    offsets = spark.createDataFrame(before, "_range int, " + ", ".join(f"`_b{c}` {k}" for c, k in zip(columns, kinds)))
     out = ranged.join(F.broadcast(offsets), "_range")  # one row per range
-    out = out.withColumns(
-        {name: F.coalesce(F.sum(f"_v_{name}").over(w), F.lit(0)) + F.col(f"_b_{name}") for name in sums}
-    )
-    return out.drop("_range", *[f"_{k}_{name}" for name in sums for k in "vb"])
+    out = out.withColumns({name: F.col(c) + F.col(f"_b{c}") for name, c in zip(sums, columns)})
+    return out.drop("_range", *columns, *[f"_own{c}" for c in columns], *[f"_b{c}" for c in columns])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str, partitions: int | None = None) -> DataFrame:

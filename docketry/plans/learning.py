@@ -13,7 +13,7 @@ from docketry.plans.aggregates import r6
 from docketry.plans.registry import query
 from docketry.plans.retrieval import PATENT_EDGES, sql_pagerank
 from docketry.plans.text import _PARTS, SQL_FLAG, sql_parts, structured_questions
-from docketry.session import scratch_path
+from docketry.session import cut_lineage, scratch_path
 
 SMALL = {"trees": 20, "depth": 8, "max_features": 1000, "ngrams": 2}
 
@@ -113,23 +113,23 @@ NODE_METRICS = ("in_degree", "out_degree", "pagerank")
 @query(
     "ml10_patent_features",
     views=("office_actions",),
-    sql=PATENT_EDGES + sql_pagerank("e", "nodes", 10) + f""", p AS (SELECT *, {_PARTS} AS parts FROM office_actions)
+    sql=PATENT_EDGES + sql_pagerank("e", "nodes") + f""", p AS (SELECT *, {_PARTS} AS parts FROM office_actions)
       SELECT publicationNumber, {SQL_FLAG.format('examinerCitedReferenceIndicator')} AS is_examiner_cited,
         {SQL_FLAG.format('applicantCitedExaminerReferenceIndicator')} AS is_applicant_cited, {SQL_FLAG.format('nplIndicator')} AS is_npl,
         techCenter::BIGINT AS tech_center, coalesce(len(parts), 0) AS num_passages, {sql_parts('claim')} AS num_claims_cited,
         {sql_parts('paragraph', 'par.')} > 0 AS has_spec_support, coalesce(in_degree, 0)::BIGINT AS in_degree,
-        coalesce(out_degree, 0)::BIGINT AS out_degree, round(coalesce(score, 0) * 10000, 6) AS pagerank
+        coalesce(out_degree, 0)::BIGINT AS out_degree, round(coalesce(score, 0) * 10000, 4) AS pagerank
       FROM p LEFT JOIN deg ON deg.id = publicationNumber LEFT JOIN pr ON pr.id = publicationNumber""",
 )
 def ml10(t):
-    edges = O.citation_edges(t.office_actions)
-    metrics = G.degrees(edges).join(G.pagerank(edges, iterations=10).withColumnRenamed("score", "pagerank"), "id")
+    edges = cut_lineage(O.citation_edges(t.office_actions))  # used twice
+    metrics = G.degrees(edges).join(G.pagerank(edges, tolerance=1e-9).withColumnRenamed("score", "pagerank"), "id")
     out = L.patent_features(t.office_actions, metrics)
     return out.select(
         "publicationNumber", "is_examiner_cited", "is_applicant_cited", "is_npl", "tech_center", "num_passages", "num_claims_cited",
         "has_spec_support", F.col("citation_network_in_degree").alias("in_degree"),
         F.col("citation_network_out_degree").alias("out_degree"),
-        F.round(F.col("citation_network_pagerank") * 10000, 6).alias("pagerank"))
+        F.round(F.col("citation_network_pagerank") * 10000, 4).alias("pagerank"))
 
 
 def rejection_rows(t):

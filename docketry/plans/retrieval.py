@@ -1,5 +1,6 @@
 """Join, graph, search and strategy queries."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
@@ -98,7 +99,7 @@ def query_profiles(t):
 
 def strategy_inputs(t):
     profiles = cut_lineage(case_profiles(t))
-    return query_profiles(t), profiles, S.fit_case_terms(profiles, 2000, 2.0, 2)
+    return query_profiles(t), profiles, S.fit_case_terms(profiles)
 
 
 @query("jn5_similar_pairs")
@@ -153,21 +154,26 @@ def agg22(t):
         size.select("edges").scalar().alias("edges"))
 
 
-def sql_pagerank(edges: str, nodes: str, steps: int, alpha: float = 0.85) -> str:
-    """Power iteration written out, with the dangling mass in every step."""
+# Steps after which the textbook iteration below stands still at the rounding used.
+STEPS = 60
+
+
+def sql_pagerank(edges: str, nodes: str, steps: int = STEPS, alpha: float = 0.85) -> str:
+    """Textbook power iteration: even start, even restart, dangling mass spread evenly in every step."""
     text = f""", od AS MATERIALIZED (SELECT src, count(*) AS degree FROM {edges} GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM {nodes}),
-      p0 AS MATERIALIZED (SELECT id, degree, 1.0::DOUBLE AS x FROM {nodes} LEFT JOIN od ON od.src = id)"""
+      p0 AS MATERIALIZED (SELECT id, degree, 1.0::DOUBLE / (SELECT n FROM n) AS x FROM {nodes} LEFT JOIN od ON od.src = id)"""
     for i in range(1, steps + 1):
-        text += f""", g{i} AS (SELECT e.dst AS id, sum(p.x / p.degree) AS gain FROM {edges} e JOIN p{i - 1} p ON p.id = e.src GROUP BY 1),
-          p{i} AS MATERIALIZED (SELECT p.id, p.degree, 1.0::DOUBLE + {alpha}::DOUBLE * coalesce(g.gain, 0) AS x FROM p{i - 1} p LEFT JOIN g{i} g ON g.id = p.id)"""
-    return text + f", pr AS (SELECT id, x / (SELECT sum(x) FROM p{steps}) AS score FROM p{steps})"
+        text += f""", d{i} AS MATERIALIZED (SELECT (1.0::DOUBLE - {alpha}::DOUBLE + {alpha}::DOUBLE * coalesce(sum(x) FILTER (degree IS NULL), 0)) / (SELECT n FROM n) AS even FROM p{i - 1}),
+          g{i} AS (SELECT e.dst AS id, sum(p.x / p.degree) AS gain FROM {edges} e JOIN p{i - 1} p ON p.id = e.src GROUP BY 1),
+          p{i} AS MATERIALIZED (SELECT p.id, p.degree, (SELECT even FROM d{i}) + {alpha}::DOUBLE * coalesce(g.gain, 0) AS x FROM p{i - 1} p LEFT JOIN g{i} g ON g.id = p.id)"""
+    return text + f", pr AS (SELECT id, x AS score FROM p{steps})"
 
 
 @query("grf2_pagerank", views=("office_actions",),
-       sql=PATENT_EDGES + sql_pagerank("e", "nodes", 15) + " SELECT id, round(score * 10000, 6) AS score FROM pr")
+       sql=PATENT_EDGES + sql_pagerank("e", "nodes") + " SELECT id, round(score * 10000, 4) AS score FROM pr")
 def grf2(t):
-    ranks = G.pagerank(O.citation_edges(t.office_actions), iterations=15)
-    return ranks.select("id", F.round(F.col("score") * 10000, 6).alias("score"))
+    ranks = G.pagerank(O.citation_edges(t.office_actions), tolerance=1e-9)
+    return ranks.select("id", F.round(F.col("score") * 10000, 4).alias("score"))
 
 
 @query("grf3_betweenness")
@@ -177,14 +183,14 @@ def grf3(t):
 
 @query("grf4_node_metrics")
 def grf4(t):
-    return G.node_metrics(O.citation_edges(t.office_actions), iterations=15, pivots=2)
+    return G.node_metrics(O.citation_edges(t.office_actions), pivots=2)
 
 
 # --- search -----------------------------------------------------------------
 
 SEARCH = (
     CASE_EDGES
-    + sql_pagerank("ce", "cases", 15)
+    + sql_pagerank("ce", "cases")
     + r""", q AS (SELECT query_id, text, embedding::DOUBLE[] AS x FROM case_queries JOIN embeddings ON vec_id = query_id),
   v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
   d AS (SELECT q.query_id, v.id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM q, v),
@@ -218,7 +224,7 @@ def rnk1(t):
     asked = t.case_queries.join(t.embeddings, F.col("query_id") == F.col("vec_id")).select(
         F.col("query_id").alias("id"), "text", F.col("embedding").alias("vector"))
     cases = t.cases.withColumns({"id": F.col("row_no")})
-    ranks = G.pagerank(G.earlier_case_edges(t.cases), t.cases.select("id"), iterations=15).select(
+    ranks = G.pagerank(G.earlier_case_edges(t.cases), t.cases.select("id"), tolerance=1e-9).select(
         F.col("id").cast("long").alias("id"), "score")
     found = R.hybrid_search(asked, cases, vectors(t), ranks, 5)
     return found.select("query_id", "rank", "id", "case_name", *r6("score", "semantic", "keyword", "entity"))
@@ -242,14 +248,36 @@ def rnk2(t):
 def rnk3(t):
     v = vectors(t)
     exact = R.nearest(v, v, 10)
-    return R.recall(R.approximate_nearest(v, v, 10, nprobe=8), exact)
+    found = R.approximate_nearest(v, v, 10)
+    hit = exact.select("query_id", "id", F.lit(True).alias("exact"))
+    return found.join(hit, ["query_id", "id"], "left").select(
+        "query_id", "id", *r6("distance"), F.coalesce("exact", F.lit(False)).alias("is_exact_neighbour"))
 
 
 @query("rnk4_text_vectors")
 def rnk4(t):
-    rows = R.hashed_embeddings(t.documents.select("doc_id", "text"), "text", dims=128)
-    return rows.select("doc_id", F.size("vector").alias("dims"),
-                       F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    rows = R.hashed_embeddings(t.documents.select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+def length_encoder(texts):
+    """A stand-in for a language model: shares of a text's characters by code point."""
+    out = np.zeros((len(texts), 32))
+    for row, text in zip(out, texts):
+        row += np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 32, minlength=32)
+    return out
+
+
+@query(
+    "rnk4_encoder_vectors",
+    sql="""WITH c AS (SELECT doc_id, unnest(list_transform(string_split(text, ''), lambda x: unicode(x) % 32)) AS slot FROM documents),
+      n AS (SELECT doc_id, slot, count(*)::DOUBLE AS n FROM c GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM n GROUP BY 1)
+      SELECT doc_id, slot::INT AS slot, round(n / length, 3) AS value FROM n JOIN l USING (doc_id)""",
+)
+def rnk4_encoder(t):
+    rows = R.encoded(t.documents.select("doc_id", "text"), "text", length_encoder)
+    return rows.select("doc_id", F.posexplode("vector").alias("slot", "v")).where("v <> 0").select(
+        "doc_id", "slot", F.round(F.col("v").cast("double"), 3).alias("value"))
 
 
 @query("rnk5_keyword_index")

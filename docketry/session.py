@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import sys
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[str] = set()
+_SCOPES: list[str] = []
+
 
 def local_session(cores: str = "8", memory: str = "12g", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -28,27 +33,50 @@ def local_session(cores: str = "8", memory: str = "12g", shuffle_partitions: int
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for this application's intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. A machine-local folder is
-    used only when the master itself is local; elsewhere a missing setting is an
-    error, because executors on other machines could not read it.
+    It lies under the folder that the cluster names in ``spark.checkpoint.dir``.
+    Without that setting a local session gets a folder of its own, as in tests;
+    elsewhere a missing setting is an error, because executors on other machines
+    could not read it. What is left there goes when the driver ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if configured:
-        root = configured
-    elif spark.sparkContext.master.startswith("local"):
-        root = os.path.join(tempfile.gettempdir(), "docketry-" + spark.sparkContext.applicationId)
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return root.rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        root = tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/docketry-{spark.sparkContext.applicationId}"
+    if path not in _ROOTS:
+        _ROOTS.add(path)
+        atexit.register(delete_folder, spark, path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store; a session that is gone leaves it."""
+    try:
+        context = spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception as error:  # the driver is ending, or the JVM has ended
+        print(f"left {path}: {type(error).__name__}", file=sys.stderr)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Intermediate tables written inside the block are deleted at its end, so use up the results before."""
+    _SCOPES.append(uuid.uuid4().hex)
+    path = "/".join([scratch_root(spark), *_SCOPES])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        delete_folder(spark, path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join([scratch_root(spark), *_SCOPES, f"{label}-{uuid.uuid4().hex}"])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_earlier_case_edges(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, date_filed string, citation_count long").withColumn("date_filed", F.col("date_filed").cast("date"))
     want = {("c", "a"), ("c", "b"), ("d", "a"), ("d", "b"), ("d", "c")}
     assert {(r["src"], r["dst"]) for r in G.earlier_case_edges(df).collect()} == want
-    monkeypatch.setattr(G, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(G, "fits_broadcast", lambda *_: False)
     assert {(r["src"], r["dst"]) for r in G.earlier_case_edges(df).collect()} == want
 
 
