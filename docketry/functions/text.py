@@ -125,7 +125,7 @@ def _decode_numeric(text: Column) -> Column:
 
 def clean_boilerplate(value: str | Column) -> Column:
     """Drop docket stamps, collapse white space, keep ordinary punctuation."""
-    text = F.regexp_replace(text_or_empty(value), r"Case:\s*\d+-\d+\s*Document:\s*\d+.*?Filed:", "")
+    text = F.regexp_replace(text_or_empty(value), lexicons.DOCKET_STAMP, "")
     text = F.regexp_replace(text, rf"{SPACE}+", " ")
     text = F.regexp_replace(text, r"""[^\p{L}\p{N}_\s.,;:\-'"()]""", " ")
     return strip_space(text)

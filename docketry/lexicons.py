@@ -178,3 +178,21 @@ PATENT_NUMBER = r"US\d{7,8}|US\d{4}/\d+|\d{7,8}"
 # Labels.
 QUINTILE_LABELS = ("Very Low", "Low", "Medium", "High", "Very High")
 NOT_AVAILABLE = "Not Available"
+
+# What an absent field of a case becomes; None stays null.
+CASE_DEFAULTS: dict[str, object] = {
+    "id": "", "case_name": "", "date_filed": None, "court": "", "court_id": "", "docket_number": "", "judge": "",
+    "precedential_status": "", "citation_count": 0, "docket_id": None, "cluster_id": None, "text_excerpt": "",
+    "tech_relevance_score": 0.0, "tech_keywords_found": [], "suit_nature": "", "procedural_history": "", "full_text": "",
+    "opinion_url": "", "opinion_sha1": "", "opinion_type": "", "opinion_cites": [], "citing_cases": [], "cited_by": [],
+}
+
+# The events in a docket's dates, as (event, column), and their descriptions.
+DOCKET_EVENTS = (
+    ("filed", "date_filed"), ("terminated", "date_terminated"), ("last_filing", "date_last_filing"),
+    ("argued", "date_argued"), ("reargued", "date_reargued"),
+)
+EVENT_DESCRIPTION = "Case {}"
+
+# Fixed value: a docket stamp inside an opinion's text.
+DOCKET_STAMP = r"Case:\s*\d+-\d+\s*Document:\s*\d+.*?Filed:"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,20 +85,21 @@ def case_table(df: DataFrame, required: Sequence[str] = schemas.REQUIRED_CASE_CO
     return out.orderBy(sort) if sort else out
 
 
-CASE_DEFAULTS: dict[str, object] = {
-    "id": "", "case_name": "", "court": "", "court_id": "", "docket_number": "", "judge": "",
-    "precedential_status": "", "citation_count": 0, "text_excerpt": "", "tech_relevance_score": 0.0,
-    "suit_nature": "", "procedural_history": "", "full_text": "", "opinion_url": "", "opinion_sha1": "",
-    "opinion_type": "",
-}
+def _default(df: DataFrame, column: str, value: object) -> Column:
+    """The column with ``value`` for nulls; a list becomes ``[]`` in a text column."""
+    kind = df.schema[column].dataType if column in df.columns else None
+    if isinstance(value, list):
+        text = isinstance(kind, T.StringType)
+        empty = F.lit(json.dumps(value)) if text else F.array(*map(F.lit, value)).cast(kind or T.ArrayType(T.StringType()))
+    else:
+        empty = F.lit(value).cast(kind or "string") if value is None else F.lit(value)
+    return F.coalesce(F.col(column), empty) if kind else empty
 
 
-def validated_cases(df: DataFrame, defaults: Mapping[str, object] = CASE_DEFAULTS) -> DataFrame:
+def validated_cases(df: DataFrame, defaults: Mapping[str, object] = lexicons.CASE_DEFAULTS) -> DataFrame:
     """Fill defaults, then keep rows with a case name and a court."""
-    filled = {
-        c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()
-    }
-    return df.withColumns(filled).where((F.col("case_name") != "") & (F.col("court_id") != ""))
+    return df.withColumns({c: _default(df, c, v) for c, v in defaults.items()}).where(
+        (F.col("case_name") != "") & (F.col("court_id") != ""))
 
 
 def first_appearance_codes(df: DataFrame, value: str, row_no: str) -> DataFrame:
@@ -175,8 +177,8 @@ def opinion_text(opinion: str | Column, fields: Sequence[str] = OPINION_TEXTS) -
 def flattened_results(results: DataFrame, lexicon: TechLexicon = TECH, min_early: float = 0.05) -> DataFrame:
     """One case row per nested result; rows with little early relevance are dropped.
 
-    Early relevance reads names and opinion snippets, the final score the
-    selected opinion text.
+    Early relevance reads names and opinion snippets; the final score reads the
+    name, the syllabus, the procedural history and the selected opinion text.
     """
     first = F.get("opinions", F.lit(0))
     opinion_texts = F.flatten(
@@ -196,7 +198,8 @@ def flattened_results(results: DataFrame, lexicon: TechLexicon = TECH, min_early
         .withColumn("_opinion", first)
         .withColumn("full_text", opinion_text("_opinion"))
     )
-    content = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("caseName", "full_text")])
+    content = F.concat_ws(
+        " ", *[F.nullif(F.col(c), F.lit("")) for c in ("caseName", "syllabus", "procedural_history", "full_text")])
     kept = kept.withColumn("_content", content)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return kept.select(
@@ -209,6 +212,15 @@ def flattened_results(results: DataFrame, lexicon: TechLexicon = TECH, min_early
         blank("docketNumber").alias("docket_number"),
         blank("docket_id").alias("docket_id"),
         blank("judge").alias("judge"),
+        blank("attorney").alias("attorney"),
+        F.coalesce("panel_names", F.array().cast("array<string>")).alias("panel_names"),
+        blank("scdb_id").alias("scdb_id"),
+        blank("dateArgued").alias("date_argued"),
+        blank("dateReargued").alias("date_reargued"),
+        blank("dateReargumentDenied").alias("date_reargument_denied"),
+        blank("procedural_history").alias("procedural_history"),
+        blank("syllabus").alias("syllabus"),
+        blank("posture").alias("posture"),
         blank("status").alias("precedential_status"),
         F.coalesce("citeCount", F.lit(0)).cast("long").alias("citation_count"),
         F.coalesce("citation", F.array().cast("array<string>")).alias("citations"),
@@ -216,6 +228,7 @@ def flattened_results(results: DataFrame, lexicon: TechLexicon = TECH, min_early
         blank("_opinion.download_url").alias("opinion_url"),
         blank("_opinion.sha1").alias("opinion_sha1"),
         blank("_opinion.type").alias("opinion_type"),
+        blank("_opinion.author_id").alias("opinion_author_id"),
         F.coalesce("_opinion.cites", F.array().cast("array<string>")).alias("opinion_cites"),
         blank("_opinion.snippet").alias("snippet"),
         "full_text",

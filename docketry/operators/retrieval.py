@@ -219,7 +219,8 @@ def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, impo
     than ``k`` names search four times as many, until they have ``k`` or all rows
     were candidates.
     """
-    columns = cases.select("id", "case_name", "date_filed", "court", *REQUIRED_FIELDS)
+    extra = [c for c in ("tech_relevance_category",) if c in cases.columns]
+    columns = cases.select("id", "case_name", "date_filed", "court", *REQUIRED_FIELDS, *extra)
     usable = cut_lineage(columns.dropna(subset=[*REQUIRED_FIELDS, "date_filed", "case_name"]).withColumn(
         "_name", X.normalised_name("case_name")))
     vectors = cut_lineage(vectors.select("id", "vector").where(F.col("vector").isNotNull()))
@@ -253,9 +254,10 @@ def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, impo
         "entity": shared.cast("double") / F.greatest(F.lit(1), named_in_query).cast("double"),
         "time": X.date_relevance("date_filed"),
     }
-    out = scored.withColumns(parts)
+    out = scored.withColumns(parts | {"matching_keywords": F.sort_array(F.array_intersect(q_words, c_words)), "entities": c_ent})
     total = sum((F.lit(w) * F.col(name) for name, w in SCORE_WEIGHTS.items()), F.lit(0.0))
     out = out.withColumns({"score": total, "excerpt": F.substring("text_excerpt", 1, 300)})
     # At most k rows per query reach this window.
     ranked = top_per_key(out, ["query_id"], [F.desc("score"), F.asc("id")], k, rank="rank")
-    return ranked.select("query_id", "rank", "id", "case_name", "date_filed", "court", "excerpt", "score", *parts)
+    return ranked.select("query_id", "rank", "id", "case_name", "date_filed", "court", *extra, "excerpt",
+                         F.col("tech_keywords_found").alias("tech_keywords"), "score", "entities", "matching_keywords", *parts)

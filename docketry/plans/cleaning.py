@@ -103,12 +103,19 @@ def api_results(t):
         F.concat(F.lit("https://example.com/"), "id").alias("download_url"),
         F.md5("id").alias("sha1"),
         F.lit("010combined").alias("type"),
+        F.when(n % 2 == 0, F.concat(F.lit("author "), "court_id")).alias("author_id"),
         F.array("docket_id").alias("cites"),
     )
     return c.select(
         F.col("id").alias("cluster_id"), F.col("case_name").alias("caseName"),
         F.col("case_name_full").alias("caseNameFull"), F.date_format("date_filed", "yyyy-MM-dd").alias("dateFiled"),
         "court", "court_id", F.col("docket_number").alias("docketNumber"), "docket_id", "judge",
+        F.when(n % 5 == 0, F.concat(F.lit("counsel "), "source")).alias("attorney"), F.array("judge", "court_id").alias("panel_names"),
+        F.when(n % 7 == 0, F.concat(F.lit("s"), "id")).alias("scdb_id"),
+        F.when(n % 2 == 1, F.date_format("date_terminated", "yyyy-MM-dd")).alias("dateArgued"),
+        F.lit(None).cast("string").alias("dateReargued"),
+        F.when(n % 4 == 2, F.date_format("date_terminated", "yyyy-MM-dd")).alias("dateReargumentDenied"),
+        "procedural_history", "syllabus", F.when(n % 3 == 2, F.concat(F.lit("posture "), "source")).alias("posture"),
         F.col("precedential_status").alias("status"), F.col("suit_nature").alias("suitNature"),
         F.col("citation_count").alias("citeCount"), F.array("docket_number").alias("citation"),
         F.when(n % 17 == 3, F.array().cast(T_OPINIONS)).otherwise(F.array(opinion)).alias("opinions"),
@@ -271,14 +278,17 @@ def cln5(t):
     views=("cases",),
     sql="""SELECT id, CASE WHEN row_no % 9 = 0 THEN '' ELSE case_name END AS case_name, court_id,
       coalesce(precedential_status, '') AS precedential_status, coalesce(suit_nature, '') AS suit_nature,
-      coalesce(text_excerpt, '') AS text_excerpt, round(coalesce(tech_relevance_score, 0), 6) AS tech_relevance_score
+      coalesce(text_excerpt, '') AS text_excerpt, round(coalesce(tech_relevance_score, 0), 6) AS tech_relevance_score,
+      docket_id, NULL::VARCHAR AS cluster_id, date_filed, coalesce(tech_keywords_found, '[]') AS tech_keywords_found,
+      0 AS opinion_cites, 0 AS citing_cases, 0 AS cited_by
       FROM cases WHERE row_no % 9 <> 0""",
 )
 def cln6(t):
     raw = t.cases.withColumn("case_name", F.when(F.col("row_no") % 9 != 0, F.col("case_name")))
     return C.validated_cases(raw).select(
         "id", "case_name", "court_id", "precedential_status", "suit_nature", "text_excerpt",
-        F.round("tech_relevance_score", 6).alias("tech_relevance_score"),
+        F.round("tech_relevance_score", 6).alias("tech_relevance_score"), "docket_id", "cluster_id", "date_filed",
+        "tech_keywords_found", *[F.size(c).alias(c) for c in ("opinion_cites", "citing_cases", "cited_by")],
     )
 
 
@@ -342,14 +352,24 @@ _FLAT = """, o AS (SELECT *, CASE WHEN row_no % 17 = 3 THEN NULL WHEN row_no % 3
 @query(
     "cln9_flattened_results",
     views=("cases",),
-    sql=_FLAT + f"""SELECT id, case_name, coalesce(precedential_status, '') AS precedential_status, citation_count,
-      body AS full_text, round({sql_relevance("lower(case_name || ' ' || body)")}, 6) AS tech_relevance_score,
-      {sql_matches("lower(case_name || ' ' || body)")} AS tech_keywords_found
-      FROM p WHERE {sql_relevance("lower(early)")} >= 0.05""",
+    sql=_FLAT + f""", s AS (SELECT *, concat_ws(' ', case_name, nullif(syllabus, ''), procedural_history, body) AS content FROM p)
+      SELECT id, case_name, coalesce(precedential_status, '') AS precedential_status, citation_count,
+      CASE WHEN row_no % 5 = 0 THEN 'counsel ' || source ELSE '' END AS attorney, judge || ',' || court_id AS panel_names,
+      CASE WHEN row_no % 7 = 0 THEN 's' || id ELSE '' END AS scdb_id,
+      CASE WHEN row_no % 2 = 1 THEN strftime(date_terminated, '%Y-%m-%d') ELSE '' END AS date_argued, '' AS date_reargued,
+      CASE WHEN row_no % 4 = 2 THEN strftime(date_terminated, '%Y-%m-%d') ELSE '' END AS date_reargument_denied,
+      coalesce(procedural_history, '') AS procedural_history, coalesce(syllabus, '') AS syllabus,
+      CASE WHEN row_no % 3 = 2 THEN 'posture ' || source ELSE '' END AS posture,
+      CASE WHEN row_no % 17 <> 3 AND row_no % 2 = 0 THEN 'author ' || court_id ELSE '' END AS opinion_author_id,
+      body AS full_text, round({sql_relevance("lower(content)")}, 6) AS tech_relevance_score,
+      {sql_matches("lower(content)")} AS tech_keywords_found
+      FROM s WHERE {sql_relevance("lower(early)")} >= 0.05""",
 )
 def cln9(t):
     return C.flattened_results(api_results(t)).select(
-        "id", "case_name", "precedential_status", "citation_count", "full_text",
+        "id", "case_name", "precedential_status", "citation_count", "attorney", F.array_join("panel_names", ",").alias("panel_names"),
+        "scdb_id", "date_argued", "date_reargued", "date_reargument_denied", "procedural_history", "syllabus", "posture",
+        "opinion_author_id", "full_text",
         F.round("tech_relevance_score", 6).alias("tech_relevance_score"),
         F.array_join("tech_keywords_found", ",").alias("tech_keywords_found"),
     )

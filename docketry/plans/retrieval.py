@@ -9,7 +9,7 @@ from docketry.operators import graph as G
 from docketry.operators import office_actions as O
 from docketry.operators import retrieval as R
 from docketry.operators import strategy as S
-from docketry.operators.joins import enriched_cases
+from docketry.operators.joins import enriched_cases, party_details
 from docketry.plans.aggregates import r6
 from docketry.operators.statistics import vector_statistics
 from docketry.plans.registry import query
@@ -23,7 +23,9 @@ from docketry.session import cut_lineage
     views=("cases",),
     sql="""SELECT id, c_mktsegment AS case_type, coalesce(c_name, judge) AS assigned_judge, split_part(case_name, ' v. ', 1) AS plaintiff,
       (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS parties,
-      coalesce(CASE WHEN row_no % 2 = 0 THEN 'Cluster ' || source END, precedential_status) AS precedential_status
+      coalesce(CASE WHEN row_no % 2 = 0 THEN 'Cluster ' || source END, precedential_status) AS precedential_status,
+      CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 3 = 0 THEN '2001-02-03 filed Case filed'
+        ELSE '2001-02-03 filed Case filed;' || (2001 + c_custkey % 9) || '-05-06 terminated Case terminated' END AS events
       FROM cases LEFT JOIN customer c ON CAST(docket_id AS BIGINT) = c.c_custkey""",
 )
 def jn1(t):
@@ -31,7 +33,8 @@ def jn1(t):
     dockets = t.customer.select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("assignedTo"),
         F.col("c_mktsegment").alias("nature_of_suit"), F.lit(None).cast("string").alias("jurisdiction_type"),
-        F.lit(None).cast("string").alias("appellate_fee_status"),
+        F.lit(None).cast("string").alias("appellate_fee_status"), F.lit("2001-02-03").alias("date_filed"),
+        F.when(F.col("c_custkey") % 3 != 0, F.concat((2001 + F.col("c_custkey") % 9).cast("string"), F.lit("-05-06"))).alias("date_terminated"),
     )
     parties = t.orders.select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("docket_id"),
@@ -46,9 +49,27 @@ def jn1(t):
     return out.select(
         "id", "case_type", "assigned_judge", "parties_in_name.plaintiff", F.col("party_count").alias("parties"),
         "precedential_status",
+        F.array_join(F.transform("procedural_events", lambda e: F.concat_ws(" ", e["date"], e["event_type"], e["description"])), ";").alias("events"),
     )
 
 
+@query(
+    "jn1_party_details",
+    views=("cases",),
+    sql="""SELECT c.id, o_orderpriority AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'party' ELSE 'Not Available' END AS role, o_orderstatus AS type,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'Lawyer ' || o_custkey || ',second' ELSE '' END AS attorneys
+      FROM cases c JOIN orders o ON o.o_custkey = CAST(c.docket_id AS BIGINT)""",
+)
+def jn1_parties(t):
+    lawyers = F.array(*[F.struct(x.alias("name")) for x in (F.concat(F.lit("Lawyer "), "o_custkey"), F.lit("second"))])
+    parties = t.orders.select(
+        F.col("o_custkey").cast("string").alias("docket_id"), F.col("o_orderpriority").alias("name"),
+        F.when(F.col("o_orderkey") % 2 == 0, "party").alias("role"), F.col("o_orderstatus").alias("type"),
+        F.when(F.col("o_orderkey") % 3 == 0, lawyers).alias("attorneys"),
+    )
+    return party_details(t.cases, parties).withColumn("attorneys", F.array_join("attorneys", ","))
+
+
 PATENT_EDGES = """, e AS (SELECT DISTINCT publicationNumber AS src, citedDocumentIdentifier AS dst FROM office_actions
     WHERE citedDocumentIdentifier IS NOT NULL),
   nodes AS (SELECT DISTINCT unnest([src, dst]) AS id FROM e),
@@ -211,11 +232,11 @@ SEARCH = (
     + ")::DOUBLE / greatest(1, " + " + ".join(f"len(qe{i}.s)" for i in range(4)) + ") AS entity FROM qe0 "
     + " ".join(f"JOIN {n} USING (query_id, row_no)" for n in ("qe1", "qe2", "qe3", "ce_0", "ce_1", "ce_2", "ce_3")) + """),
   sc AS (SELECT w.query_id, w.row_no AS id, w.case_name, 1 - distance AS semantic, len(list_intersect(a, b))::DOUBLE / len(a) AS keyword,
-    tech_relevance_score AS tech, score AS citation, entity, date_diff('day', DATE '2000-01-01', date_filed)::DOUBLE / 9132 AS "time"
+    tech_relevance_score AS tech, tech_keywords_found AS tech_keywords, array_to_string(list_sort(list_intersect(a, b)), ' ') AS matching, score AS citation, entity, date_diff('day', DATE '2000-01-01', date_filed)::DOUBLE / 9132 AS "time"
     FROM w JOIN ent ON ent.query_id = w.query_id AND ent.row_no = w.row_no LEFT JOIN pr ON pr.id = w.id),
   tot AS (SELECT *, 0.3::DOUBLE * semantic + 0.2::DOUBLE * keyword + 0.2::DOUBLE * tech + 0.15::DOUBLE * citation + 0.1::DOUBLE * entity + 0.05::DOUBLE * "time" AS score FROM sc)
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, case_name, round(score, 6) AS score,
-    round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(entity, 6) AS entity FROM tot"""
+    round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(entity, 6) AS entity, tech_keywords, matching FROM tot"""
 )
 
 
@@ -227,7 +248,8 @@ def rnk1(t):
     ranks = G.pagerank(G.earlier_case_edges(t.cases), t.cases.select("id"), tolerance=1e-9).select(
         F.col("id").cast("long").alias("id"), "score")
     found = R.hybrid_search(asked, cases, vectors(t), ranks, 5)
-    return found.select("query_id", "rank", "id", "case_name", *r6("score", "semantic", "keyword", "entity"))
+    return found.select("query_id", "rank", "id", "case_name", *r6("score", "semantic", "keyword", "entity"), "tech_keywords",
+                        F.array_join("matching_keywords", " ").alias("matching"))
 
 
 @query(

@@ -38,13 +38,14 @@ OFFICE_ACTIONS_RAW = T.StructType([T.StructField(f.name, _S) for f in OFFICE_ACT
 
 OPINION = _struct(
     plain_text=_S, html_with_citations=_S, html=_S, text_excerpt=_S, snippet=_S, download_url=_S, sha1=_S,
-    type=_S, cites=T.ArrayType(_S),
+    type=_S, author_id=_S, cites=T.ArrayType(_S),
 )
 
 API_RESULT = _struct(
     cluster_id=_S, caseName=_S, caseNameFull=_S, dateFiled=_S, court=_S, court_id=_S, docketNumber=_S,
-    docket_id=_S, judge=_S, status=_S, suitNature=_S, citeCount=_L, citation=T.ArrayType(_S),
-    opinions=T.ArrayType(OPINION),
+    docket_id=_S, judge=_S, attorney=_S, panel_names=T.ArrayType(_S), scdb_id=_S, dateArgued=_S, dateReargued=_S,
+    dateReargumentDenied=_S, procedural_history=_S, syllabus=_S, posture=_S, status=_S, suitNature=_S, citeCount=_L,
+    citation=T.ArrayType(_S), opinions=T.ArrayType(OPINION),
 )
 
 API_PAGE = _struct(next=_S, results=T.ArrayType(API_RESULT))
