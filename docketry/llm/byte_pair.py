@@ -20,7 +20,7 @@ from docketry.llm.common import map_texts
 # Fixed value: the pattern that cuts text into pieces before merging.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces whose codes a task remembers; a full memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _LOADED: dict[str, Codec] = {}
 
 

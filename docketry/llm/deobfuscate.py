@@ -37,7 +37,7 @@ LONGEST = 64  # a longer word is restored in parts of this length
 NGRAM = 5
 # Labelled rows used to fit, and features kept; documented bounds of the model.
 FIT_ROWS, FEATURES = 20_000, 20_000
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
 _APART = re.compile(r"(?:(?<=\s)|^)[^\W_](?:[ .\-_*][^\W_]){2,}(?=\s|$|[.,!?])")
@@ -60,7 +60,7 @@ def trigram_counts(df: DataFrame, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for part in pieces_of(batch, 0, 4_000_000):
+            for part in pieces_of(batch, 0, 1_000_000):
                 codes = np.frombuffer(" ".join(part.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
                 symbols = table[np.where(codes < len(table), codes, 0)]
                 symbols = np.concatenate([[0, 0], symbols, [0]])
@@ -250,7 +250,7 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, model: np.ndarray, label:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(table.value)
         for batch in batches:
-            for piece in pieces_of(batch, 1, 8_000_000):
+            for piece in pieces_of(batch, 1, 2_000_000):
                 tallies = (Counter(), Counter())
                 for y, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     found: set[str] = set()
@@ -341,7 +341,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, use: Column, threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, curve = Scorer(Restorer(table.value), shared.value), shared.value.curve
         for batch in batches:
-            for piece in pieces_of(batch, at, 8_000_000):
+            for piece in pieces_of(batch, at, 4_000_000):
                 texts = [t or "" for t in piece.column(at).to_pylist()]
                 x = curve_inputs(np.array([scorer.strongest(t) for t in texts]).reshape(-1, 3))
                 score = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))

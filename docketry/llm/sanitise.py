@@ -38,7 +38,8 @@ WINDOW, REACH = 4, 200
 # Different values that a term must stand near, and the thresholds of its disclosed share.
 VALUES, GENERALISE, REMOVE = 5, 0.7, 0.9
 SIEVE_BITS = 22  # a sieve has 2^22 bits whatever the input
-FLUSH = 200_000
+FLUSH = 100_000
+PIECE = 4_000_000  # bytes of text that a task turns into Python objects at a time
 PLACEHOLDER = "[{}]"
 
 
@@ -145,9 +146,10 @@ def near_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                if spans := base_spans(text):
-                    tally.update(terms_near(text, spans))
+            for part in pieces_of(batch, 0, PIECE):
+                for text in part.column(0).to_pylist():
+                    if spans := base_spans(text):
+                        tally.update(terms_near(text, spans))
             if tally:
                 term, kind, value = zip(*tally)
                 yield pa.RecordBatch.from_arrays(
@@ -166,10 +168,11 @@ def term_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         sieve, tally, every = shared.value, Counter(), 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["term", "n"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = _TERM.findall(text)
-                every += len(found)
-                tally.update([t for t in found if sieve.may_hold(t)])
+            for part in pieces_of(batch, 0, PIECE):
+                for text in part.column(0).to_pylist():
+                    found = _TERM.findall(text)
+                    every += len(found)
+                    tally.update([t for t in found if sieve.may_hold(t)])
             if len(tally) > FLUSH:
                 yield out()
                 tally.clear()
@@ -223,7 +226,7 @@ def spans_of(df: DataFrame, text_column: str, risky: DataFrame, carry: list[Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
         for whole in batches:
-            for batch in pieces_of(whole, 0, 8_000_000):
+            for batch in pieces_of(whole, 0, PIECE):
                 base, maybe = [], []
                 for text in batch.column(0).to_pylist():
                     spans = base_spans(text)
@@ -297,10 +300,10 @@ def sanitised(df: DataFrame, text_column: str = "text", remove: float = REMOVE)
     flat = F.transform(all_spans(), lambda s: F.struct(s["start"], s["end"], s["kind"]))
     gone = F.transform(F.filter("terms", lambda t: t["share"] >= remove), lambda t: t["start"])
     rows = found.select("*", flat.alias("spans"), gone.alias("gone"))
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in (part for whole in batches for part in pieces_of(whole, at, PIECE)):
             spans, gone_ = batch.column("spans").to_pylist(), batch.column("gone").to_pylist()
             texts = [replaced(t, [tuple(s.values()) for s in x], set(g)) if x else t
                      for t, x, g in zip(batch.column(at).to_pylist(), spans, gone_)]
