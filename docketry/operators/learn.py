@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,7 +14,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import lexicons
@@ -388,6 +389,7 @@ class RejectionModel:
     scaler: Transformer
     classifier: Transformer
     calibration: Transformer
+    held: DataFrame | None = None  # (id, label, score) of every training row, scored outside its fold; not saved
 
     def transform(self, features: DataFrame) -> DataFrame:
         scaled = _scaled(features, self.columns, self.scaler)
@@ -413,7 +415,7 @@ def fit_rejection_model(features: DataFrame, key: str, label: str, columns: Sequ
     """
     columns = list(columns)
     base = cut_lineage(_scaled(features, columns).select(
-        F.col(key).cast("long").alias("id"), F.col(label).cast("double").alias("label"), "_vector"))
+        F.col(key).alias("id"), F.col(label).cast("double").alias("label"), "_vector"))
     scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True).fit(base)
     ready = cut_lineage(scaler.transform(base).select("id", "label", "_scaled", vector_to_array("_scaled").alias("vector")))
 
@@ -431,12 +433,12 @@ def fit_rejection_model(features: DataFrame, key: str, label: str, columns: Sequ
     folded = ready.withColumn("_fold", fold_of("id", folds))
     for i in range(folds):
         scored = fit(folded.where(F.col("_fold") != i).drop("_fold")).transform(folded.where(F.col("_fold") == i))
-        scored = cut_lineage(scored.select("label", "prediction", probability().alias("_score")))
+        scored = cut_lineage(scored.select("id", "label", "prediction", probability().alias("_score")))
         s = binary_scores(scored)
         scores.append((i, s["precision"], s["recall"], s["f1"]))
         held = scored if held is None else held.unionByName(scored)
     calibration = fit_platt(held, "_score", "label")
-    model = RejectionModel(columns, scaler, fit(ready), calibration)
+    model = RejectionModel(columns, scaler, fit(ready), calibration, held.select("id", "label", F.col("_score").alias("score")))
     table = features.sparkSession.createDataFrame(scores, "fold int, precision double, recall double, f1 double")
     return model, table
 
@@ -447,6 +449,13 @@ def fit_platt(scored: DataFrame, score: str, label: str) -> Transformer:
     return LogisticRegression(featuresCol="_platt", labelCol=label, standardization=False).fit(rows)
 
 
+def calibrated(scored: DataFrame, calibration: Transformer, score: str = "score") -> DataFrame:
+    """Raw scores with the calibrated probability beside them."""
+    ready = VectorAssembler(inputCols=[score], outputCol="_platt").transform(scored)
+    out = calibration.transform(ready).withColumn("calibrated", probability())
+    return out.select(*scored.columns, "calibrated")
+
+
 def scored_questions(questions: DataFrame, model: RejectionModel) -> DataFrame:
     """Probability, level, advice and explanations for structured patent questions.
 
@@ -465,3 +474,42 @@ def scored_questions(questions: DataFrame, model: RejectionModel) -> DataFrame:
         {"confidence_level": P.confidence_level("rejection_probability"), "recommendations": advice,
          "summary": P.summary_text("rejection_probability", "query_type"), "technical_analysis": P.technical_analysis("_c")}
     ).drop("_c")
+
+
+# --- saving fitted models ---------------------------------------------------
+
+SAVED = {c.__name__: c for c in (IssueModel, PeriodBlend, RejectionModel)}
+
+
+def save_model(spark: SparkSession, model: IssueModel | PeriodBlend | RejectionModel, path: str) -> str:
+    """Write a fitted model: its Spark ML parts in folders, and a JSON text that says how they belong together."""
+
+    def part(value, place: str):
+        if isinstance(value, Transformer):
+            PipelineModel([value]).write().overwrite().save(f"{path}/{place}")
+            return {"transformer": place}
+        if type(value).__name__ in SAVED:
+            names = [f.name for f in fields(value) if not isinstance(getattr(value, f.name), DataFrame)]
+            return {"model": type(value).__name__, "fields": {n: part(getattr(value, n), f"{place}-{n}") for n in names}}
+        if isinstance(value, dict):
+            return {"entries": [[k, part(v, f"{place}-{i}")] for i, (k, v) in enumerate(value.items())]}
+        return {"value": value}
+
+    text = json.dumps(part(model, "part"))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/parts")
+    return path
+
+
+def load_model(spark: SparkSession, path: str) -> IssueModel | PeriodBlend | RejectionModel:
+    """Read a model that ``save_model`` wrote."""
+
+    def build(part: dict):
+        if "transformer" in part:
+            return PipelineModel.load(f"{path}/{part['transformer']}").stages[0]
+        if "model" in part:
+            return SAVED[part["model"]](**{n: build(p) for n, p in part["fields"].items()})
+        if "entries" in part:
+            return {k: build(p) for k, p in part["entries"]}
+        return part["value"]
+
+    return build(json.loads(spark.read.text(f"{path}/parts").first()["value"]))

@@ -1,7 +1,6 @@
 """Model queries. Fits use fewer and shallower trees than the operators' defaults."""
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -133,20 +132,21 @@ def ml10(t):
 
 
 def rejection_rows(t):
-    """Office actions with a row number, features, degrees of the publication, and the label."""
-    degrees = G.degrees(O.citation_edges(t.office_actions))
-    rows = L.patent_features(t.office_actions, degrees)
+    """Office actions with a row number, features, network scores of the publication, and the label."""
+    edges = cut_lineage(O.citation_edges(t.office_actions))  # used twice
+    metrics = G.degrees(edges).join(G.pagerank(edges).withColumnRenamed("score", "pagerank"), "id")
+    rows = L.patent_features(t.office_actions, metrics)
     key = F.xxhash64("publicationNumber", "citedDocumentIdentifier", "officeActionDate", "relatedClaimNumberText", "groupArtUnitNumber",
                      "passageLocationText")
     return rows.withColumns({"id": key, "label": P.has_rejection("passageLocationText")})
 
 
 REJECTION_COLUMNS = ("is_examiner_cited", "is_applicant_cited", "is_npl", "tech_center", "num_claims_cited",
-                     "citation_network_in_degree", "citation_network_out_degree")
+                     "citation_network_in_degree", "citation_network_out_degree", "citation_network_pagerank")
 
 
-def rejection_model(t):
-    return L.fit_rejection_model(rejection_rows(t), "id", "label", REJECTION_COLUMNS, trees=10, folds=3)
+def rejection_model(t, boosted=False):
+    return L.fit_rejection_model(rejection_rows(t), "id", "label", REJECTION_COLUMNS, boosted=boosted, trees=10, folds=3)
 
 
 @query("ml11_rejection_model")
@@ -154,26 +154,44 @@ def ml11(t):
     return rejection_model(t)[1]
 
 
-@query("ml12_synthetic_minority")
-def ml12(t):
+@query("ml11_boosted_rejection_model")
+def ml11_boosted(t):
+    return rejection_model(t, boosted=True)[1]
+
+
+def balanced_rows(t):
     rows = rejection_rows(t)
     vector = F.array(*[F.col(c).cast("double") for c in REJECTION_COLUMNS])
-    made = L.synthetic_minority(rows.select("id", vector.alias("vector"), F.col("label").cast("double").alias("label")))
-    return made.groupBy("label", "synthetic").agg(F.count("*").alias("rows"))
+    return L.synthetic_minority(rows.select("id", vector.alias("vector"), F.col("label").cast("double").alias("label")))
+
+
+@query("ml12_synthetic_minority")
+def ml12(t):
+    return balanced_rows(t).where("synthetic").select("id", "label", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(
+    "ml12_class_counts",
+    views=("office_actions",),
+    sql=""", y AS (SELECT CASE WHEN regexp_matches(coalesce(passageLocationText, ''), 'c[.] ?10[23]') THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM office_actions),
+      n AS (SELECT label, count(*) AS rows FROM y GROUP BY 1)
+      SELECT label, false AS synthetic, rows FROM n
+      UNION ALL SELECT label, true, (SELECT max(rows) FROM n) - rows FROM n WHERE rows < (SELECT max(rows) FROM n)""",
+)
+def ml12_counts(t):
+    return balanced_rows(t).groupBy("label", "synthetic").agg(F.count("*").alias("rows"))
 
 
 @query("ml13_calibration")
 def ml13(t):
-    rows = t.documents.join(t.labels, "doc_id").select(
-        "doc_id", F.col("quality").cast("double").alias("label"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"))
-    model = L.fit_platt(rows, "score", "label")
-    ready = VectorAssembler(inputCols=["score"], outputCol="_platt").transform(rows)
-    return model.transform(ready).select("doc_id", "label", *r6("score"), F.round(L.probability(), 6).alias("calibrated"))
+    model, _ = rejection_model(t)
+    return L.calibrated(model.held, model.calibration).select("id", "label", *r6("score", "calibrated"))
 
 
 @query("ml14_scored_questions")
 def ml14(t):
-    model, _ = rejection_model(t)
+    fitted, _ = rejection_model(t)
+    model = L.load_model(t.spark, L.save_model(t.spark, fitted, scratch_path(t.spark, "rejection-model")))
     out = L.scored_questions(structured_questions(t), model)
     return out.select("conv_id", "turn", "query_type", *r6("rejection_probability"), "confidence_level", "summary",
                       F.array_join("recommendations", "|").alias("recommendations"))

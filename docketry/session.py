@@ -8,6 +8,7 @@ import sys
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: set[str] = set()
@@ -54,11 +55,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store; a session that is gone leaves it."""
+    context = spark.sparkContext
+    jvm = SparkContext._jvm  # also there when the session has stopped
     try:
-        context = spark.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception as error:  # the driver is ending, or the JVM has ended
+        settings = context._jsc.hadoopConfiguration() if context._jsc else jvm.org.apache.hadoop.conf.Configuration()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+    except Exception as error:  # the JVM has ended
         print(f"left {path}: {type(error).__name__}", file=sys.stderr)
 
 
