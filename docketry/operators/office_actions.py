@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import patent as P
 from docketry.operators.scaling import top_per_key
+from docketry.session import cut_lineage
 
 
 def rejection_counts(actions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,37 +75,57 @@ def require_center(actions: DataFrame, center: int | str) -> DataFrame:
     return rows
 
 
+def section_counts(actions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All counts of the reports, ``(by..., section, key, n)``, from one pass over the rows."""
+    entry = lambda section, key, n=F.lit(1).cast("long"): F.struct(
+        F.lit(section).alias("section"), key.cast("string").alias("key"), n.alias("n"))
+    each = lambda section, keys: F.transform(
+        F.coalesce(keys.cast("array<string>"), F.array().cast("array<string>")), lambda k: entry(section, k))
+    claims, day, cited = P.claim_numbers("relatedClaimNumberText"), F.col("officeActionDate"), F.col("citedDocumentIdentifier")
+    some = F.array(
+        entry("rows", F.lit("all")),
+        entry("claim_rows", F.lit("all"), F.size(claims).isNotNull().cast("long")),
+        entry("claims", F.lit("all"), F.coalesce(F.size(claims), F.lit(0)).cast("long")),
+        F.when(day.isNotNull(), entry("year", F.year(day))), F.when(day.isNotNull(), entry("month", F.date_format(day, "yyyy-MM"))),
+        F.when(cited.isNotNull(), entry("citation", cited)),
+    )
+    every = F.concat(F.array_compact(some), each("rejection", P.rejection_types("passageLocationText")), each("claim", claims))
+    return actions.select(*by, F.explode(every).alias("e")).groupBy(*by, "e.section", "e.key").agg(F.sum("e.n").alias("n"))
+
+
+def _of(counts: DataFrame, section: str) -> DataFrame:
+    return counts.where(F.col("section") == section).drop("section")
+
+
 def center_report(actions: DataFrame, center: int | str | None = None) -> DataFrame:
     """All reports as long rows ``(techCenter, section, key, value)``, for one or every centre.
 
-    Each centre's rows are counted per key first; only those counts meet in a
-    window, so a large centre costs no more than a small one.
+    Rows are read once and counted per centre, section and key; totals and tops
+    come from those counts, so a large centre costs no more than a small one.
     """
-    data = actions if center is None else require_center(actions, center)
     by = ["techCenter"]
+    counts = cut_lineage(section_counts(actions if center is None else require_center(actions, center), by))
 
-    def part(section: str, key: Column | str, value: Column | str, rows: DataFrame) -> DataFrame:
+    def part(section: str, rows: DataFrame, key: Column | str = "key", value: Column | str = "n") -> DataFrame:
         key = F.col(key) if isinstance(key, str) else key
         value = F.col(value) if isinstance(value, str) else value
-        return rows.select("techCenter", F.lit(section).alias("section"), key.cast("string").alias("key"),
-                           value.cast("double").alias("value"))
+        return rows.select("techCenter", F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
 
-    summary = rejection_summary(data, by)
-    totals = data.groupBy(*by).agg(
-        F.count("*").alias("applications"), F.count("citedDocumentIdentifier").alias("citations")
-    )
+    rejections, claims, total = _of(counts, "rejection"), _of(counts, "claim"), F.lit("all")
+    common = top_per_key(rejections, by, [F.desc("n"), F.asc("key")], 1)
     parts = [
-        part("rejection_count", "rejection", "count", rejection_counts(data, by)),
-        part("most_common_rejection", "most_common", "most_common_count", summary),
-        part("total_rejections", F.lit("all"), "total_rejections", summary),
-        part("most_rejected_claim", "claim", "count", most_rejected_claims(data, 5, by)),
-        part("claim_count", "claim", "count", claim_counts(data, by)),
-        part("avg_claims_per_rejection", F.lit("all"), "avg_claims_per_rejection", mean_claims(data, by)),
-        part("year", "year", "count", yearly_counts(data, by)),
-        part("month", "month", "count", monthly_counts(data, 12, by)),
-        part("top_citation", "citedDocumentIdentifier", "count", top_citations(data, 10, by)),
-        part("total_applications", F.lit("all"), "applications", totals),
-        part("total_citations", F.lit("all"), "citations", totals),
+        part("rejection_count", rejections),
+        part("most_common_rejection", common),
+        part("total_rejections", rejections.groupBy(*by).agg(F.sum("n").alias("n")), total),
+        part("most_rejected_claim", top_per_key(claims, by, [F.desc("n"), F.col("key").cast("int").asc()], 5)),
+        part("claim_count", claims),
+        part("avg_claims_per_rejection", _mean_claims(counts, by), total),
+        part("year", _of(counts, "year")),
+        part("month", top_per_key(_of(counts, "month"), by, [F.desc("key")], 12)),
+        part("top_citation", top_per_key(_of(counts, "citation"), by, [F.desc("n"), F.asc("key")], 10)),
+        part("total_applications", _of(counts, "rows")),
+        part("total_citations", counts.groupBy(*by).agg(
+            F.coalesce(F.sum(F.when(F.col("section") == "citation", F.col("n"))), F.lit(0)).alias("n")), total),
     ]
     out = parts[0]
     for rows in parts[1:]:
@@ -112,17 +133,28 @@ def center_report(actions: DataFrame, center: int | str | None = None) -> DataFr
     return out
 
 
+def _mean_claims(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = {s: F.sum(F.when(F.col("section") == s, F.col("n"))) for s in ("claims", "claim_rows")}
+    return counts.groupBy(*by).agg(F.try_divide(sums["claims"].cast("double"), sums["claim_rows"].cast("double")).alias("n"))
+
+
 def center_summary(actions: DataFrame, last: int = 12) -> DataFrame:
     """A sentence list per centre, with the direction of the newest months."""
     by = ["techCenter"]
-    months = monthly_counts(actions, last, by).groupBy(*by).agg(
-        F.max_by("count", "month").alias("_newest"), F.min_by("count", "month").alias("_oldest"), F.count("*").alias("_n")
+    counts = cut_lineage(section_counts(actions, by))
+    months = top_per_key(_of(counts, "month"), by, [F.desc("key")], last).groupBy(*by).agg(
+        F.max_by("n", "key").alias("_newest"), F.min_by("n", "key").alias("_oldest"), F.count("*").alias("_n")
     )
-    claims = most_rejected_claims(actions, 1, by).select(*by, "claim", F.col("count").alias("claim_count"))
-    totals = actions.groupBy(*by).agg(F.count("*").alias("applications"))
+    claims = top_per_key(_of(counts, "claim"), by, [F.desc("n"), F.col("key").cast("int").asc()], 1).select(
+        *by, F.col("key").alias("claim"), F.col("n").alias("claim_count"))
+    rejections = _of(counts, "rejection")
+    common = top_per_key(rejections, by, [F.desc("n"), F.asc("key")], 1).select(
+        *by, F.col("key").alias("most_common"), F.col("n").alias("most_common_count"))
+    sums = rejections.groupBy(*by).agg(F.sum("n").alias("total_rejections"))
     rows = (
-        totals.join(rejection_summary(actions, by), by, "left").join(claims, by, "left")
-        .join(mean_claims(actions, by), by, "left").join(months, by, "left")
+        _of(counts, "rows").select(*by, F.col("n").alias("applications")).join(sums, by, "left").join(common, by, "left")
+        .join(claims, by, "left").join(_mean_claims(counts, by).withColumnRenamed("n", "avg_claims_per_rejection"), by, "left")
+        .join(months, by, "left")
     )
     rising = F.coalesce((F.col("_n") >= 2) & (F.col("_newest") > F.col("_oldest")), F.lit(False))
     text = F.concat_ws(
