@@ -25,8 +25,9 @@ FILTERS, HIDDEN = 16, 16
 BLOCK = 128  # a chunk is two blocks long, and chunks start a block apart
 PAD = 256
 # Labelled rows used to fit, and chunks taken of each, spread evenly over the text.
-FIT_ROWS, FIT_CHUNKS = 4_000, 6
-EPOCHS, BATCH, RATE = 14, 64, 4e-3
+FIT_ROWS, FIT_CHUNKS = 6_000, 6
+SHORT = (16, 90)  # bytes of the short piece that a long text adds to the fit as a text of its own
+EPOCHS, BATCH, RATE = 16, 64, 4e-3
 SLICE = 1 << 17  # positions convolved at a time
 
 
@@ -62,6 +63,16 @@ def chunk_rows(data: bytes, most: int) -> list[bytes]:
     return [data[s:s + 2 * BLOCK + WIDTH - 1] for s in starts.tolist()]
 
 
+def fragment(data: bytes, seed: int) -> list[bytes]:
+    """A short piece of a long text, so that the network also learns what short texts look like."""
+    if len(data) < 4 * SHORT[1]:
+        return []
+    rng = np.random.default_rng(seed & (2**63 - 1))
+    size = int(rng.integers(*SHORT))
+    start = int(rng.integers(len(data) // 4, len(data) - size))
+    return [data[start:start + size]]
+
+
 def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
     """Fit by Adam on the logistic loss of the mean chunk logit of each text.
 
@@ -169,18 +180,21 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, label: str = "quality", i
         text_column: str = "text", rows: int = FIT_ROWS) -> Network:
     """Learn from at most ``rows`` labelled texts that ``use`` allows.
 
-    The driver receives their chunks, at most ``rows * FIT_CHUNKS`` of about 260
-    bytes. With no labelled text the network is as it started; with one label
+    The driver receives their chunks, at most ``rows * (FIT_CHUNKS + 1)`` of about
+    260 bytes. With no labelled text the network is as it started; with one label
     only it learns the constant.
     """
     sample = bounded_sample(df, labels, label, use, rows, id_column, text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, labels_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
+            rows = [(i, y, chunk_rows(t, FIT_CHUNKS)) for i, y, t in zip(ids, labels_, texts)]
+            rows += [(i, y, f) for i, y, t in zip(ids, labels_, texts) if (f := fragment(t, i))]
+            i, y, chunks = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([chunk_rows(t, FIT_CHUNKS) for t in texts], pa.list_(pa.binary()))],
-                ["id", "y", "chunks"])
+                [pa.array(i, pa.int64()), pa.array(y, pa.int32()), pa.array(chunks, pa.list_(pa.binary()))], ["id", "y", "chunks"])
 
     found = sample.select(F.xxhash64("_id").alias("id"), "_label", "_text").mapInArrow(cut, "id long, y int, chunks array<binary>").collect()
     if not found:
