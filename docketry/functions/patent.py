@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from docketry import lexicons
 from docketry.functions.text import any_contains, col, let, strip_space, text_or_empty
 
-REJECTION_REFERENCE = r"(?:section|§|\bc\.?\s*)(101|102|103|112)\b"
-REJECTION_REFERENCE_SPACED = r"(?:section\s*|§\s*|\bc\.?\s*)(101|102|103|112)\b"
-
 
 def flag(value: str | Column) -> Column:
     """Text or boolean flag: true only for TRUE in any case."""
@@ -43,7 +40,7 @@ def rejection_types(value: str | Column, allow_space: bool = False) -> Column:
 
     By default ``section 103`` with a space does not count, ``section103`` does.
     """
-    pattern = REJECTION_REFERENCE_SPACED if allow_space else REJECTION_REFERENCE
+    pattern = lexicons.REJECTION_REFERENCE_SPACED if allow_space else lexicons.REJECTION_REFERENCE
     return F.array_sort(
         F.array_distinct(
             F.regexp_extract_all(F.lower(text_or_empty(value)), F.lit("(?U)" + pattern), F.lit(1))
@@ -196,65 +193,52 @@ def _notes(*pairs: tuple[Column, str | Column]) -> Column:
 
 def claim_recommendations(probability: str | Column, features: str | Column) -> Column:
     """Advice from claim features and the probability of rejection."""
-    p, f = col(probability), col(features)
+    p, f, said = col(probability), col(features), lexicons.CLAIM_ADVICE
     risky = p > 0.7
     return _notes(
-        (risky, "High risk of rejection. Consider reviewing prior art thoroughly."),
-        (risky & f["has_103_rejection"],
-         "Potential obviousness issues detected. Consider strengthening non-obviousness arguments."),
-        (risky & f["has_102_rejection"],
-         "Potential novelty issues detected. Review cited prior art carefully."),
-        (f["num_claim_citations"] > 5, "Multiple claim citations detected. Consider narrowing claim scope."),
-        (f["num_paragraph_citations"] == 0,
-         "No paragraph citations found. Consider adding more detailed support from specification."),
+        (risky, said["risk"]),
+        (risky & f["has_103_rejection"], said["103"]),
+        (risky & f["has_102_rejection"], said["102"]),
+        (f["num_claim_citations"] > 5, said["claims"]),
+        (f["num_paragraph_citations"] == 0, said["support"]),
     )
 
 
 def passage_recommendations(probability: str | Column, features: str | Column) -> Column:
     """Advice from passage features and the probability of rejection."""
-    p, f = col(probability), col(features)
+    p, f, said = col(probability), col(features), lexicons.PASSAGE_ADVICE
     return _notes(
-        (p > 0.7, "High risk of rejection - detailed review recommended"),
-        ((p > 0.5) & (p <= 0.7), "Moderate risk - consider strengthening claim language"),
-        (~f["has_spec_support"], "Add more detailed support from specification"),
-        (f["num_claims_cited"] > 5, "High number of claim citations - consider narrowing scope"),
+        (p > 0.7, said["risk"]),
+        ((p > 0.5) & (p <= 0.7), said["moderate"]),
+        (~f["has_spec_support"], said["support"]),
+        (f["num_claims_cited"] > 5, said["claims"]),
     )
 
 
 def question_recommendations(probability: str | Column, sections: str | Column) -> Column:
     """Advice for a question from its named sections."""
-    p, sections = col(probability), col(sections)
+    p, sections, said = col(probability), col(sections), lexicons.QUESTION_ADVICE
     risky = p > 0.7
     return _notes(
-        (risky, "High risk of rejection - detailed review recommended"),
-        (risky & F.array_contains(sections, "103"),
-         "Potential obviousness issues - consider strengthening non-obviousness arguments"),
-        (risky & F.array_contains(sections, "102"), "Potential novelty issues - review prior art carefully"),
-        ((p > 0.5) & (p <= 0.7), "Moderate risk - consider strengthening claim language"),
+        (risky, said["risk"]),
+        (risky & F.array_contains(sections, "103"), said["103"]),
+        (risky & F.array_contains(sections, "102"), said["102"]),
+        ((p > 0.5) & (p <= 0.7), said["moderate"]),
     )
 
 
 def summary_text(probability: str | Column, kind: str | Column) -> Column:
-    p, asked = col(probability), col(kind) == "patentability"
+    p, asked, said = col(probability), col(kind) == "patentability", lexicons.SUMMARIES
     return (
-        F.when(asked & (p > 0.7),
-               "Based on the analysis, this invention may face significant patentability challenges.")
-        .when(asked & (p > 0.4), "The invention shows promise but may need refinement to improve patentability.")
-        .when(asked, "Initial analysis suggests favorable patentability prospects.")
-        .otherwise("Analysis complete. See detailed results below.")
+        F.when(asked & (p > 0.7), said["high"]).when(asked & (p > 0.4), said["middle"]).when(asked, said["low"])
+        .otherwise(said["other"])
     )
 
 
 def technical_analysis(features: str | Column) -> Column:
-    f = col(features)
-    notes = _notes(
-        (f["has_103_rejection"], "Potential obviousness concerns identified."),
-        (f["has_102_rejection"], "Novelty issues may need to be addressed."),
-        (f["has_112_rejection"], "Clarity or written description issues detected."),
-    )
-    return F.when(F.size(notes) > 0, F.array_join(notes, " ")).otherwise(
-        "No significant technical issues identified."
-    )
+    f, said = col(features), lexicons.TECHNICAL_NOTES
+    notes = _notes(*[(f[f"has_{section}_rejection"], said[section]) for section in ("103", "102", "112")])
+    return F.when(F.size(notes) > 0, F.array_join(notes, " ")).otherwise(said["none"])
 
 
 def context_recommendations(base: str | Column, kind: str | Column, references: str | Column,
@@ -263,8 +247,8 @@ def context_recommendations(base: str | Column, kind: str | Column, references:
     field = col(field)
     extra = _notes(
         ((col(kind) == "patentability") & (F.size(col(references)) == 0),
-         "Consider conducting a thorough prior art search."),
+         lexicons.QUESTION_ADVICE["search"]),
         (field.isNotNull() & (field != ""),
-         F.concat(F.lit("Review recent patents in "), field, F.lit(" for potential prior art."))),
+         F.format_string(lexicons.QUESTION_ADVICE["field"].replace("{}", "%s"), field)),
     )
     return F.concat(col(base), extra)

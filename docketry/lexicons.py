@@ -49,17 +49,17 @@ ISSUE_PATTERNS = {
         r"\b(literal infringement|doctrine of equivalents)\b",
         r"\b(induced|contributory)\s+infringement\b",
     ),
+    "validity": (
+        r"\b(valid|invalid|validity|invalidate|unenforceable)\b",
+        r"\b(enforce|enforceability)\b",
+        r"\b(patent eligible|patent ineligible)\b",
+    ),
     "patentability": (
         r"\b(101|subject matter|abstract idea)\b",
         r"\b(natural phenomenon|laws of nature)\b",
         r"\b(alice test|mayo test)\b",
         r"\b(machine-or-transformation)\b",
     ),
-    "validity": (
-        r"\b(valid|invalid|validity|invalidate|unenforceable)\b",
-        r"\b(enforce|enforceability)\b",
-        r"\b(patent eligible|patent ineligible)\b",
-    ),
 }
 PERIOD_ISSUE_PATTERNS = {
     ("2010_2020", "post_2020"): ("patentability", r"\b(alice step one|alice step two)\b"),
@@ -196,3 +196,48 @@ EVENT_DESCRIPTION = "Case {}"
 
 # Fixed value: a docket stamp inside an opinion's text.
 DOCKET_STAMP = r"Case:\s*\d+-\d+\s*Document:\s*\d+.*?Filed:"
+
+# Marks of a cited statute section.
+REJECTION_REFERENCE = r"(?:section|§|\bc\.?\s*)(101|102|103|112)\b"
+REJECTION_REFERENCE_SPACED = r"(?:section\s*|§\s*|\bc\.?\s*)(101|102|103|112)\b"
+
+# Advice about the claims of an office action.
+CLAIM_ADVICE = {
+    "risk": "High risk of rejection. Consider reviewing prior art thoroughly.",
+    "103": "Potential obviousness issues detected. Consider strengthening non-obviousness arguments.",
+    "102": "Potential novelty issues detected. Review cited prior art carefully.",
+    "claims": "Multiple claim citations detected. Consider narrowing claim scope.",
+    "support": "No paragraph citations found. Consider adding more detailed support from specification.",
+}
+
+# Advice about a passage.
+PASSAGE_ADVICE = {
+    "risk": "High risk of rejection - detailed review recommended",
+    "moderate": "Moderate risk - consider strengthening claim language",
+    "support": "Add more detailed support from specification",
+    "claims": "High number of claim citations - consider narrowing scope",
+}
+
+# Advice about a question, and what its context adds.
+QUESTION_ADVICE = {
+    "risk": "High risk of rejection - detailed review recommended",
+    "103": "Potential obviousness issues - consider strengthening non-obviousness arguments",
+    "102": "Potential novelty issues - review prior art carefully",
+    "moderate": "Moderate risk - consider strengthening claim language",
+    "search": "Consider conducting a thorough prior art search.",
+    "field": "Review recent patents in {} for potential prior art.",
+}
+
+# Summaries by probability, and notes on statute sections.
+SUMMARIES = {
+    "high": "Based on the analysis, this invention may face significant patentability challenges.",
+    "middle": "The invention shows promise but may need refinement to improve patentability.",
+    "low": "Initial analysis suggests favorable patentability prospects.",
+    "other": "Analysis complete. See detailed results below.",
+}
+TECHNICAL_NOTES = {
+    "103": "Potential obviousness concerns identified.",
+    "102": "Novelty issues may need to be addressed.",
+    "112": "Clarity or written description issues detected.",
+    "none": "No significant technical issues identified.",
+}
