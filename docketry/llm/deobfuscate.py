@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import map_texts, pieces_of
+from docketry.session import cut_lineage
 
 # Letters of the character model (0 is the border of a word) and look-alikes.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -263,14 +264,16 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, model: np.ndarray, label:
                     [pa.array(names, pa.string()), *(pa.array([t[f] for f in names], pa.int64()) for t in tallies)],
                     ["feature", "n0", "n1"])
 
-    counted = first.select("_label", "_text").mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 >= 3 OR feature = ''")
-    texts = F.broadcast(counted.where("feature = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1"), F.lit(1).alias("one")))
-    odds = F.log((F.col("n1") + 0.5) / (F.col("t1") + 1.0)) - F.log((F.col("n0") + 0.5) / (F.col("t0") + 1.0))
+    counted = cut_lineage(
+        first.select("_label", "_text").mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature")
+        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 >= 3 OR feature = ''")
+    )
+    texts = counted.where("feature = ''").first()  # one row
+    t0, t1 = (texts["n0"], texts["n1"]) if texts else (0, 0)
+    odds = F.log((F.col("n1") + 0.5) / F.lit(t1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(t0 + 1.0))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     scored = (
-        counted.where("feature <> ''").withColumn("one", F.lit(1)).join(texts, "one")  # one row
-        .withColumn("weight", odds - 2 * error).where("weight > 0.5")
+        counted.where("feature <> ''").withColumn("weight", odds - 2 * error).where("weight > 0.5")
         .orderBy(F.desc("weight"), "feature").limit(FEATURES).select("feature", "weight")
     )
     weights = Weights({r["feature"]: r["weight"] for r in scored.collect()}, np.array([0.0, 0.0, 0.0, 0.0]))  # FEATURES at most

@@ -194,13 +194,11 @@ def risky_terms(texts: DataFrame, values: int = VALUES, generalise: float = GENE
     kinds = near.groupBy("kind").agg(F.sum("near").alias("of_kind"))  # a row per kind
     often = near.where(F.col("values") >= values)
     counts = cut_lineage(term_counts(texts, often.select("term").distinct()))
-    total = counts.where("term = ''").select(F.col("n").alias("total"), F.lit(1).alias("one"))
-    joined = (
-        often.join(F.broadcast(kinds), "kind").join(counts, "term").withColumn("one", F.lit(1))
-        .join(F.broadcast(total), "one")  # one row
-    )
-    disclosed = F.log2(F.col("near") * F.col("total") / (F.col("n") * F.col("of_kind")))
-    content = F.log2(F.col("total") / F.col("of_kind"))
+    row = counts.where("term = ''").first()  # one number
+    total = F.lit(float(row["n"] if row else 0))
+    joined = often.join(F.broadcast(kinds), "kind").join(counts, "term")
+    disclosed = F.log2(F.col("near") * total / (F.col("n") * F.col("of_kind")))
+    content = F.log2(total / F.col("of_kind"))
     shares = joined.withColumn("share", F.when(content > 0, disclosed / content)).where(F.col("share") >= generalise)
     best = shares.groupBy("term").agg(F.max(F.struct("share", (-F.col("kind")).alias("k"))).alias("best"))
     return cut_lineage(best.select("term", (-F.col("best.k")).alias("kind"), F.col("best.share").alias("share")))
