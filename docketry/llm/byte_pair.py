@@ -35,6 +35,22 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """Codes of pieces, worked out when a piece is first asked for; emptied when full."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        codes = b"".join(i.to_bytes(4, "little") for i in self.merge(piece.encode()))
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = codes
+        return codes
+
+
 class Codec:
     """Merge ranks and byte strings of one vocabulary file."""
 
@@ -58,7 +74,7 @@ class Codec:
         self.piece = regex.compile(PIECE)
         names = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -88,17 +104,7 @@ class Codec:
         return [s for s in symbols if s >= 0]
 
     def _plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        for piece in self.piece.findall(text):
-            codes = known.get(piece)
-            if codes is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                codes = b"".join(i.to_bytes(4, "little") for i in self.merge(piece.encode()))
-                if len(piece) <= 64:
-                    known[piece] = codes
-            out.append(codes)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.piece.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers; added tokens inside the text are matched first."""
@@ -114,7 +120,7 @@ class Codec:
         """Vocabulary strings in a row; bytes that are not UTF-8 become U+FFFD, unknown ids vanish."""
         strings = self.strings
         try:
-            joined = b"".join([strings[i] for i in ids])
+            joined = b"".join(map(strings.__getitem__, ids))
         except KeyError:
             joined = b"".join(strings.get(i, b"") for i in ids)
         return joined.decode("utf-8", "replace")
