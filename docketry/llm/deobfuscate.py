@@ -1,7 +1,7 @@
 """Toxicity of texts behind a noisy channel.
 
-Words that look disguised (digits or symbols among letters, stretched letters,
-letters set apart by spaces or dots) are restored first: every observed character
+Words that may be disguised (digits or symbols for letters, doubled or stretched
+letters, letters set apart by spaces or dots) are restored first: every observed character
 spans a lattice of intended ones, and Viterbi's algorithm finds the path that a
 character model of the whole corpus and the channel together make most likely.
 The restored words are then scored with weights learned from labelled texts.
@@ -30,9 +30,11 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 SEPARATORS = ".-_*~'`^/\\,:;#%&="
+FIGURES = "0123456789$£"  # one symbol of the character model, in words without letters
 # Channel: log probabilities that a letter shows as itself, as a look-alike, or
 # stretched, that a look-alike stands for itself, and that a separator was put in.
 SELF, ALIKE, STRETCHED, LITERAL, PUT_IN = (math.log(p) for p in (0.9, 0.05, 0.03, 0.01, 0.02))
+AS_FIGURE = SELF - math.log(len(FIGURES))  # a figure meant as itself, which is one of several with one symbol
 SYMBOLS = 64
 LONGEST = 64  # a longer word is restored in parts of this length
 NGRAM = 5
@@ -40,10 +42,13 @@ NGRAM = 5
 FIT_ROWS, FEATURES = 20_000, 20_000
 REMEMBERED = 150_000
 
-_NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
+FIGURE = len(LETTERS) + 1
+_NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)} | dict.fromkeys(FIGURES, FIGURE)
+_LETTERS, _READABLE = frozenset(LETTERS), frozenset(LETTERS) | frozenset(LOOKALIKES)
 _APART = re.compile(r"(?:(?<=\s)|^)[^\W_](?:[ .\-_*][^\W_]){2,}(?=\s|$|[.,!?])")
 _EDGES = re.compile(r"^(?:[\"'(\[{<>#%&*.,;:?)\]}~_=-]+|([$!|+@])\1\1+)+|(?:[\"'(\[{<>#%&*.,;:?!)\]}~_=-]+|([$|+@])\2\2+)+$")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
+# Two equal letters of the character model, or three of any alphabet.
+_STRETCH = re.compile(rf"([{LETTERS}])\1|([^\W\d_])\2\2")
 
 
 def symbol_table() -> np.ndarray:
@@ -54,6 +59,18 @@ def symbol_table() -> np.ndarray:
     return table
 
 
+def without_mixed_figures(symbols: np.ndarray) -> np.ndarray:
+    """Symbols with a border for each figure whose run touches a letter: disguised words teach no numbers."""
+    framed = np.concatenate([[0], symbols, [0]])
+    turns = np.flatnonzero(np.diff((framed == FIGURE).astype(np.int8)))
+    begins, ends = turns[::2], turns[1::2]  # the places before a run and of its last figure
+    letter = (framed > 0) & (framed != FIGURE)
+    mixed = np.repeat(letter[begins] | letter[ends + 1], ends - begins)
+    out = symbols.copy()
+    out[np.flatnonzero(symbols == FIGURE)[mixed]] = 0
+    return out
+
+
 def trigram_counts(df: DataFrame, text_column: str) -> DataFrame:
     """``(trigram, n)`` over all texts: at most 64^3 rows, summed in each task before the shuffle."""
     table = symbol_table()
@@ -64,7 +81,7 @@ def trigram_counts(df: DataFrame, text_column: str) -> DataFrame:
             for part in pieces_of(batch, 0, 1_000_000):
                 codes = np.frombuffer(" ".join(part.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
                 symbols = table[np.where(codes < len(table), codes, 0)]
-                symbols = np.concatenate([[0, 0], symbols, [0]])
+                symbols = np.concatenate([[0, 0], without_mixed_figures(symbols), [0]])
                 keys = symbols[:-2] * SYMBOLS**2 + symbols[1:-1] * SYMBOLS + symbols[2:]
                 total += np.bincount(keys[(symbols[1:-1] > 0) | (symbols[2:] > 0)], minlength=SYMBOLS**3)
         seen = np.flatnonzero(total)
@@ -108,13 +125,15 @@ class Restorer:
             while at + run < n and word[at + run] == seen:
                 run += 1
             hidden = [(c, ALIKE) for c in LOOKALIKES.get(seen, "")]
-            if seen in _NUMBER:
+            if seen in _LETTERS:
                 hidden.append((seen, SELF))
-            elif seen not in SEPARATORS:
+            elif seen not in SEPARATORS and seen not in FIGURES:
                 hidden.append((seen, LITERAL))  # left as it is
             steps = [(c, p, at + 1) for c, p in hidden]
             if run > 1:
                 steps += [(c, p + STRETCHED, at + run) for c, p in hidden]
+            if seen in FIGURES:
+                steps.append((seen, AS_FIGURE, at + 1))  # numbers are not stretched
             if seen in SEPARATORS:
                 steps += [("", PUT_IN, at + run)]
             for state, entry in columns[at].items():
@@ -141,11 +160,11 @@ class Restorer:
         return "".join(reversed(out))
 
     def clean(self, word: str) -> str:
-        """A lower-case word without edge punctuation, restored when it looks disguised."""
+        """A lower-case word without edge punctuation, restored unless it can only be read as it stands."""
         if word.isalpha() and not _STRETCH.search(word):
             return word
         core = _EDGES.sub("", word)
-        if core.isalpha() and not _STRETCH.search(core) or not any(c in _NUMBER for c in core):
+        if core.isalpha() and not _STRETCH.search(core) or _READABLE.isdisjoint(core):
             return core
         return self.restore(core)
 

@@ -44,6 +44,42 @@ def test_restored_words(model, seen, meant):
     assert deobfuscate.Restorer(model).clean(seen) == meant
 
 
+@pytest.mark.parametrize("seen,meant", [
+    ("idiiot", "idiot"), ("stuupid", "stupid"), ("cllown", "clown"), ("morron", "moron"), ("traash", "trash"),
+    ("8!90+", "bigot"), ("@$$", "ass"), ("green", "green"), ("valley", "valley"), ("trees", "trees"), ("tall", "tall"),
+    ("2024", "2024"), ("7301", "7301"), ("$50", "$50"), ("1,000", "1000"), ("длинный", "длинный"), ("...", ""),
+])
+def test_doubled_letters_and_words_of_lookalikes(spark, seen, meant, model_with_numbers):
+    assert deobfuscate.Restorer(model_with_numbers).clean(seen) == meant
+
+
+@pytest.fixture(scope="module")
+def model_with_numbers(spark):
+    rng = random.Random(5)
+    rows, _ = toxic_rows(400)
+    number = lambda: rng.choice(["", "", "", "$"]) + str(rng.randrange(10 ** rng.randrange(1, 6)))
+    more = [(400 + i, f"bigot {number()} ass {number()} river", "en", "a") for i in range(400)]
+    return deobfuscate.character_model(documents(spark, rows + more))
+
+
+def test_figures_in_disguised_words_are_not_counted(spark):
+    rows = [(1, "a1b 22 l0", "en", "a")]
+    got = {r["trigram"]: r["n"] for r in deobfuscate.trigram_counts(documents(spark, rows), "text").collect()}
+    a, b, l, f = 1, 2, 12, deobfuscate.FIGURE
+    key = lambda x, y, z: (x * 64 + y) * 64 + z
+    assert got == {key(*k): 1 for k in [
+        (0, 0, a), (0, a, 0), (a, 0, b), (0, b, 0), (b, 0, f), (0, f, f), (f, f, 0), (f, 0, l), (0, l, 0)]}
+
+
+def test_doubled_letters_are_scored(spark):
+    rows, labels = toxic_rows(1500)
+    double = lambda t: " ".join(w[:2] + w[1:] if w in BAD else w for w in t.split())
+    texts = [(i, t if i % 5 else double(t), lang, s) for i, t, lang, s in rows]
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    got = {r["id"]: r["score"] for r in deobfuscate.toxicity(documents(spark, texts), labelled, F.col("doc_id") % 5 != 0).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y, _ in labels if i % 5 == 0]) > 0.97
+
+
 def test_viterbi_finds_the_best_path(model):
     """Every way to read a short word, scored one by one."""
     restorer = deobfuscate.Restorer(model)
