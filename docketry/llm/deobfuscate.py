@@ -45,7 +45,10 @@ REMEMBERED = 150_000
 FIGURE = len(LETTERS) + 1
 _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)} | dict.fromkeys(FIGURES, FIGURE)
 _LETTERS, _READABLE = frozenset(LETTERS), frozenset(LETTERS) | frozenset(LOOKALIKES)
-_APART = re.compile(r"(?:(?<=\s)|^)[^\W_](?:[ .\-_*][^\W_]){2,}(?=\s|$|[.,!?])")
+# Letters or look-alikes set apart: three at least, with any white space or separators between two.
+_UNIT, _BETWEEN = rf"[^\W_]|[{re.escape(''.join(LOOKALIKES))}]", rf"[\s{re.escape(SEPARATORS)}]++"
+_APART = re.compile(rf"(?<![^\s{re.escape(SEPARATORS)}\"(\[{{<>])(?:{_UNIT})(?:{_BETWEEN}(?:{_UNIT})){{2,}}(?=[\s{re.escape(SEPARATORS)}\")\]}}>!?]|$)")
+_GAP = re.compile(_BETWEEN)
 _EDGES = re.compile(r"^(?:[\"'(\[{<>#%&*.,;:?)\]}~_=-]+|([$!|+@])\1\1+)+|(?:[\"'(\[{<>#%&*.,;:?!)\]}~_=-]+|([$|+@])\2\2+)+$")
 # Two equal letters of the character model, or three of any alphabet.
 _STRETCH = re.compile(rf"([{LETTERS}])\1|([^\W\d_])\2\2")
@@ -127,14 +130,14 @@ class Restorer:
             hidden = [(c, ALIKE) for c in LOOKALIKES.get(seen, "")]
             if seen in _LETTERS:
                 hidden.append((seen, SELF))
-            elif seen not in SEPARATORS and seen not in FIGURES:
+            elif seen not in SEPARATORS and seen not in FIGURES and not seen.isspace():
                 hidden.append((seen, LITERAL))  # left as it is
             steps = [(c, p, at + 1) for c, p in hidden]
             if run > 1:
                 steps += [(c, p + STRETCHED, at + run) for c, p in hidden]
             if seen in FIGURES:
                 steps.append((seen, AS_FIGURE, at + 1))  # numbers are not stretched
-            if seen in SEPARATORS:
+            if seen in SEPARATORS or seen.isspace():
                 steps += [("", PUT_IN, at + run)]
             for state, entry in columns[at].items():
                 score, (before, last) = entry[0], state
@@ -169,13 +172,32 @@ class Restorer:
         return self.restore(core)
 
     def words(self, text: str) -> set[str]:
-        """Distinct lower-case words of a text with letters set apart by spaces or dots joined besides."""
+        """Distinct lower-case words of a text, with letters and look-alikes set apart restored besides."""
         lowered = text.lower()
         out = set(lowered.split())
         for m in _APART.finditer(lowered):
-            out.add(re.sub(r"[ .\-_*]", "", m.group()))
+            out.update(self.apart(m.group()))
         return out
 
+    def apart(self, run: str) -> set[str]:
+        """Readings of a run: as one word, and as the words between its wider gaps.
+
+        The lattice leaves out every gap as put-in separators. A gap counts as one
+        separator, which adds the same to all paths.
+        """
+        gaps = _GAP.findall(run)
+        least = min(map(len, gaps))
+        parts = {run}
+        if any(len(g) > least for g in gaps):
+            units, word = _GAP.split(run), []
+            for unit, gap in zip(units, [*gaps, None]):
+                word.append(unit)
+                if gap is None or len(gap) > least:
+                    if len(word) > 2:
+                        parts.add(" ".join(word))
+                    word = []
+        return {self.restore(_GAP.sub(" ", _EDGES.sub("", p))) for p in parts}
+
 
 def features_of(word: str) -> set[str]:
     """The word itself and its letter 5-grams, the first with its border."""

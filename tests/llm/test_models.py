@@ -119,6 +119,28 @@ def test_words_apart():
     assert "ab" not in restorer.words("a b")
 
 
+@pytest.mark.parametrize("seen", [
+    "$ t u p ! d", "s  t  u  p  i  d", "s - t - u - p - i - d", "s\tt\nu\u00a0p i d", "s . t/u~p * i d", '"s t u p i d"', "$ . 7 u   p _ 1 - d !",
+])
+def test_words_apart_with_lookalikes_and_wide_gaps(model, seen):
+    assert "stupid" in deobfuscate.Restorer(model).words(f"you {seen} here")
+
+
+def test_words_between_wider_gaps(model):
+    found = deobfuscate.Restorer(model).words("so i d i o t   c l o w n here")
+    assert {"idiot", "clown", "idiotclown"} <= found
+    assert "stupidhouse" not in deobfuscate.Restorer(model).words("s t u p i d house")
+
+
+def test_toxicity_of_words_apart(spark):
+    rows, labels = toxic_rows(1500)
+    wide = lambda t: " ".join(" - ".join(w.replace("s", "$").replace("i", "!")) if w in BAD else w for w in t.split())
+    texts = [(i, t if i % 5 else wide(t), lang, s) for i, t, lang, s in rows]
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    got = {r["id"]: r["score"] for r in deobfuscate.toxicity(documents(spark, texts), labelled, F.col("doc_id") % 5 != 0).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y, _ in labels if i % 5 == 0]) > 0.97
+
+
 def test_character_counts(spark):
     got = {r["trigram"]: r["n"] for r in deobfuscate.trigram_counts(documents(spark, [(1, "ab", "en", "a"), (2, "Ab", "en", "a"), (3, None, "en", "a")]), "text").collect()}
     a, b = 1, 2
