@@ -198,12 +198,12 @@ def grf2(t):
 
 @query("grf3_betweenness")
 def grf3(t):
-    return G.betweenness(O.citation_edges(t.office_actions), pivots=4)
+    return G.betweenness(O.citation_edges(t.office_actions))
 
 
 @query("grf4_node_metrics")
 def grf4(t):
-    return G.node_metrics(O.citation_edges(t.office_actions), pivots=2)
+    return G.node_metrics(O.citation_edges(t.office_actions))
 
 
 # --- search -----------------------------------------------------------------

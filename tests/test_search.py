@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from docketry.operators import graph as G
 from docketry.operators import learn as L
 from docketry.operators import retrieval as R
 from docketry.operators import strategy as S
+from docketry.plans import retrieval as retrieval_plans
 
 EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "b"), ("a", "b"), ("x", "y"), ("y", "x"), ("x", "a"), ("b", "d")]
 
@@ -84,6 +87,14 @@ def test_betweenness(edges):
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
 
 
+@pytest.mark.parametrize("name", ["grf3", "grf4"])
+def test_registered_betweenness_uses_all_nodes(edges, monkeypatch, name):
+    monkeypatch.setattr(retrieval_plans.O, "citation_edges", lambda _: edges)
+    got = {r["id"]: r["betweenness"] for r in getattr(retrieval_plans, name)(SimpleNamespace(office_actions=None)).collect()}
+    want = brute_betweenness(EDGES)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
 def test_earlier_case_edges(spark, monkeypatch):
     rows = [("a", "2000-01-01", 3), ("b", "2000-01-01", 0), ("c", "2001-01-01", 2), ("d", "2002-01-01", 9), ("e", None, 5)]
     df = spark.createDataFrame(rows, "id string, date_filed string, citation_count long").withColumn("date_filed", F.col("date_filed").cast("date"))
