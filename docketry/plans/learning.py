@@ -1,4 +1,4 @@
-"""Model queries. Fits use fewer and shallower trees than the operators' defaults."""
+"""Model queries. Fits use the operators' defaults."""
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -14,8 +14,6 @@ from docketry.plans.retrieval import PATENT_EDGES, sql_pagerank
 from docketry.plans.text import _PARTS, SQL_FLAG, sql_parts, structured_questions
 from docketry.session import cut_lineage, scratch_path
 
-SMALL = {"trees": 20, "depth": 8, "max_features": 1000, "ngrams": 2}
-
 
 def cites(t):
     """Two dated citations per case."""
@@ -31,7 +29,7 @@ def issue_rows(t):
 @query("ml1_feature_vectors")
 def ml1(t):
     rows = issue_rows(t)
-    model = L.fit_feature_pipeline(rows, 1000, 2.0, 2)
+    model = L.fit_feature_pipeline(rows)
     dense = vector_to_array("features")
     return model.transform(rows).select("id", "time_period", F.size(dense).alias("width"),
                                         F.size(F.filter(dense, lambda v: v != 0)).alias("filled"))
@@ -44,43 +42,43 @@ def flat_scores(predicted):
 
 @query("ml2_issue_forests")
 def ml2(t):
-    return flat_scores(L.fit_issue_models(issue_rows(t), **SMALL).predict(issue_rows(t)))
+    return flat_scores(L.fit_issue_models(issue_rows(t)).predict(issue_rows(t)))
 
 
 @query("ml3_thresholded_labels")
 def ml3(t):
-    out = L.fit_issue_models(issue_rows(t), **SMALL).predict(issue_rows(t))
+    out = L.fit_issue_models(issue_rows(t)).predict(issue_rows(t))
     return out.select("id", "time_period", F.explode("predicted").alias("issue"))
 
 
 @query("ml4_period_blend")
 def ml4(t):
-    return flat_scores(L.fit_period_blend(issue_rows(t), **SMALL).predict(issue_rows(t)))
+    return flat_scores(L.fit_period_blend(issue_rows(t)).predict(issue_rows(t)))
 
 
 @query("ml5_relevance_model")
 def ml5(t):
     rows = L.relevance_rows(t.cases, "row_no", 0.5)
-    pipeline, model, _ = L.fit_relevance_model(rows, trees=20, depth=8)
+    pipeline, model, _ = L.fit_relevance_model(rows)
     return model.transform(pipeline.transform(rows)).select("id", "label", "prediction", F.round(L.probability(), 6).alias("p"))
 
 
 @query("ml5_relevance_folds")
 def ml5_folds(t):
-    return L.fit_relevance_model(L.relevance_rows(t.cases, "row_no", 0.5), trees=20, depth=8)[2]
+    return L.fit_relevance_model(L.relevance_rows(t.cases, "row_no", 0.5))[2]
 
 
 @query("ml6_grid_search")
 def ml6(t):
     rows = L.relevance_rows(t.cases, "row_no", 0.5)
     ready = L.fit_relevance_features(rows).transform(rows).select("id", "features", "label")
-    return L.tuned_forest(ready, "id", trees=(10, 20), depths=(4, 8), leaves=(4,), folds=3)[1]
+    return L.tuned_forest(ready, "id")[1]
 
 
 @query("ml7_feature_importance")
 def ml7(t):
     rows = L.relevance_rows(t.cases, "row_no", 0.5)
-    pipeline, model, _ = L.fit_relevance_model(rows, trees=20, depth=8, folds=2)
+    pipeline, model, _ = L.fit_relevance_model(rows)
     names = [*L.vocabulary(pipeline), *L.RELEVANCE_NUMBERS]
     return L.feature_importance(rows, model, names)
 
@@ -95,7 +93,7 @@ def outcome_rows(t):
 @query("ml8_outcome_model")
 def ml8(t):
     rows = outcome_rows(t)
-    return L.fit_outcome_model(rows, max_features=500, rounds=10).transform(rows).select(
+    return L.fit_outcome_model(rows).transform(rows).select(
         "id", "label", "prediction", F.round(L.probability(), 6).alias("p"))
 
 
@@ -103,7 +101,7 @@ def ml8(t):
 def ml9(t):
     rows = t.cases.where(F.col("precedential_status").isNotNull()).select(
         F.col("row_no").alias("id"), F.col("full_text").alias("text"), F.col("precedential_status").alias("status"))
-    return L.fit_status_model(rows, 1000, 20, 8).transform(rows).select("id", "status", "label", "prediction")
+    return L.fit_status_model(rows).transform(rows).select("id", "status", "label", "prediction")
 
 
 NODE_METRICS = ("in_degree", "out_degree", "pagerank")
@@ -146,7 +144,7 @@ REJECTION_COLUMNS = ("is_examiner_cited", "is_applicant_cited", "is_npl", "tech_
 
 
 def rejection_model(t, boosted=False):
-    return L.fit_rejection_model(rejection_rows(t), "id", "label", REJECTION_COLUMNS, boosted=boosted, trees=10, folds=3)
+    return L.fit_rejection_model(rejection_rows(t), "id", "label", REJECTION_COLUMNS, boosted=boosted)
 
 
 @query("ml11_rejection_model")
@@ -199,7 +197,7 @@ def ml14(t):
 
 @query("ml15_classify_report")
 def ml15(t):
-    model = L.fit_issue_models(issue_rows(t), **SMALL)
+    model = L.fit_issue_models(issue_rows(t))
     out = L.classify_report(t.cases, "row_no", "full_text", "date_filed", cites(t), model)
     return out.select("id", "time_period", F.array_join("predicted", ",").alias("predicted"),
                       F.array_join("patterns", ",").alias("patterns"), "features.*", "text_length")
@@ -210,5 +208,5 @@ def snk3(t):
     rows = t.cases.where(F.col("precedential_status").isNotNull()).select(
         F.col("row_no").alias("id"), F.col("full_text").alias("text"), F.col("precedential_status").alias("status"))
     path = scratch_path(t.spark, "model")
-    L.fit_status_model(rows, 500, 10, 5).write().overwrite().save(path)
+    L.fit_status_model(rows).write().overwrite().save(path)
     return PipelineModel.load(path).transform(rows).select("id", "status", "prediction")

@@ -1,7 +1,11 @@
+from unittest.mock import MagicMock
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import learn as L
+from docketry.plans import learning
 from docketry.session import scratch_path, scratch_root, scratch_scope
 from tests.test_search import TEXTS
 
@@ -47,3 +51,30 @@ def test_scratch_scope_deletes_its_tables(spark, tmp_path):
         folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
         assert table.agg(F.sum("id")).first()[0] == 10 and os.path.isdir(folder)
     assert not os.path.exists(os.path.dirname(folder)) and scratch_root(spark)
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query,fit", [
+    ("ml1", "fit_feature_pipeline"), ("ml2", "fit_issue_models"), ("ml3", "fit_issue_models"), ("ml4", "fit_period_blend"),
+    ("ml5", "fit_relevance_model"), ("ml5_folds", "fit_relevance_model"), ("ml6", "tuned_forest"), ("ml7", "fit_relevance_model"),
+    ("ml8", "fit_outcome_model"), ("ml9", "fit_status_model"), ("ml11", "fit_rejection_model"), ("ml11_boosted", "fit_rejection_model"),
+    ("ml13", "fit_rejection_model"), ("ml14", "fit_rejection_model"), ("ml15", "fit_issue_models"), ("snk3", "fit_status_model"),
+])
+def test_model_queries_use_the_defaults(monkeypatch, query, fit):
+    def spy(*given, **options):
+        data = {"tuned_forest": 2, "fit_rejection_model": 4}.get(fit, 1)  # rows, and columns of them
+        assert len(given) == data and options.keys() <= {"boosted"}
+        raise Called
+
+    for rows in ("issue_rows", "outcome_rows", "rejection_rows"):
+        monkeypatch.setattr(learning, rows, lambda t: MagicMock())
+    monkeypatch.setattr(learning, "F", MagicMock())
+    monkeypatch.setattr(learning, "scratch_path", MagicMock())
+    for name in ("relevance_rows", "fit_relevance_features"):
+        monkeypatch.setattr(L, name, MagicMock())
+    monkeypatch.setattr(L, fit, spy)
+    with pytest.raises(Called):
+        getattr(learning, query)(MagicMock())
