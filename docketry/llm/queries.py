@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bbit_minhash, byte_cnn, byte_pair, deobfuscate, divergence, mixing, rotation_codes, sanitise, token_transducer, url_trees
+from docketry.llm import bbit_minhash, byte_cnn, byte_pair, collocations, deobfuscate, divergence, mixing, rotation_codes, sanitise
+from docketry.llm import source_audit, threshold_search, token_transducer, url_trees
 from docketry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,3 +259,97 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN part ON part.a = n.doc_id
 """
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two and three words."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+phrases AS (
+  SELECT lang, 1 AS m, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE f >= 10),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1)
+), priced AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN often l ON l.lang = c.lang AND l.phrase = c.x JOIN often r ON r.lang = c.lang AND r.phrase = c.y
+), best AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([string_split(phrase, ' ')[1] || ' ' || string_split(phrase, ' ')[2], string_split(phrase, ' ')[2] || ' ' || string_split(phrase, ' ')[3]]) AS phrase
+    FROM often WHERE m = 3) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * b.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN total t ON t.lang = k.lang
+QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows by integer inner product, for every hundredth vector."""
+    rows = read(spark, sf_dir, "embeddings")
+    return threshold_search.top_k(rows, rows.where("vec_id % 100 = 0"), 10, 1024)
+
+
+ORACLES["op12_threshold_search"] = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
+  FROM ok q JOIN ok r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+@query
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set a source apart."""
+    return source_audit.divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_audit"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM docs),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(x.c, 0) AS c, 1 + ((1000000000::HUGEINT * (coalesce(x.c, 0) + 5)) // (gn.n + 5 * v.v))::BIGINT AS p,
+    1 + ((1000000000::HUGEINT * (k.c + 5)) // (v.n + 5 * v.v))::BIGINT AS q
+  FROM gn JOIN kept k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang
+  LEFT JOIN counts x ON x.lang = gn.lang AND x.source = gn.source AND x.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+  ) d ON d.lang = a.lang AND d.s = a.source AND d.t = b.source
+), terms AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
+QUALIFY rank <= 50
+"""
