@@ -29,7 +29,7 @@ UNIT = 10**9
 # Added to every count.
 PRIOR = 5
 # Bytes of text that one count in a task covers.
-RUN = 32_000_000
+RUN = 10_000_000
 
 # Every byte of a term to itself with A-Z lower-cased, all others to a blank.
 _TERMS = bytes(b | 32 if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256))

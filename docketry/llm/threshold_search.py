@@ -31,6 +31,11 @@ STEP = 4
 LONG = 2**63 - 1
 
 
+def within_long(scores: np.ndarray) -> np.ndarray:
+    """Python integers beyond the range of long as its ends; others as they are."""
+    return scores if scores.dtype != object else np.array([max(-LONG - 1, min(LONG, s)) for s in scores], object)
+
+
 class SortedLists:
     """The rows of a block, and for each dimension their order by value."""
 
@@ -58,7 +63,7 @@ class SortedLists:
             if len(used):
                 # The best value that a row not met can have in each dimension stands at the next place.
                 edge = self.up[np.where(down, n - 1 - depth, depth), used]
-                bound = (weights[used] * values[edge, used]).sum()
+                bound = within_long((weights[used] * values[edge, used]).sum(keepdims=True))[0]
                 kth = scores[k - 1] if len(scores) >= k else None
                 if (kth is not None and bound < kth) or (least is not None and bound < least):
                     break
@@ -71,7 +76,7 @@ class SortedLists:
             seen += len(fresh)
             fresh = fresh[self.ids[fresh] != query_id]
             found = np.concatenate([found, fresh])
-            scores = np.concatenate([scores, values[fresh] @ weights if len(fresh) else np.zeros(0, weights.dtype)])
+            scores = np.concatenate([scores, within_long(values[fresh] @ weights) if len(fresh) else np.zeros(0, weights.dtype)])
             if len(found) > k:
                 best = np.argpartition(-scores, k - 1)[:k] if exact else np.argsort(-scores, kind="stable")[:k]
                 keep = np.flatnonzero(scores >= scores[best].min())
@@ -83,7 +88,7 @@ class SortedLists:
         if least is not None:
             keep = np.flatnonzero(scores >= least)
             found, scores = found[keep], scores[keep]
-        return self.ids[found], [max(-LONG - 1, min(LONG, int(s))) for s in scores], seen
+        return self.ids[found], [int(s) for s in scores], seen
 
 
 def numbers(df: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
