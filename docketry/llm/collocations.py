@@ -30,6 +30,8 @@ from docketry.session import cut_lineage, delete_folder, scratch_path
 
 # Slots of the sieve for each phrase length; its size does not depend on the input.
 SLOTS = 1 << 23
+# Shards of the cycle. More of them activate phrases sooner, and carry counters over more scans.
+SHARDS = 2
 # Not reached so far.
 NEVER = np.int16(2**15 - 1)
 # Bytes of text that one count in a task covers.
@@ -156,7 +158,7 @@ def reached_slots(reached: DataFrame) -> DataFrame:
     return reached.select("lang", "phrase", "length").mapInArrow(run, "length int, slot int").distinct()
 
 
-def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: int = 4, lang_column: str = "lang",
+def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, lang_column: str = "lang",
                      text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with at least ``least`` occurrences in their language, and all words' number.
 
@@ -209,7 +211,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
     return out, total
 
 
-def collocations(df: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: int = 50, shards: int = 4,
+def collocations(df: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: int = 50, shards: int = SHARDS,
                  lang_column: str = "lang", text_column: str = "text") -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's best phrases of 2 to ``longest`` words.
 
