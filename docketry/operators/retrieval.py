@@ -209,7 +209,7 @@ SCORE_WEIGHTS = {"semantic": 0.3, "keyword": 0.2, "tech": 0.2, "citation": 0.15,
 
 
 def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, importance: DataFrame, k: int = 5,
-                  pool: int = 20) -> DataFrame:
+                  pool: int = 20, search: Callable[[DataFrame, DataFrame, int], DataFrame] = nearest) -> DataFrame:
     """The ``k`` nearest distinct cases per query, ranked by a weighted score.
 
     ``queries`` is ``(id, text, vector)``, ``vectors`` ``(id, vector)``, ``cases``
@@ -217,7 +217,7 @@ def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, impo
     date are dropped, then each normalised name keeps its nearest row. The search
     begins with ``pool`` times ``k`` candidates; queries that these leave with fewer
     than ``k`` names search four times as many, until they have ``k`` or all rows
-    were candidates.
+    were candidates. ``search`` finds exact neighbours.
     """
     extra = [c for c in ("tech_relevance_category",) if c in cases.columns]
     columns = cases.select("id", "case_name", "date_filed", "court", *REQUIRED_FIELDS, *extra)
@@ -227,7 +227,7 @@ def hybrid_search(queries: DataFrame, cases: DataFrame, vectors: DataFrame, impo
     near = [F.asc("distance"), F.asc("id")]
     left, size, rows, firsts = queries.select("id", "vector"), k * pool, vectors.count(), None
     while True:
-        named = usable.join(broadcast_if_small(nearest(left, vectors, size)), "id")
+        named = usable.join(broadcast_if_small(search(left, vectors, size)), "id")
         some = cut_lineage(top_per_key(top_per_key(named, ["query_id", "_name"], near), ["query_id"], near, k))
         filled = some.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         whole = size >= rows

@@ -129,18 +129,25 @@ def ml10(t):
         F.round(F.col("citation_network_pagerank") * 10000, 4).alias("pagerank"))
 
 
+@query("ml10_network_features")
+def ml10_network(t):
+    """The network columns of the feature matrix, betweenness among them."""
+    out = L.patent_features(t.office_actions, G.node_metrics(O.citation_edges(t.office_actions), tolerance=1e-9))
+    columns = [F.col(f"citation_network_{c}").alias(c) for c in ("in_degree", "out_degree")]
+    scaled = [F.round(F.col(f"citation_network_{c}") * 10000, 4).alias(c) for c in ("pagerank", "betweenness")]
+    return out.select("publicationNumber", *columns, *scaled)
+
+
 def rejection_rows(t):
     """Office actions with a row number, features, network scores of the publication, and the label."""
-    edges = cut_lineage(O.citation_edges(t.office_actions))  # used twice
-    metrics = G.degrees(edges).join(G.pagerank(edges).withColumnRenamed("score", "pagerank"), "id")
-    rows = L.patent_features(t.office_actions, metrics)
+    rows = L.patent_features(t.office_actions, G.node_metrics(O.citation_edges(t.office_actions)))
     key = F.xxhash64("publicationNumber", "citedDocumentIdentifier", "officeActionDate", "relatedClaimNumberText", "groupArtUnitNumber",
                      "passageLocationText")
     return rows.withColumns({"id": key, "label": P.has_rejection("passageLocationText")})
 
 
 REJECTION_COLUMNS = ("is_examiner_cited", "is_applicant_cited", "is_npl", "tech_center", "num_claims_cited",
-                     "citation_network_in_degree", "citation_network_out_degree", "citation_network_pagerank")
+                     "citation_network_in_degree", "citation_network_out_degree", "citation_network_pagerank", "citation_network_betweenness")
 
 
 def rejection_model(t, boosted=False):

@@ -7,6 +7,8 @@ from docketry.functions import text as X
 from docketry.operators import cleaning as C
 from docketry.operators import graph as G
 from docketry.operators import office_actions as O
+from docketry.operators import pruned as PR
+from docketry.operators import quantised as QN
 from docketry.operators import retrieval as R
 from docketry.operators import strategy as S
 from docketry.operators.joins import enriched_cases, party_details
@@ -140,7 +142,7 @@ def vectors(t):
 
 @query("jn6_nearest", sql=VECTORS + " SELECT query_id, id, round(distance, 6) AS distance FROM nn WHERE rn <= 10")
 def jn6(t):
-    return R.nearest(vectors(t), vectors(t), 10).select("query_id", "id", *r6("distance"))
+    return PR.pruned_nearest(vectors(t), vectors(t), 10).select("query_id", "id", *r6("distance"))
 
 
 @query(
@@ -246,7 +248,7 @@ def rnk1(t):
     cases = t.cases.withColumns({"id": F.col("row_no")})
     ranks = G.pagerank(G.earlier_case_edges(t.cases), t.cases.select("id"), tolerance=1e-9).select(
         F.col("id").cast("long").alias("id"), "score")
-    found = R.hybrid_search(asked, cases, vectors(t), ranks, 5)
+    found = R.hybrid_search(asked, cases, vectors(t), ranks, 5, search=PR.pruned_nearest)
     return found.select("query_id", "rank", "id", "case_name", *r6("score", "semantic", "keyword", "entity"), "tech_keywords",
                         F.array_join("matching_keywords", " ").alias("matching"))
 
@@ -258,21 +260,33 @@ def rnk1(t):
       round(list_avg(x), 6) AS query_mean FROM nn JOIN cases ON row_no = nn.id JOIN v ON v.vec_id = query_id WHERE rn <= 20""",
 )
 def rnk2(t):
-    found = R.nearest(vectors(t), vectors(t), 20)
+    found = PR.pruned_nearest(vectors(t), vectors(t), 20)
     stats = vector_statistics(t.embeddings, "embedding").select(F.col("vec_id").alias("query_id"), F.col("mean").alias("query_mean"))
     names = t.cases.select(F.col("row_no").alias("id"), "case_name", "tech_keywords_found")
     return found.join(names, "id").join(stats, "query_id").select(
         "query_id", "id", *r6("distance"), "case_name", "tech_keywords_found", *r6("query_mean"))
 
 
+def against_exact(found, v, k):
+    """Found neighbours, whether each is one of the exact ones, and the share of the exact ones that were found."""
+    exact = cut_lineage(PR.pruned_nearest(v, v, k).select("query_id", "id"))
+    rows = cut_lineage(found.join(exact.withColumn("exact", F.lit(True)), ["query_id", "id"], "left"))
+    share = rows.agg(F.count("exact")).scalar() / exact.agg(F.count("*")).scalar()
+    return rows.select("query_id", "id", *r6("distance"), F.coalesce("exact", F.lit(False)).alias("is_exact_neighbour"), F.round(share, 4).alias("recall"))
+
+
 @query("rnk3_approximate_nearest")
 def rnk3(t):
-    v = vectors(t)
-    exact = R.nearest(v, v, 10)
-    found = R.approximate_nearest(v, v, 10)
-    hit = exact.select("query_id", "id", F.lit(True).alias("exact"))
-    return found.join(hit, ["query_id", "id"], "left").select(
-        "query_id", "id", *r6("distance"), F.coalesce("exact", F.lit(False)).alias("is_exact_neighbour"))
+    v = cut_lineage(vectors(t))
+    cells = max(1, int(np.sqrt(v.count())))
+    return against_exact(R.approximate_nearest(v, v, 10, cells, max(1, cells // 3)), v, 10)
+
+
+@query("rnk3_quantised_nearest")
+def rnk3_quantised(t):
+    v = cut_lineage(vectors(t))
+    cells = max(1, int(np.sqrt(v.count())))
+    return against_exact(QN.quantised_nearest(v, v, 10, nlist=cells, nprobe=max(1, cells // 3)), v, 10)
 
 
 @query("rnk4_text_vectors")

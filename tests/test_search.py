@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.operators import centrality as Z
 from docketry.operators import graph as G
 from docketry.operators import learn as L
+from docketry.operators import pruned as PR
+from docketry.operators import quantised as QN
 from docketry.operators import retrieval as R
 from docketry.operators import strategy as S
 from docketry.plans import retrieval as retrieval_plans
@@ -88,13 +91,58 @@ def test_betweenness(edges):
 
 
 @pytest.mark.parametrize("name", ["grf3", "grf4"])
-def test_registered_betweenness_uses_all_nodes(edges, monkeypatch, name):
+def test_registered_betweenness_is_exact_on_small_graphs(edges, monkeypatch, name):
     monkeypatch.setattr(retrieval_plans.O, "citation_edges", lambda _: edges)
     got = {r["id"]: r["betweenness"] for r in getattr(retrieval_plans, name)(SimpleNamespace(office_actions=None)).collect()}
     want = brute_betweenness(EDGES)
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
 
 
+def random_graph(n, seed):
+    """Hubs, cycles, nodes that nothing points at, some of them with equal targets, loops and repeated edges."""
+    rng = np.random.default_rng(seed)
+    core = n // 3
+    pairs = [(int(a), int(b)) for a, b in zip(rng.integers(0, core, n), (core * rng.random(n) ** 2).astype(int))]
+    outer = [(i, int(t)) for i in range(core, n) for t in rng.integers(0, core, int(rng.integers(1, 3)))]
+    twins = [(n + i, t) for i in range(5) for t in (0, 1, 2)]
+    return [(f"n{a}", f"n{b}") for a, b in [*pairs, *outer, *twins, *pairs[:20], (3, 3)]]
+
+
+@pytest.mark.parametrize("way", ["tasks", "small batches", "joins"])
+def test_betweenness_of_a_random_graph(spark, monkeypatch, way):
+    pairs = random_graph(60, 7)
+    if way == "small batches":
+        monkeypatch.setattr(Z, "CELLS", 100)
+    if way == "joins":
+        monkeypatch.setattr(Z, "ROWS", 2500)  # several batches of searches
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    got = {r["id"]: r["betweenness"] for r in Z.betweenness(df, sent_edges=0 if way == "joins" else 10_000, fan=8).collect()}
+    want = brute_betweenness(pairs)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_sampled_betweenness_is_within_the_stated_error(spark):
+    pairs = random_graph(300, 8)
+    want = brute_betweenness(pairs)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    eps = 0.05
+    inner = len({a for a, b in pairs if a != b} & {b for a, b in pairs if a != b})
+    pointed = len({b for a, b in pairs if a != b})
+    used = Z.sources_for(inner, pointed / (len(want) - 2), eps)
+    assert used < len(want)  # so it samples
+    for seed in (1, 2):
+        got = {r["id"]: r["betweenness"] for r in Z.betweenness(df, eps=eps, seed=seed).collect()}
+        assert got.keys() == want.keys() and max(abs(got[n] - want[n]) for n in want) <= eps
+    assert Z.sources_for(1000, 1.0, 0.01, 0.1) == 49518
+
+
+def test_equal_sources_are_searched_once(spark):
+    links = spark.createDataFrame([(5, 0), (5, 1), (6, 0), (6, 1), (7, 1), (0, 1)], "src long, dst long")
+    chosen = spark.createDataFrame([(i,) for i in (0, 1, 5, 6, 7)], "node long")
+    got = {(r["root"], tuple(r["targets"])): r["weight"] for r in Z.searches(links, chosen, 2).collect()}
+    assert got == {(0, (1,)): 1, (-1, (0, 1)): 2, (-1, (1,)): 1}
+
+
 def test_earlier_case_edges(spark, monkeypatch):
     rows = [("a", "2000-01-01", 3), ("b", "2000-01-01", 0), ("c", "2001-01-01", 2), ("d", "2002-01-01", 9), ("e", None, 5)]
     df = spark.createDataFrame(rows, "id string, date_filed string, citation_count long").withColumn("date_filed", F.col("date_filed").cast("date"))
@@ -112,6 +160,49 @@ def vectors(spark, n=400, d=8, seed=0):
     return m, spark.createDataFrame([(i, m[i].tolist()) for i in range(n)], "id long, vector array<float>").repartition(5)
 
 
+def clustered(spark, n=3000, d=6, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, d)) * 50
+    m = (centres[rng.integers(0, 40, n)] + rng.normal(size=(n, d))).astype(np.float32)
+    m[7] = m[9] = m[11]
+    return m, spark.createDataFrame([(i, m[i].tolist()) for i in range(n)] + [(n, None)], "id long, vector array<float>").repartition(5)
+
+
+@pytest.mark.parametrize("make", [vectors, clustered])
+def test_pruned_search_equals_the_whole_search(spark, make):
+    m, df = make(spark)
+    some = df.where("id % 7 = 0")
+    for queries, k in ((df, 5), (some, 1), (some, 30)):
+        want = sorted(tuple(r) for r in R.nearest(queries, df, k).collect())
+        found, met = PR.searched(queries, df, k)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    if make is clustered:
+        found, met = PR.searched(df, df, 5)
+        pairs = met.selectExpr("sum(queries * rows)").first()[0]
+        assert pairs < 0.1 * len(m) ** 2
+
+
+def test_pruned_search_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0])], "id long, vector array<double>")
+    got = {(r["query_id"], r["id"]): r["distance"] for r in PR.pruned_nearest(df, df, 10).collect()}
+    assert len(got) == 9 and got[1, 3] == 25.0 and got[2, 1] == 0.0
+    assert PR.pruned_nearest(df, df.limit(0), 3).count() == 0 and PR.pruned_nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_quantised_search(spark):
+    m, df = clustered(spark)
+    exact = R.nearest(df, df, 5)
+    for options in ({}, {"nlist": 30, "nprobe": 8}):
+        found = QN.quantised_nearest(df, df, 5, parts=3, **options)
+        assert R.recall(found, exact).first()["recall"] >= 0.9
+        row = found.where("query_id = 100 AND id <> 100").first()
+        assert abs(row["distance"] - float(((m[100].astype(float) - m[row["id"]].astype(float)) ** 2).sum())) < 1e-9
+    books = QN.codebooks(df, 3, 16)
+    assert [b.shape for b in books] == [(16, 2)] * 3
+    x = np.array([[0.0], [0.0], [5.0]])
+    assert QN.centroids_of(x, 256, 5, 0).tolist() == [[0.0], [5.0]]
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_nearest_equals_brute_force_in_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(R, "QUERY_BLOCK", 90)
