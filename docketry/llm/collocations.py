@@ -34,6 +34,8 @@ SLOTS = 1 << 23
 SHARDS = 2
 # Not reached so far.
 NEVER = np.int16(2**15 - 1)
+# Scans are numbered below this; there are at most ``shards`` for each phrase length.
+MOST_SCANS = 1 << 12
 # Bytes of text that one count in a task covers.
 RUN = 12_000_000
 
@@ -82,37 +84,39 @@ def counted(lang: str, texts: list[bytes], scan: int, shards: int, longest: int,
     if scan < shards:
         counts = np.bincount(codes, minlength=len(names))[2:]
         yield 1, words.slice(2), np.zeros(len(counts), np.int16), counts
+    size = len(names)
     hashes = word_hash(lang, names)[codes]
     whole = codes != 0
-    key, phrase_hash = codes, hashes
+    key, key_size, phrase_hash = codes, size, hashes
     reached = np.where(whole, sieves[0][hashes % np.uint64(SLOTS)], NEVER)  # scan in which the phrase from here reached the threshold
     for length in range(2, longest + 1):
         n = len(codes) - length + 1
         if n <= 0:
             return
-        last = codes[length - 1:]
         start = np.maximum(reached[:-1], reached[1:]).astype(np.int32) + 1
         alive = (start <= scan) & whole[length - 1:]
+        if key_size * size >= 2**62 // MOST_SCANS:  # number the distinct phrases so far, to keep the next key within 64 bits
+            key = np.unique(key, return_inverse=True)[1]
+            key_size = int(key.max()) + 1
+        key, key_size = key[:n] * size + codes[length - 1:], key_size * size
         at = np.flatnonzero(alive & (start > scan - shards))
-        # A number for each distinct phrase among those that could grow or count.
-        number = np.full(n, -1, np.int64)
-        grown = np.flatnonzero(alive)
-        if not len(grown):
-            return
-        distinct, number[grown] = np.unique(key[:n][grown] * len(names) + last[grown], return_inverse=True)
         if len(at):
-            counts = np.bincount(number[at], minlength=len(distinct))
-            used = np.flatnonzero(counts)
-            place = np.zeros(len(distinct), np.int64)
-            place[number[at]] = at
-            place = place[used]
-            spelled = pc.binary_join_element_wise(*[words.take(pa.array(codes[place + k])) for k in range(length)], b" ")
-            yield length, spelled, start[place].astype(np.int16), counts[used]
-        if length == longest:
+            # The activating scan belongs to the phrase, so it can ride along in the key.
+            ids, counts = np.unique(key[at] * MOST_SCANS + start[at], return_counts=True)
+            if key_size == size**length:
+                rest, spelled = ids // MOST_SCANS, []
+                for _ in range(length):
+                    spelled.append(rest % size)
+                    rest = rest // size
+                parts = spelled[::-1]
+            else:
+                first = np.unique(key[at] * MOST_SCANS + start[at], return_index=True)[1]
+                parts = [codes[at[first] + k] for k in range(length)]
+            yield length, pc.binary_join_element_wise(*[words.take(pa.array(p)) for p in parts], b" "), ids % MOST_SCANS, counts
+        if length == longest or not alive.any():
             return
         phrase_hash = longer_hash(phrase_hash[:n], hashes[length - 1:])
         reached = np.where(alive, sieves[length - 1][phrase_hash % np.uint64(SLOTS)], NEVER)
-        key = number
 
 
 def scanned(docs: DataFrame, scan: int, shards: int, longest: int, sieves) -> DataFrame:
@@ -167,6 +171,8 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
     ended; the driver sees the distinct sieve slots newly reached, at most
     ``SLOTS`` of each length whatever the input.
     """
+    if longest * shards >= MOST_SCANS:
+        raise ValueError(f"{longest} lengths over {shards} shards take too many scans")
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text IS NOT NULL")
     dealt = scratch_path(spark, "shards")
@@ -178,11 +184,9 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
     while scan < shards or scan <= last_reached + shards:
         sent = spark.sparkContext.broadcast(sieves)
         found = scanned(docs.where(F.col("shard") == scan % shards).select("lang", "text"), scan, shards, longest, sent)
-        found = found.withColumn("reached", F.lit(None).cast("int"))
         both = found if state is None else found.unionByName(state)
         summed = both.groupBy("lang", "phrase").agg(
-            F.min("length").alias("length"), F.min("start").alias("start"), F.sum("count").alias("count"), F.min("reached").alias("reached")
-        ).withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, F.lit(scan))))
+            F.min("length").alias("length"), F.min("start").alias("start"), F.sum("count").alias("count"))
         path = scratch_path(spark, "counters")
         summed.write.parquet(path)
         sent.destroy()
@@ -194,7 +198,8 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
             total = cut_lineage(ended.where("length = 1").groupBy("lang").agg(F.sum("count").alias("n")))
         if scan >= shards - 1:
             done.append(cut_lineage(ended.where(F.col("count") >= least).select("lang", "phrase", "length", F.col("count").alias("f"))))
-        fresh_slots = reached_slots(now.where((F.col("reached") == scan) & (F.col("length") < longest))).toPandas()
+        # Slots of phrases that reached the threshold in an earlier scan are set already.
+        fresh_slots = reached_slots(now.where((F.col("count") >= least) & (F.col("length") < longest))).toPandas()
         for length, rows in fresh_slots.groupby("length"):
             slots = rows["slot"].to_numpy()
             held = sieves[length - 1]

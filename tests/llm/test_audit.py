@@ -62,8 +62,9 @@ def some_texts(seed=3, n=300):
     return rows
 
 
-@pytest.mark.parametrize("longest,shards", [(3, 4), (4, 2), (2, 1)])
+@pytest.mark.parametrize("longest,shards", [(3, 4), (4, 2), (2, 1), (15, 1)])
 def test_collocations_equal_brute_force(spark, longest, shards):
+    """The longest phrases need keys beyond 64 bits, which are numbered anew."""
     rows = some_texts()
     want = brute_collocations([(lang, t) for _, t, lang, _ in rows], longest, top=25)
     assert len(want) > 30
