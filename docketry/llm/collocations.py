@@ -29,13 +29,15 @@ from docketry.operators.scaling import broadcast_if_small, top_per_key
 from docketry.session import cut_lineage, delete_folder, scratch_path
 
 # Slots of the sieve for each phrase length; its size does not depend on the input.
-SLOTS = 1 << 23
+SLOTS = 1 << 22
 # Shards of the cycle. More of them activate phrases sooner, and carry counters over more scans.
 SHARDS = 2
 # Not reached so far.
 NEVER = np.int16(2**15 - 1)
 # Scans are numbered below this; there are at most ``shards`` for each phrase length.
 MOST_SCANS = 1 << 12
+# Phrase lengths lie below this.
+LENGTHS = 1 << 10
 # Bytes of text that one count in a task covers.
 RUN = 12_000_000
 
@@ -120,9 +122,8 @@ def counted(lang: str, texts: list[bytes], scan: int, shards: int, longest: int,
 
 
 def scanned(docs: DataFrame, scan: int, shards: int, longest: int, sieves) -> DataFrame:
-    """``(lang, phrase, length, start, count)`` of one scan, summed within runs of rows."""
-    schema = "lang string, phrase string, length int, start int, count long"
-    names = ["lang", "phrase", "length", "start", "count"]
+    """``(lang, phrase, mark, count)`` of one scan, summed within runs of rows; ``mark`` is activating scan * LENGTHS + length."""
+    names = ["lang", "phrase", "mark", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sieves.value
@@ -133,33 +134,34 @@ def scanned(docs: DataFrame, scan: int, shards: int, longest: int, sieves) -> Da
                     by_lang.setdefault(lang, []).append(text)
                 for lang, texts in by_lang.items():
                     for length, phrases, start, count in counted(lang, texts, scan, shards, longest, held):
-                        n = len(phrases)
-                        for i in range(0, n, 100_000):
-                            m = min(100_000, n - i)
-                            yield pa.RecordBatch.from_arrays([
-                                pa.repeat(lang, m), phrases.slice(i, m).cast(pa.string()), pa.repeat(pa.scalar(length, pa.int32()), m),
-                                pa.array(start[i:i + m].astype(np.int32)), pa.array(count[i:i + m].astype(np.int64)),
-                            ], names)
+                        for i in range(0, len(phrases), 100_000):
+                            some = phrases.slice(i, 100_000).cast(pa.string())
+                            marks = start[i:i + 100_000].astype(np.int32) * LENGTHS + length
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.repeat(lang, len(some)), some, pa.array(marks, pa.int32()), pa.array(count[i:i + 100_000].astype(np.int64))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "lang string, phrase string, mark int, count long")
 
 
-def reached_slots(reached: DataFrame) -> DataFrame:
-    """Distinct ``(length, slot)`` of phrases ``(lang, phrase, length)``; at most ``SLOTS`` of each length."""
+def fresh_slots(reached: DataFrame, sieves) -> DataFrame:
+    """Distinct ``(length, slot)`` of phrases ``(lang, phrase, mark)`` whose slot is not set; at most ``SLOTS`` of each length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sieves.value
         for batch in batches:
             lengths, slots = [], []
-            for lang, phrase, length in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for lang, phrase, mark in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 hashes = word_hash(lang, phrase.encode().split(b" "))
                 whole = hashes[:1]
                 for k in range(1, len(hashes)):
                     whole = longer_hash(whole, hashes[k:k + 1])
-                lengths.append(length)
-                slots.append(int(whole[0] % np.uint64(SLOTS)))
+                slot = int(whole[0] % np.uint64(SLOTS))
+                if held[mark % LENGTHS - 1][slot] == NEVER:
+                    lengths.append(mark % LENGTHS)
+                    slots.append(slot)
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(slots, pa.int32())], ["length", "slot"])
 
-    return reached.select("lang", "phrase", "length").mapInArrow(run, "length int, slot int").distinct()
+    return reached.select("lang", "phrase", "mark").mapInArrow(run, "length int, slot int").distinct()
 
 
 def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, lang_column: str = "lang",
@@ -171,7 +173,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
     ended; the driver sees the distinct sieve slots newly reached, at most
     ``SLOTS`` of each length whatever the input.
     """
-    if longest * shards >= MOST_SCANS:
+    if longest * shards >= MOST_SCANS or longest >= LENGTHS:
         raise ValueError(f"{longest} lengths over {shards} shards take too many scans")
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text IS NOT NULL")
@@ -179,34 +181,30 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
     texts.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(dealt)
     docs = spark.read.schema("lang string, text string, shard int").parquet(dealt)
     sieves = [np.full(SLOTS, NEVER, np.int16) for _ in range(longest - 1)]
+    length, start = F.col("mark") % LENGTHS, F.expr(f"mark div {LENGTHS}")
     state, state_path, total, done = None, None, None, []
     scan, last_reached = 0, -1
     while scan < shards or scan <= last_reached + shards:
         sent = spark.sparkContext.broadcast(sieves)
         found = scanned(docs.where(F.col("shard") == scan % shards).select("lang", "text"), scan, shards, longest, sent)
         both = found if state is None else found.unionByName(state)
-        summed = both.groupBy("lang", "phrase").agg(
-            F.min("length").alias("length"), F.min("start").alias("start"), F.sum("count").alias("count"))
+        summed = both.groupBy("lang", "phrase").agg(F.min("mark").alias("mark"), F.sum("count").alias("count"))
         path = scratch_path(spark, "counters")
         summed.write.parquet(path)
-        sent.destroy()
         if state_path:
             delete_folder(spark, state_path)
         now = spark.read.schema(summed.schema).parquet(path)
-        ended = now.where(F.col("start") == scan - shards + 1)
+        ended = now.where(start == scan - shards + 1)
         if scan == shards - 1:
-            total = cut_lineage(ended.where("length = 1").groupBy("lang").agg(F.sum("count").alias("n")))
+            total = cut_lineage(ended.where(length == 1).groupBy("lang").agg(F.sum("count").alias("n")))
         if scan >= shards - 1:
-            done.append(cut_lineage(ended.where(F.col("count") >= least).select("lang", "phrase", "length", F.col("count").alias("f"))))
-        # Slots of phrases that reached the threshold in an earlier scan are set already.
-        fresh_slots = reached_slots(now.where((F.col("count") >= least) & (F.col("length") < longest))).toPandas()
-        for length, rows in fresh_slots.groupby("length"):
-            slots = rows["slot"].to_numpy()
-            held = sieves[length - 1]
-            fresh = slots[held[slots] == NEVER]
-            held[fresh] = scan
-            last_reached = scan if len(fresh) else last_reached
-        state, state_path = now.where(F.col("start") > scan - shards + 1), path
+            done.append(cut_lineage(ended.where(F.col("count") >= least).select("lang", "phrase", length.alias("length"), F.col("count").alias("f"))))
+        rows = fresh_slots(now.where((F.col("count") >= least) & (length < longest)), sent).toPandas()
+        for size, some in rows.groupby("length"):
+            sieves[size - 1][some["slot"].to_numpy()] = scan
+            last_reached = scan
+        sent.destroy()
+        state, state_path = now.where(start > scan - shards + 1), path
         scan += 1
     delete_folder(spark, state_path)
     delete_folder(spark, dealt)
