@@ -98,12 +98,12 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << shift, axis=2)
 
 
-def band_hashes(minima: np.ndarray, bands: int) -> np.ndarray:
+def band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.empty((len(minima), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(minima), b + 1, np.uint64)
-        for r in range(ROWS):
-            key = mixed(key * _PRIMES[0] + minima[:, b * ROWS + r])
+        for r in range(rows):
+            key = mixed(key * _PRIMES[0] + minima[:, b * rows + r])
         out[:, b] = key
     return out
 
@@ -118,9 +118,16 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (equal / MINIMA - chance) / (1 - chance)
 
 
-def bands_for(percent: int) -> int:
-    """Bands after which a pair at the threshold stays unmet with probability ``MISS`` at most."""
-    return min(MINIMA // ROWS, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))))
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands, and minima of a band, after which a pair at the threshold stays unmet with probability ``MISS`` at most.
+
+    Low thresholds take fewer minima to a band, so that the bands fit the minima.
+    """
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-min(1 - 1e-9, (percent / 100) ** rows)))
+        if bands * rows <= MINIMA:
+            return bands, rows
+    raise ValueError(f"{MINIMA} minima are too few for a threshold of {percent} %")
 
 
 def least_estimate(percent: int) -> float:
@@ -130,7 +137,7 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - SLACK * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
-def signatures(df: DataFrame, width: int, bands: int, id_column: str, text_column: str) -> DataFrame:
+def signatures(df: DataFrame, width: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
     """``(id, n_shingles, set_key, signature, bands)`` of every row; texts without words have an id of their own as key."""
 
     def make():
@@ -141,7 +148,7 @@ def signatures(df: DataFrame, width: int, bands: int, id_column: str, text_colum
             signature, hashes = [None] * len(ids), [None] * len(ids)
             if full:
                 minima = minima_of([sets[i] for i in full])
-                for i, p, h in zip(full, packed(minima), band_hashes(minima, bands).view(np.int64)):
+                for i, p, h in zip(full, packed(minima), band_hashes(minima, bands, rows).view(np.int64)):
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                     signature[i], hashes[i] = p.tobytes(), h
             return {"id": ids, "n_shingles": [len(s) for s in sets], "set_key": keys, "signature": signature, "bands": hashes}
@@ -281,10 +288,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_column:
     links with nothing, has a null component and is kept; rows that share an id
     count as one node. Only the two named columns are read. Every link found is
     exact; a pair at the threshold is missed with probability ``MISS`` plus that
-    of an estimate ``SLACK`` standard errors low.
+    of an estimate ``SLACK`` standard errors low. An empty table gives an empty
+    result; very long texts are read whole. Sets are compared by 64-bit hashes of
+    their shingles.
     """
-    bands = bands_for(percent)
-    signed = cut_lineage(signatures(df, width, bands, id_column, text_column).withColumn("id", F.col("id").cast("long")))
+    bands, rows = bands_for(percent)
+    signed = cut_lineage(signatures(df, width, bands, rows, id_column, text_column).withColumn("id", F.col("id").cast("long")))
     usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
     least = usable.groupBy("set_key").agg(F.min("id").alias("id"))
     classes = cut_lineage(

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import let
 from docketry.llm.common import SPACES
+from docketry.operators.scaling import fits_broadcast
 from docketry.session import cut_lineage
 
 # The character classes, each counted in what the ones before leave.
 CLASSES = ("[a-z]+", SPACES, "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", r"[\x00-\x7F]+")
 SYMBOLS = "#*$%&|<>"
 COMMON = 20  # most common words in a language's histogram
-# Languages with a reference of their own, those with the most common words; a bound for the broadcast.
-LANGUAGES = 512
+# Parts of each language's rows when the references are too many for a broadcast.
+SALTS = 64
 POOLED = "pooled"
 
 
@@ -118,25 +119,22 @@ def keyed(df: DataFrame, language: str, text: str) -> DataFrame:
 def common_words(df: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
     """``(key, words, counts)``: the most common lower-case words of each language, over all rows, and of all pooled.
 
-    ``key`` is ``"language "`` and the language for the ``LANGUAGES`` whose lists
-    count the most words, so the table has a bounded size. The pooled list adds
-    up the lists of all languages; rows without a language count in it alone.
+    ``key`` is ``"language "`` and the language, for every language with words. The
+    pooled list ranks the words by their counts over all rows; rows without a
+    language count in it alone.
     """
-    counted = (
+    counted = cut_lineage(
         keyed(df, language, text).select("key", F.explode(words_of(F.col("text"))).alias("word"))
         .groupBy("key", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     )
     order = Window.partitionBy("key").orderBy(F.desc("n"), "word")
-    lists = cut_lineage(
-        counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON).select("key", "word", "n", "rank")
-    )
+    lists = counted.where("key <> 'none'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "word", "n")))  # COMMON entries
+    known = lists.groupBy("key").agg(ranked.alias("top"))
     pooled = (
-        lists.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
+        counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
         .select(F.lit(POOLED).alias("key"), "word", "n", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"))
     )
-    ranked = F.sort_array(F.collect_list(F.struct("rank", "word", "n")))  # COMMON entries
-    known = lists.where("key <> 'none'").groupBy("key").agg(F.sum("n").alias("listed"), ranked.alias("top"))
-    known = known.orderBy(F.desc("listed"), "key").limit(LANGUAGES).select("key", "top")
     empty = F.expr("cast(array() as array<struct<rank:int,word:string,n:bigint>>)")
     both = known.union(pooled.agg(ranked.alias("top")).select(F.lit(POOLED), F.coalesce("top", empty)))
     return both.select(
@@ -144,6 +142,19 @@ def common_words(df: DataFrame, language: str = "lang", text: str = "text") -> D
     )
 
 
+def with_reference(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Join references by ``key``: sent to all tasks when counted small, otherwise against salted rows.
+
+    With salts a language that holds most rows is dealt to ``SALTS`` tasks, each
+    with a copy of its reference.
+    """
+    if fits_broadcast(found):
+        return rows.join(F.broadcast(found), "key")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS)).cast("int"))
+    return dealt.join(found.withColumn("_salt", salts), ["key", "_salt"]).drop("_salt")
+
+
 def references(measured: DataFrame, lists: DataFrame) -> DataFrame:
     """``(key, word_counts, class_counts)`` of the keys of ``lists``, from the counts of every row.
 
@@ -185,17 +196,24 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ``n_repeat_words``, ``base_failed``, ``class_distance``, ``word_distance``,
     ``kept``. A null text has no words. A text with fewer than ``least_chars``
     characters or ``least_words`` words has a null distance and passes that test.
-    A language beyond the ``LANGUAGES`` largest, or none, is compared with all
-    languages pooled. Rows are judged one by one, so repeated rows and ties need
+    Every language with words is compared with its own histograms; rows without a
+    language, and those of a language without words, with all rows pooled. Rows
+    are judged one by one and whole, so long texts, repeated rows and ties need
     no rule; an empty table gives an empty result. Only the named columns are read.
     """
     lists = cut_lineage(common_words(df, language_column, text_column))
-    keys = [r["key"] for r in lists.select("key").collect()]  # LANGUAGES + 1 at most
     own = F.concat(F.lit("language "), F.col(language_column).cast("string"))
-    key = F.when(own.isin(keys), own).otherwise(F.lit(POOLED))
-    rows = df.select(
-        F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), key.alias("key")
-    ).join(F.broadcast(lists.select("key", "words")), "key")  # LANGUAGES + 1 rows of fixed width
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = df.select(F.col(id_column).alias("id"), text.alias("text"), F.length(text).alias("n_chars"), F.coalesce(own, F.lit(POOLED)).alias("key"))
+    known = lists.select("key").withColumn("_known", F.lit(True))
+    if fits_broadcast(lists):
+        rows = rows.join(F.broadcast(known), "key", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "n_chars"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(known.withColumn("_salt", salts), ["key", "_salt"], "left").drop("_salt")
+    rows = rows.withColumn("key", F.when(F.col("_known"), F.col("key")).otherwise(F.lit(POOLED))).drop("_known")
+    rows = with_reference(rows, lists.select("key", "words"))
 
     def measure(words: Column) -> Column:
         return F.struct(
@@ -209,9 +227,9 @@ def judged(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         "id", "key", let(words_of(text), measure).alias("m"),
         F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        repeated_lines(text).alias("n_dup_lines"), class_counts(text).alias("classes"), F.length(text).alias("n_chars"),
+        repeated_lines(text).alias("n_dup_lines"), class_counts(text).alias("classes"), "n_chars",
     ).select("id", "key", "m.*", "word_chars", "n_symbols", "n_dup_lines", "classes", "n_chars"))  # counts only
-    compared = measured.join(F.broadcast(references(measured, lists)), "key")  # LANGUAGES + 1 rows of fixed width
+    compared = with_reference(measured, cut_lineage(references(measured, lists)))
     flat = compared.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.col("n_chars") >= least_chars, distance(F.col("classes"), F.col("class_counts"))).alias("class_distance"),

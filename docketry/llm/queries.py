@@ -189,7 +189,7 @@ FROM spread
 """
 
 ORACLES["op2_divergence"] = """
-WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+WITH docs AS (SELECT doc_id, coalesce('language ' || lang, 'pooled') AS lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
 shape AS (
   SELECT *, regexp_replace(text, '[a-z]+', '', 'g') AS t1 FROM docs
 ), shape2 AS (SELECT *, regexp_replace(t1, '[\\x20\\x09-\\x0D]+', '', 'g') AS t2 FROM shape),
@@ -200,15 +200,17 @@ shape6 AS (SELECT *, regexp_replace(t5, '[\\x00-\\x7F]+', '', 'g') AS t6 FROM sh
 classed AS (
   SELECT doc_id, lang, text, words, [length(text) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4),
     length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS classes FROM shape6
-), counted AS (SELECT lang, lower(w) AS w, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM docs) GROUP BY ALL),
+), each AS (SELECT lang, lower(w) AS w, count(*) AS n FROM (SELECT lang, unnest(words) AS w FROM docs) GROUP BY ALL),
+counted AS (SELECT * FROM each WHERE lang <> 'pooled' UNION ALL SELECT 'pooled', w, sum(n)::BIGINT FROM each GROUP BY w),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM counted),
 tops AS (SELECT lang, list(w ORDER BY r) AS common, list(n ORDER BY r) AS ns, sum(n) AS listed FROM ranked WHERE r <= 20 GROUP BY lang),
 sums AS (
   SELECT lang, sum(len(words)) AS total, [sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6]), sum(classes[7])] AS ref_classes
-  FROM classed GROUP BY lang
+  FROM (SELECT * FROM classed WHERE lang <> 'pooled' UNION ALL SELECT * REPLACE ('pooled' AS lang) FROM classed) GROUP BY lang
 ), refs AS (SELECT lang, common, list_append(ns, (total - listed)::BIGINT) AS ref_words, ref_classes FROM sums JOIN tops USING (lang)),
 hist AS (
-  SELECT c.*, r.ref_classes, r.ref_words, list_transform(c.words, lambda w: lower(w)) AS lowered, r.common FROM classed c JOIN refs r USING (lang)
+  SELECT c.*, r.ref_classes, r.ref_words, list_transform(c.words, lambda w: lower(w)) AS lowered, r.common
+  FROM (SELECT * REPLACE (CASE WHEN lang IN (SELECT lang FROM refs) THEN lang ELSE 'pooled' END AS lang) FROM classed) c JOIN refs r USING (lang)
 ), hist2 AS (
   SELECT *, list_transform(common, lambda k: len(list_filter(lowered, lambda w: w = k))) AS hits FROM hist
 ), hist3 AS (SELECT *, list_append(hits, len(words) - coalesce(list_sum(hits), 0)) AS own_words FROM hist2),

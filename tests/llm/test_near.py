@@ -151,3 +151,24 @@ def test_odd_vectors(spark):
     assert by[1]["n_links"] == 2 and by[2]["n_links"] == 2  # row 1 comes twice
     assert all(r["n_links"] == 0 and r["kept"] for r in got if r["id"] not in (1, 2))
     assert rotation_codes.near_vectors(vectors(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("percent", [10, 30, 50, 60, 70, 74, 80, 85, 95, 100])
+def test_bands_keep_the_promised_chance(percent):
+    bands, rows = bbit_minhash.bands_for(percent)
+    assert bands * rows <= bbit_minhash.MINIMA
+    assert (1 - min(1 - 1e-9, (percent / 100) ** rows)) ** bands <= bbit_minhash.MISS * 1.0001
+    if percent >= 80:
+        assert rows == bbit_minhash.ROWS
+
+
+def test_too_low_a_threshold_is_an_error():
+    with pytest.raises(ValueError):
+        bbit_minhash.bands_for(2)
+
+
+def test_half_similar_texts_are_found(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(2 * g + side, " ".join(f"g{g}{w}" for w in (words[:300] if side == 0 else words[100:])), "en", "s") for g in range(40) for side in (0, 1)]
+    found = {r["id"]: r["component_id"] for r in bbit_minhash.near_duplicates(documents(spark, rows), width=1, percent=50).collect()}
+    assert all(found[2 * g + 1] == 2 * g for g in range(40))

@@ -66,9 +66,7 @@ def test_against_plain_python(spark):
         lower[lang].update(w.lower() for w in re.split(SPACES, text) if w)
         shapes[lang] = [a + b for a, b in zip(shapes[lang], shape(text))]
     top = {lang: sorted(c.items(), key=lambda x: (-x[1], x[0]))[:divergence.COMMON] for lang, c in lower.items()}
-    merged = Counter()
-    for items in top.values():
-        merged.update(dict(items))
+    merged = sum(lower.values(), Counter())
     pooled_top = sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:divergence.COMMON]
     for i, text, lang, _ in rows:
         r = got[i]
@@ -86,12 +84,20 @@ def test_against_plain_python(spark):
         assert r["kept"] == (not failed and (r["class_distance"] or 0) <= 0.07 and (r["word_distance"] or 0) <= 0.14)
 
 
-def test_more_languages_than_references(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "LANGUAGES", 2)
-    rows = [(i, "alpha beta gamma " * (30 - i), f"l{i}", "a") for i in range(6)]
-    known = {r["key"] for r in divergence.common_words(documents(spark, rows)).collect()}
-    assert known == {"language l0", "language l1", "pooled"}
-    assert len(divergence.judged(documents(spark, rows)).collect()) == 6
+def test_every_language_has_a_reference(spark, monkeypatch):
+    """600 languages, a null one and one without words, with references sent to all tasks or joined with salts."""
+    rows = [(i, f"alpha{i % 600} beta gamma " * 20, f"l{i % 600}", "a") for i in range(700)]
+    rows += [(900, "alpha0 beta gamma " * 20, None, "a"), (901, " " * 300, "empty", "a")]
+    df = documents(spark, rows)
+    lists = {r["key"]: (r["words"], r["counts"]) for r in divergence.common_words(df).collect()}
+    assert len(lists) == 601
+    assert lists["language l5"] == (["alpha5", "beta", "gamma"], [40, 40, 40])
+    assert lists["pooled"][0][:3] == ["beta", "gamma", "alpha0"] and lists["pooled"][1][:3] == [14020, 14020, 60]
+    sent = {r["doc_id"]: tuple(r) for r in divergence.judged(df).collect()}
+    monkeypatch.setattr(divergence, "fits_broadcast", lambda _: False)
+    joined = {r["doc_id"]: tuple(r) for r in divergence.judged(df).collect()}
+    assert sent == joined and len(sent) == len(rows)
+    assert sent[5][-1] == 0.0 and sent[900][-1] > 0.1 and sent[901][-1] is None  # own histogram; pooled; no words
 
 
 def test_odd_rows(spark):
