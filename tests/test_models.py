@@ -2,8 +2,10 @@ from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from docketry.operators import forests
 from docketry.operators import learn as L
 from docketry.plans import learning
 from docketry.session import scratch_path, scratch_root, scratch_scope
@@ -78,3 +80,46 @@ def test_model_queries_use_the_defaults(monkeypatch, query, fit):
     monkeypatch.setattr(L, fit, spy)
     with pytest.raises(Called):
         getattr(learning, query)(MagicMock())
+
+
+def forest_rows(spark, n=400, seed=3):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, 6)), 2)
+    label = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=n)) > 0.3).astype(float)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(label[i])) for i in range(n)], "id long, v array<double>, label double")
+    return df.select("id", array_to_vector("v").alias("features"), "label", F.lit(1.0).alias("weight")).repartition(1)
+
+
+def test_node_tables_score_as_the_forest(spark):
+    rows = forest_rows(spark).cache()
+    model = L.forest(7, 6, 2).fit(rows)
+    x = np.array([r["features"].toArray() for r in rows.collect()])
+    got = forests.nodes_of(model, rows).scores(x, [7], [6])[:, 0, 0]
+    want = [r["rawPrediction"][1] for r in model.transform(rows).collect()]
+    assert np.allclose(got, want)
+
+
+def test_shallower_forests_are_cut_deep_ones(spark):
+    """A forest cut at a depth is the forest fitted to that depth with the same number of trees and seed."""
+    rows = forest_rows(spark).cache()
+    x = np.array([r["features"].toArray() for r in rows.collect()])
+    deep = forests.nodes_of(L.forest(5, 8, 1).fit(rows), rows)
+    for depth in (1, 3):
+        small = L.forest(5, depth, 1).fit(rows)
+        want = [r["rawPrediction"][1] for r in small.transform(rows).collect()]
+        assert np.allclose(deep.scores(x, [5], [depth])[:, 0, 0], want), depth
+
+
+def test_grid_from_one_fit_per_fold_and_leaf(spark):
+    rows = forest_rows(spark).cache()
+    model, table = L.tuned_forest(rows.drop("weight"), "id", (3, 9), (2, 6), (1, 4), folds=3)
+    got = {(r["trees"], r["depth"], r["leaf"]): r["f1"] for r in table.collect()}
+    assert len(got) == 8 and all(0.4 < v <= 1 for v in got.values())
+    best = max(got.values())
+    assert got[model.getNumTrees, model.getOrDefault("maxDepth"), model.getOrDefault("minInstancesPerNode")] == best
+    folded = L.balanced_weights(rows.drop("weight"), "label").withColumn("_fold", L.fold_of("id", 3))
+    f1 = []
+    for i in range(3):
+        scored = L.forest(9, 6, 4).fit(folded.where(F.col("_fold") != i)).transform(folded.where(F.col("_fold") == i))
+        f1.append(L.binary_scores(scored)["f1"])
+    assert abs(got[9, 6, 4] - np.mean(f1)) < 0.05  # the same fits, but for the order in which rows are read
