@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 from pyspark.ml import PipelineModel, Transformer
@@ -259,7 +260,7 @@ def fit_relevance_model(rows: DataFrame, trees: int = 200, depth: int = 15, leaf
 
 
 def tuned_forest(ready: DataFrame, key: str, trees: Sequence[int] = (100, 200, 300), depths: Sequence[int] = (10, 20, 30),
-                 leaves: Sequence[int] = (1, 2, 4), folds: int = 5):
+                 leaves: Sequence[int] = (1, 2, 4), folds: int = 5, parallelism: int = 4):
     """Grid search on the F1 of class 1; returns the best model and ``(trees, depth, leaf, f1)`` rows.
 
     Smaller numbers of trees and depths are read off the largest forest of each
@@ -267,15 +268,19 @@ def tuned_forest(ready: DataFrame, key: str, trees: Sequence[int] = (100, 200, 3
     the folds' values; equal values go to the smaller forest.
     """
     folded = cut_lineage(balanced_weights(ready, "label").withColumn("_fold", fold_of(key, folds)))
-    sums: dict[tuple[int, int, int], float] = {}
-    for leaf in leaves:
-        for i in range(folds):
-            model = forest(max(trees), max(depths), leaf).fit(folded.where(F.col("_fold") != i))
-            counts = forests.grid_counts(folded.where(F.col("_fold") == i), forests.nodes_of(model, ready), trees, depths)
-            f1 = {(r["trees"], r["depth"]): 2 * r["tp"] / max(1, 2 * r["tp"] + r["fp"] + r["fn"]) for r in counts.collect()}  # a row per point
-            for t in trees:
-                for d in depths:
-                    sums[t, d, leaf] = sums.get((t, d, leaf), 0.0) + f1.get((t, d), 0.0)
+
+    def held_out(point: tuple[int, int]) -> dict[tuple[int, int, int], float]:
+        """F1 of every grid point with this leaf size, on this fold."""
+        leaf, fold = point
+        model = forest(max(trees), max(depths), leaf).fit(folded.where(F.col("_fold") != fold))
+        counts = forests.grid_counts(folded.where(F.col("_fold") == fold), forests.nodes_of(model, ready), trees, depths)
+        return {(r["trees"], r["depth"], leaf): 2 * r["tp"] / max(1, 2 * r["tp"] + r["fp"] + r["fn"]) for r in counts.collect()}  # a row per point
+
+    sums = {(t, d, leaf): 0.0 for t in trees for d in depths for leaf in leaves}
+    with ThreadPoolExecutor(parallelism) as pool:
+        for found in pool.map(held_out, [(leaf, i) for leaf in leaves for i in range(folds)]):
+            for point, f1 in found.items():
+                sums[point] += f1
     rows = [(*point, total / folds) for point, total in sorted(sums.items())]
     best = max(rows, key=lambda r: (round(r[3], 12), -r[0], -r[1], -r[2]))
     table = ready.sparkSession.createDataFrame(rows, "trees int, depth int, leaf int, f1 double")

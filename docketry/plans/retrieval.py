@@ -279,14 +279,14 @@ def against_exact(found, v, k):
 def rnk3(t):
     v = cut_lineage(vectors(t))
     cells = max(1, int(np.sqrt(v.count())))
-    return against_exact(R.approximate_nearest(v, v, 10, cells, max(1, cells // 3)), v, 10)
+    return against_exact(R.approximate_nearest(v, v, 10, cells, max(1, 2 * cells // 3)), v, 10)
 
 
 @query("rnk3_quantised_nearest")
 def rnk3_quantised(t):
     v = cut_lineage(vectors(t))
     cells = max(1, int(np.sqrt(v.count())))
-    return against_exact(QN.quantised_nearest(v, v, 10, nlist=cells, nprobe=max(1, cells // 3)), v, 10)
+    return against_exact(QN.quantised_nearest(v, v, 10, nlist=cells, nprobe=max(1, 2 * cells // 3)), v, 10)
 
 
 @query("rnk4_text_vectors")
