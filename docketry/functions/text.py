@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,15 +17,21 @@ from docketry.lexicons import TECH, TechLexicon
 SPACE = r"[\s\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
-# HTML entities decoded by ``strip_html``. The semicolon is
-# optional for the second group; ``amp`` comes last so that an escaped entity
-# is decoded once only.
-HTML_ENTITIES = {
-    "apos;": "'", "hellip;": "\u2026", "ndash;": "\u2013", "mdash;": "\u2014", "lsquo;": "\u2018", "rsquo;": "\u2019",
-    "ldquo;": "\u201c", "rdquo;": "\u201d",
-    "nbsp;?": "\u00a0", "lt;?": "<", "gt;?": ">", "quot;?": '"', "sect;?": "\u00a7", "para;?": "\u00b6",
-    "copy;?": "\u00a9", "reg;?": "\u00ae", "middot;?": "\u00b7", "amp;?": "&",
-}
+# Markup of a page, as one scan reads it: comments, scripts and styles with their content, declarations, and
+# tags whose quoted values may hold ``>``. The last form takes a tag with a quote that never closes.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))"""
+_ATTRIBUTES = rf"(?:[^>=]++|=\s*+{_VALUE})*+"
+MARKUP = (
+    r"(?is)<!--.*?(?:--!?>|\z)"
+    rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    rf"|<!(?!--)[^>]*>|<\?[^>]*>|</(?![a-z])[^>]*>|</?[a-z]{_ATTRIBUTES}>|</?[a-z][^>]*>"
+)
+# Names with a semicolon, common ones first because a lookup reads the map in order; and the old names that need none.
+_COMMON = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;", "copy;", "middot;", "ndash;", "mdash;", "rsquo;", "lsquo;", "hellip;")
+_NAMED = {name: html5[name] for name in (*_COMMON, *(n for n in html5 if n.endswith(";") and n not in _COMMON))}
+_BARE = {name: char for name, char in html5.items() if not name.endswith(";")}
+# Numbers that stand for Windows-1252 characters, by that code page; five of them have none and stay controls.
+_WINDOWS = {str(n): bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)}
 
 
 def col(value: str | Column) -> Column:
@@ -98,29 +105,62 @@ def present_labels(value: Column, labelled: Iterable[tuple[str, str]]) -> Column
 
 
 def strip_html(html: str | Column, separator: str = "") -> Column:
-    """Visible text of a page: scripts, styles, comments and tags removed."""
-    text = F.regexp_replace(col(html), r"(?s)<!--.*?(?:-->|\z)", "")
-    for tag in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
-    text = F.regexp_replace(text, r"<![^>]*>|</?[a-zA-Z][^>]*>", separator)
-    text = let(text, _decode_numeric)
-    for name, char in HTML_ENTITIES.items():
-        text = F.regexp_replace(text, f"&{name}", char)
-    return strip_space(F.regexp_replace(text, rf"{SPACE}+", " "))
-
-
-def _decode_numeric(text: Column) -> Column:
-    """Replace ``&#233;`` style references by their characters."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-    return F.aggregate(
-        codes,
-        text,
-        lambda acc, code: F.replace(
-            acc,
-            F.concat(F.lit("&#"), code, F.lit(";")),
-            F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"), F.lit("")),
-        ),
+    """Visible text of a page: scripts, styles, comments and tags removed, references decoded once.
+
+    ``separator`` stands in place of each piece of markup. Null stays null.
+    """
+    text = F.regexp_replace(col(html), MARKUP, separator)
+    return strip_space(F.regexp_replace(let(text, decode_references), rf"{SPACE}+", " "))
+
+
+def decode_references(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references replaced in one pass.
+
+    What a reference yields is not read again, so ``&#38;lt;`` becomes ``&lt;``.
+    Unknown names stay as they are; old names such as ``&amp`` need no semicolon.
+    """
+    parts = F.split(text, "&")
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _after_ampersand), ""))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def _constant_map(entries: Mapping[str, str]) -> Column:
+    """A map that the optimizer folds from one literal, so that a long table adds three nodes to a plan."""
+    text = "\x02".join(f"{key}\x01{value}" for key, value in entries.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
+def _after_ampersand(part: Column) -> Column:
+    named, bare = _constant_map(_NAMED), _constant_map(_BARE)
+    name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+    old = F.regexp_extract(part, "^(?:" + "|".join(sorted(_BARE, key=len, reverse=True)) + ")", 0)
+
+    def rest(token: Column) -> Column:
+        return F.substring(part, F.length(token) + 1, F.length(part))
+
+    by_old = let(old, lambda o: F.when(o != "", F.concat(F.element_at(bare, o), rest(o))).otherwise(F.concat(F.lit("&"), part)))
+    by_name = let(name, lambda n: F.coalesce(F.when(n != "", F.concat(F.element_at(named, n), rest(n))), by_old))
+    number = F.regexp_extract(part, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    by_number = let(number, lambda n: F.concat(let(_code_point(n), _character), rest(n)))
+    return F.when(F.rlike(part, F.lit(r"^#(?:[0-9]|[xX][0-9a-fA-F])")), by_number).otherwise(by_name)
+
+
+def _code_point(reference: Column) -> Column:
+    """The number of a reference such as ``#233;`` or ``#xE9``; one past the last character when it is longer than 7 digits."""
+    digits = F.regexp_extract(reference, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = F.when(F.rlike(reference, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits)
+    return F.when(F.length(digits) > 7, F.lit(0x110000)).when(digits == "", F.lit(0)).otherwise(base.try_cast("long"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; nothing for controls and for numbers that are no characters."""
+    unknown = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    nothing = (
+        code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F)
+        | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
     )
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(unknown, "\ufffd").when(nothing, "").when(code.between(0x80, 0x9F), F.element_at(_constant_map(_WINDOWS), code.cast("string"))).otherwise(plain)
 
 
 def clean_boilerplate(value: str | Column) -> Column:

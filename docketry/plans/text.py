@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docketry import lexicons
 from docketry.functions import patent as P
 from docketry.functions import text as X
+from docketry.operators import near_lists as N
 from docketry.plans.cleaning import sql_in, sql_list, sql_matches, sql_relevance
 from docketry.plans.registry import query
 
@@ -14,13 +15,24 @@ PERIOD = """CASE WHEN date_filed < DATE '2000-01-01' THEN 'pre_2000' WHEN date_f
 WS = r"[\s\p{Z}]"
 
 
+# The HTML entities that the supplied pages may hold. The semicolon is
+# optional for the second group; ``amp`` comes last so that an escaped entity
+# is decoded once only.
+HTML_ENTITIES = {
+    "apos;": "'", "hellip;": "\u2026", "ndash;": "\u2013", "mdash;": "\u2014", "lsquo;": "\u2018", "rsquo;": "\u2019",
+    "ldquo;": "\u201c", "rdquo;": "\u201d",
+    "nbsp;?": "\u00a0", "lt;?": "<", "gt;?": ">", "quot;?": '"', "sect;?": "\u00a7", "para;?": "\u00b6",
+    "copy;?": "\u00a9", "reg;?": "\u00ae", "middot;?": "\u00b7", "amp;?": "&",
+}
+
+
 def sql_html(column: str) -> str:
     """Visible text of HTML in DuckDB, step by step."""
     out = rf"regexp_replace({column}, '<!--.*?(?:-->|\z)', '', 'gs')"
     for tag in ("script", "style"):
         out = rf"regexp_replace({out}, '<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', '', 'gis')"
     out = rf"regexp_replace({out}, '<![^>]*>|</?[a-zA-Z][^>]*>', '', 'g')"
-    for name, char in X.HTML_ENTITIES.items():
+    for name, char in HTML_ENTITIES.items():
         out = "regexp_replace({}, '&{}', '{}', 'g')".format(out, name, char.replace("'", "''"))
     return rf"trim(regexp_replace({out}, '{WS}+', ' ', 'g'))"
 
@@ -273,16 +285,21 @@ def txt19(t):
     return t.cases.select("id", F.explode(X.citations("full_text")).alias("citation"))
 
 
-@query("txt20_near_duplicates")
-def txt20(t):
-    lines = t.documents.select("doc_id", X.words_kept(F.split("text", r"\n+")).alias("lines"))
-    return lines.select(
-        "doc_id", F.size("lines").alias("n_lines"),
-        F.size(X.drop_near_duplicates(F.col("lines"), 0.7, "string")).alias("n_kept"),
-    )
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[\s\p{{Z}}]+'), lambda w: w <> ''))"
 
 
-_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[\s\p{{Z}}]+'), lambda w: w <> ''))"
+@query(  # the greedy pass, as a fold over the indices of each list
+    "txt20_near_duplicates",
+    sql=rf"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n+'), lambda x: x <> '') AS s FROM documents),
+      w AS (SELECT doc_id, s, list_transform(s, lambda x: {_TOKENS.format("x")}) AS t FROM l WHERE len(s) > 0),
+      k AS (SELECT doc_id, s, list_reduce(list_transform(generate_series(1, len(s)), lambda i: [i]), lambda acc, x:
+        CASE WHEN len(list_filter(acc, lambda j: len(list_intersect(t[j], t[x[1]]))::DOUBLE / nullif(len(list_distinct(list_concat(t[j], t[x[1]]))), 0) > 0.7)) > 0
+          THEN acc ELSE list_concat(acc, x) END) AS kept FROM w)
+      SELECT doc_id, (i - 1)::INT AS position, s[i] AS line FROM (SELECT doc_id, s, unnest(kept) AS i FROM k)""",
+)
+def txt20(t):
+    lines = t.documents.select("doc_id", F.posexplode(X.words_kept(F.split("text", r"\n+"))).alias("position", "line"))
+    return N.without_near_duplicates(lines, ["doc_id"], 0.7, "position", "line")
 
 
 @query(

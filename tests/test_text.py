@@ -1,7 +1,12 @@
+import random
+import re
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from docketry.functions import patent as P
 from docketry.functions import text as X
+from docketry.operators import near_lists as N
 
 
 def one(spark, value, column):
@@ -50,6 +55,43 @@ def test_html_text(spark):
     assert one(spark, html, X.strip_html) == "A &lt; BC é& D"
 
 
+class _Visible(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.hidden = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden |= tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.hidden &= tag not in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.found.append(data)
+
+
+def visible(html):
+    parser = _Visible()
+    parser.feed(html)
+    parser.close()
+    return re.sub(r"\s+", " ", "".join(parser.found)).strip()
+
+
+def test_page_text_equals_the_standard_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    pages += [
+        '<a title="a>b">link</a>', "&#38;lt; &#x26;gt;", "&#xE9;&eacute;&euro;&hellip; &notit; &notin; &ampx; &unknown; &",
+        "&#0;&#x80;&#129;&#55296;&#99999999999;&# x &#x; &#7;&#65534;&#x1F600;", "<p it's>x</p> a < b & c", '<b a=x="y>z">t',
+        "<script-foo>shown</script-foo><SCRIPT a='>'>x</p></Script >y", "<i a = 'q>r' b>u</i>&copy2026;&AMP;&NotEqualTilde;",
+        "a<br/>b<img src=x/>c<!-- > -->d<!doctype x>e<?php f>g</ >h", "", "<p " + "a='>' " * 20_000 + ">long</p>", "&amp;" * 20_000,
+    ]
+    df = spark.createDataFrame([(h,) for h in pages], "html string").select("html", X.strip_html("html").alias("text"))
+    for row in df.collect():
+        assert row["text"] == visible(row["html"]), row["html"][:200]
+    assert one(spark, None, X.strip_html) is None
+
+
 def test_citation_recency_uses_four_digit_years(spark):
     df = spark.createDataFrame([("in 1998 and 2015", "2010_2020"), ("", "pre_2000")], "t string, p string")
     assert [r["r"] for r in df.select(X.citation_recency("t", "p").alias("r")).collect()] == [0.5, 0.0]
@@ -128,3 +170,31 @@ def test_question_tags(spark):
     assert row["t"] == "general" or row["t"] == "patentability"
     assert row["s"] == ["103"] and row["f"] == "of computer vision" and row["r"] == ["7123456"]
     assert row["c"].startswith("is my invention in the field")
+
+
+def _greedy(lines, limit):
+    kept = []
+    for place, line in enumerate(lines):
+        words = set((line or "").lower().split())
+        if all(not (words | other) or len(words & other) / len(words | other) <= limit for _, other in kept):
+            kept.append((place, words))
+    return [place for place, _ in kept]
+
+
+def test_near_duplicates_of_long_lists(spark):
+    rng = random.Random(5)
+    lists = {k: [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 7))) for _ in range(60)] for k in ("x", "y", None)}
+    # A chain in which each line is like its neighbours only, equal lines, null and blank ones.
+    lists["chain"] = [" ".join(f"w{i + j}" for j in range(10)) for i in range(12)] + [None, " ", "w1", "W1 w1", "w1"]
+    lists["common"] = ["the " * 3 + f"of and {i} {i + 1000}" for i in range(300)] + ["the of and 7 1007"]
+    rows = [(k, i, line, i % 3) for k, lines in lists.items() for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "k string, position int, text string, tokens int")
+    for limit in (0.0, 0.5, 0.7):
+        found = N.without_near_duplicates(df, ["k"], limit)
+        assert found.columns == df.columns
+        got = sorted((r["k"] or "", r["position"]) for r in found.collect())
+        assert got == sorted((k or "", place) for k, lines in lists.items() for place in _greedy(lines, limit)), limit
+    assert N.without_near_duplicates(df.limit(0), ["k"], 0.7).count() == 0
+    # Rare words first: lines that share common words only are never compared.
+    sets = df.where("k = 'common'").select("k", "position", X.word_set(F.col("text")).alias("tokens"))
+    assert N.similar_items(sets, ["k"], 0.7).count() == 1
