@@ -36,10 +36,10 @@ FIGURES = "0123456789$£"  # one symbol of the character model, in words without
 SELF, ALIKE, STRETCHED, LITERAL, PUT_IN = (math.log(p) for p in (0.9, 0.05, 0.03, 0.01, 0.02))
 AS_FIGURE = SELF - math.log(len(FIGURES))  # a figure meant as itself, which is one of several with one symbol
 SYMBOLS = 64
-LONGEST = 64  # a longer word is restored in parts of this length
+SETTLED = 64  # after at least this many characters of a word the part that is decided leaves the memory
+REMEMBERED_LENGTH = 64  # longer words are decoded anew each time
 NGRAM = 5
-# Labelled rows used to fit, and features kept; documented bounds of the model.
-FIT_ROWS, FEATURES = 20_000, 20_000
+FIT_ROWS = 20_000  # labelled rows used to fit, a documented bound of the model
 REMEMBERED = 150_000
 
 FIGURE = len(LETTERS) + 1
@@ -107,6 +107,41 @@ def language_model(counts: list[tuple[int, int]]) -> np.ndarray:
     return np.log((n + 5 * two) / (n.sum(axis=2, keepdims=True) + 5)).astype(np.float32)
 
 
+def chain_links(chain: tuple | None) -> list[tuple]:
+    """The links of a chain, first text first."""
+    links = []
+    while chain is not None:
+        links.append(chain)
+        chain = chain[0]
+    links.reverse()
+    return links
+
+
+def chain_texts(chain: tuple | None) -> list[str]:
+    return [link[1] for link in chain_links(chain)]
+
+
+def settled(columns: dict[int, dict]) -> tuple[list[str], int]:
+    """Take the texts that all open chains begin with off these chains; those texts, and the longest chain left."""
+    entries = [(column, state, score, chain_links(chain)) for column in columns.values() for state, (score, chain) in column.items()]
+    first = entries[0][3]
+    shared = min(len(links) for *_, links in entries)
+    for *_, links in entries[1:]:
+        # Chains are built from one tree, so equal beginnings are the same objects.
+        low = 0
+        while low < shared and links[low] is first[low]:
+            low += 1
+        shared = low
+    if shared:
+        remade: dict[int, tuple] = {}
+        for column, state, score, links in entries:
+            chain = None
+            for link in links[shared:]:  # the tree is kept, as later calls compare links by identity
+                chain = remade.setdefault(id(link), (chain, link[1]))
+            column[state] = (score, chain)
+    return [link[1] for link in first[:shared]], max(len(links) for *_, links in entries) - shared
+
+
 class Restorer:
     """Viterbi decoding of disguised words."""
 
@@ -114,53 +149,64 @@ class Restorer:
         self.model = model.tolist()
 
     def restore(self, word: str) -> str:
-        """The likeliest intended word; parts of at most ``LONGEST`` characters are decoded on their own."""
-        return "".join(self._decode(word[k:k + LONGEST]) for k in range(0, len(word), LONGEST))
+        """The likeliest intended word, whatever its length.
 
-    def _decode(self, word: str) -> str:
+        A state is a pair of symbols; it holds its score and a chain of the texts
+        added so far. From time to time the beginning that all open chains share
+        is put out, so memory grows with the part still open.
+        """
         model, n = self.model, len(word)
-        # At each position: (symbol before, last symbol) -> (score, state before, its position, text added).
-        columns: list[dict] = [{} for _ in range(n + 1)]
-        columns[0][0, 0] = (0.0, None, 0, "")
+        ends = [n] * n  # where the run of equal characters at each place ends
+        for k in range(n - 2, -1, -1):
+            ends[k] = ends[k + 1] if word[k] == word[k + 1] else k + 1
+        # Open places -> (symbol before, last symbol) -> (score, (chain before, text added)).
+        columns: dict[int, dict] = {0: {(0, 0): (0.0, None)}}
+        out: list[str] = []
+        check = SETTLED - 1
         for at in range(n):
+            column = columns.pop(at, None)
+            if column is None:  # inside a run that every path leaves out
+                continue
             seen = word[at]
-            run = 1
-            while at + run < n and word[at + run] == seen:
-                run += 1
-            hidden = [(c, ALIKE) for c in LOOKALIKES.get(seen, "")]
+            run = ends[at] - at
+            hidden = [(c, _NUMBER[c], ALIKE) for c in LOOKALIKES.get(seen, "")]
             if seen in _LETTERS:
-                hidden.append((seen, SELF))
+                hidden.append((seen, _NUMBER[seen], SELF))
             elif seen not in SEPARATORS and seen not in FIGURES and not seen.isspace():
-                hidden.append((seen, LITERAL))  # left as it is
-            steps = [(c, p, at + 1) for c, p in hidden]
-            if run > 1:
-                steps += [(c, p + STRETCHED, at + run) for c, p in hidden]
+                hidden.append((seen, 0, LITERAL))  # left as it is
+            following = columns.setdefault(at + 1, {})
+            steps = [(c, symbol, p, following) for c, symbol, p in hidden]
             if seen in FIGURES:
-                steps.append((seen, AS_FIGURE, at + 1))  # numbers are not stretched
-            if seen in SEPARATORS or seen.isspace():
-                steps += [("", PUT_IN, at + run)]
-            for state, entry in columns[at].items():
-                score, (before, last) = entry[0], state
+                steps.append((seen, FIGURE, AS_FIGURE, following))  # numbers are not stretched
+            left_out = seen in SEPARATORS or seen.isspace()
+            beyond = columns.setdefault(at + run, {}) if run > 1 else following
+            if run > 1:
+                steps += [(c, symbol, p + STRETCHED, beyond) for c, symbol, p in hidden]
+            for state, (score, chain) in column.items():
+                before, last = state
                 row = model[before][last]
-                for text, channel, to in steps:
-                    if text:
-                        symbol = _NUMBER.get(text, 0)
-                        total, target = score + channel + row[symbol], (last, symbol)
-                    else:
-                        total, target = score + channel, state
-                    known = columns[to].get(target)
+                for text, symbol, channel, reached in steps:
+                    total, target = score + channel + row[symbol], (last, symbol)
+                    known = reached.get(target)
                     if known is None or total > known[0]:
-                        columns[to][target] = (total, state, at, text)
-        best, key = None, None
-        for state, entry in columns[n].items():
-            total = entry[0] + model[state[0]][state[1]][0]
+                        reached[target] = (total, (chain, text))
+                if left_out:
+                    known = beyond.get(state)
+                    if known is None or score + PUT_IN > known[0]:
+                        beyond[state] = (score + PUT_IN, chain)
+            if not following:
+                del columns[at + 1]
+            if at >= check:
+                texts, open_links = settled(columns)
+                out += texts
+                check = at + max(SETTLED, open_links)
+        best, chain = None, None
+        for (before, last), (score, ending) in columns[n].items():
+            total = score + model[before][last][0]
             if best is None or total > best:
-                best, key = total, state
-        out, at = [], n
-        while at:
-            _, key, at, text = columns[at][key]
-            out.append(text)
-        return "".join(reversed(out))
+                best, chain = total, ending
+        out += chain_texts(chain)
+        return "".join(out)
 
     def clean(self, word: str) -> str:
         """A lower-case word without edge punctuation, restored unless it can only be read as it stands."""
@@ -234,7 +280,7 @@ class Scorer:
             weight = known.get(word)
             if weight is None:
                 weight = self.weights.of_word(self.restorer.clean(word))
-                if len(word) <= LONGEST:
+                if len(word) <= REMEMBERED_LENGTH:
                     known[word] = weight
             if weight:
                 found.append(weight)
@@ -280,7 +326,8 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, model: np.ndarray, label:
     """Learn weights from labelled texts.
 
     Three quarters of the sample give a log-odds weight to each feature, lowered
-    by two standard errors; the rest fits the curve from strong words to a
+    by two standard errors; every feature clearly above none is kept, so ``rows``
+    alone bounds the model. The rest fits the curve from strong words to a
     probability. Without both labels in the sample every text scores the share
     of label 1, or one half when there is no label at all.
     """
@@ -314,10 +361,9 @@ def fit(df: DataFrame, labels: DataFrame, use: Column, model: np.ndarray, label:
     odds = F.log((F.col("n1") + 0.5) / F.lit(t1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(t0 + 1.0))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     scored = (
-        counted.where("feature <> ''").withColumn("weight", odds - 2 * error).where("weight > 0.5")
-        .orderBy(F.desc("weight"), "feature").limit(FEATURES).select("feature", "weight")
+        counted.where("feature <> ''").withColumn("weight", odds - 2 * error).where("weight > 0.5").select("feature", "weight")
     )
-    weights = Weights({r["feature"]: r["weight"] for r in scored.collect()}, np.array([0.0, 0.0, 0.0, 0.0]))  # FEATURES at most
+    weights = Weights({r["feature"]: r["weight"] for r in scored.collect()}, np.array([0.0, 0.0, 0.0, 0.0]))  # of ``rows`` texts at most
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

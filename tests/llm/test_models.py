@@ -80,6 +80,20 @@ def test_doubled_letters_are_scored(spark):
     assert np.mean([(got[i] >= 0.5) == bool(y) for i, y, _ in labels if i % 5 == 0]) > 0.97
 
 
+def test_long_words_are_read_whole(model, monkeypatch):
+    """A disguised word reads the same wherever it stands, and however often the lattice is settled."""
+    restorer = deobfuscate.Restorer(model)
+    for before in range(55, 75):
+        assert restorer.restore("s" * before + "tup1d").endswith("stupid")
+    rng = random.Random(4)
+    words = ["".join(rng.choice("stupidmoron15$.- é") * rng.choice([1, 1, 2, 70]) for _ in range(80)) for _ in range(20)]
+    usual = [restorer.restore(w) for w in words]
+    for settled_after in (1, 10**9):
+        monkeypatch.setattr(deobfuscate, "SETTLED", settled_after)
+        assert [restorer.restore(w) for w in words] == usual
+    assert restorer.restore("") == ""
+
+
 def test_viterbi_finds_the_best_path(model):
     """Every way to read a short word, scored one by one."""
     restorer = deobfuscate.Restorer(model)
