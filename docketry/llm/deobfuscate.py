@@ -413,7 +413,9 @@ def toxicity(df: DataFrame, labels: DataFrame, use: Column, label: str = "toxic"
     ``use`` says which label rows may be learned from. Null and empty texts get the
     score of a text without strong words. Repeated rows each get a row, equal
     texts equal scores; an id labelled more than once counts as 1 when any label
-    is. Words of any length are read whole. Only the named columns are read.
+    is. Words of any length are read whole. Only the named columns are read, so
+    others may have any name. An empty table gives an empty one; without labelled
+    rows, or with too few to fit the curve, every text scores one half.
     """
     model = character_model(df, text_column)
     return scores(df, model, fit(df, labels, use, model, label, id_column, text_column, rows), id_column, text_column)
@@ -421,9 +423,17 @@ def toxicity(df: DataFrame, labels: DataFrame, use: Column, label: str = "toxic"
 
 def without_toxic(df: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.5, label: str = "toxic",
                   id_column: str = "doc_id", text_column: str = "text", rows: int = FIT_ROWS) -> DataFrame:
-    """The rows whose score is below ``threshold``, with all their columns, in one pass without a shuffle."""
+    """The rows whose score is below ``threshold``, with all their columns, in one pass without a shuffle.
+
+    Null and empty texts have no strong words and are judged by that score; equal
+    rows stay or go together; a null id or other null values change nothing. Without
+    labelled rows, or with too few to fit the curve, nothing is known and all rows stay.
+    An empty table gives an empty one.
+    """
     model = character_model(df, text_column)
     weights = fit(df, labels, use, model, label, id_column, text_column, rows)
+    if not weights.curve.any():
+        return df
     context = df.sparkSession.sparkContext
     table, shared = context.broadcast(model), context.broadcast(weights)
     at = df.columns.index(text_column)

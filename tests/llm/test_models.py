@@ -179,6 +179,7 @@ def test_odd_toxicity(spark):
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
     got = deobfuscate.toxicity(df, nothing, F.lit(True)).collect()
     assert len(got) == len(ODD) and {r["score"] for r in got} == {0.5}
+    assert deobfuscate.without_toxic(df, nothing, F.lit(True)).count() == len(ODD)  # nothing learned, nothing rejected
     one = spark.createDataFrame([(i, 0) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     assert all(r["score"] < 0.5 for r in deobfuscate.toxicity(df, one, F.lit(True)).collect())
     assert len(deobfuscate.without_toxic(df, one, F.lit(True)).collect()) == len(ODD)
