@@ -20,7 +20,9 @@ def similar_items(items: DataFrame, keys: Sequence[str], threshold: float) -> Da
     many as the threshold leaves open, and differ little in size. Only items that
     share such a token are compared, so common words pair nothing.
     """
-    tokens = items.select(*keys, "position", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    # Words travel as hashes; the sets themselves decide in the end.
+    hashed = F.transform("tokens", lambda t: F.xxhash64(t))
+    tokens = items.select(*keys, "position", F.size("tokens").alias("n"), F.explode(hashed).alias("token"))
     counts = tokens.groupBy(*keys, "token").agg(F.count("*").alias("_items"))
     # A token of one item pairs nothing, but it takes a place among the rarest.
     order = Window.partitionBy(*keys, "position").orderBy("_items", "token")
@@ -71,9 +73,9 @@ def without_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: fl
     """
     if not 0 <= threshold < 1:
         raise ValueError("the threshold lies in [0, 1)")
-    # Null keys join as a value of their own.
-    names = [f"_k{i}" for i in range(len(keys))]
-    keyed = [F.coalesce(F.to_json(F.struct(F.col(k).alias("k"))), F.lit("")).alias(n) for k, n in zip(keys, names)]
+    # In a struct, null keys join as a value of their own.
+    names = ["_list"]
+    keyed = [F.struct(*keys)]
     whole = cut_lineage(items.withColumns({n: c for n, c in zip(names, keyed)}).withColumnRenamed(position, "_position"))
     sets = whole.select(*names, F.col("_position").alias("position"), F.array_sort(word_set(F.coalesce(F.col(text), F.lit("")))).alias("tokens"))
     sets = sets.where(F.size("tokens") > 0)
