@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -21,7 +22,7 @@ from docketry.functions import patent as P
 from docketry.functions import text as X
 from docketry.operators.cleaning import court_level, numeric_features
 from docketry.operators.graph import with_node_metrics
-from docketry.operators import forests
+from docketry.operators import boosting, forests
 from docketry.operators.retrieval import fit_tfidf, nearest, vocabulary
 from docketry.operators.scaling import broadcast_if_small, global_rank
 from docketry.operators.statistics import split_bucket
@@ -396,7 +397,7 @@ class RejectionModel:
 
     columns: list[str]
     scaler: Transformer
-    classifier: Transformer
+    classifier: Transformer | boosting.BoostedTrees
     calibration: Transformer
     held: DataFrame | None = None  # (id, label, score) of every training row, scored outside its fold; not saved
 
@@ -420,7 +421,8 @@ def fit_rejection_model(features: DataFrame, key: str, label: str, columns: Sequ
     """Impute 0, scale, balance, classify and calibrate; also held-out scores per fold.
 
     Balancing runs on training folds only. The out-of-fold scores train the
-    calibration, and the final classifier sees all rows.
+    calibration, and the final classifier sees all rows. Boosted models of all folds
+    and the final one grow together (``boosting``).
     """
     columns = list(columns)
     base = cut_lineage(_scaled(features, columns).select(
@@ -428,26 +430,35 @@ def fit_rejection_model(features: DataFrame, key: str, label: str, columns: Sequ
     scaler = StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True).fit(base)
     ready = cut_lineage(scaler.transform(base).select("id", "label", "_scaled", vector_to_array("_scaled").alias("vector")))
 
+    def balanced(rows: DataFrame) -> DataFrame:
+        return synthetic_minority(rows, "id", "vector", "label").select("vector", "label")
+
     def fit(rows: DataFrame) -> Transformer:
-        balanced = synthetic_minority(rows, "id", "vector", "label")
-        train = cut_lineage(balanced.select(array_to_vector("vector").alias("_scaled"), "label"))
-        if boosted:
-            model = GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=5, seed=SEED)
-        else:
-            model = forest(trees, 10, 4, None)
-        return model.setFeaturesCol("_scaled").fit(train)
-
-    held = None
-    scores = []
+        train = cut_lineage(balanced(rows).select(array_to_vector("vector").alias("_scaled"), "label"))
+        return forest(trees, 10, 4, None).setFeaturesCol("_scaled").fit(train)
+
     folded = ready.withColumn("_fold", fold_of("id", folds))
+    parts = [ready.where(fold_of("id", folds) != i) for i in range(folds)] + [ready]  # the last is the final model's
+    if boosted:
+        # The sets of rows are independent until they meet in one table, so their neighbours are searched side by side.
+        with ThreadPoolExecutor(4) as pool:
+            tables = list(pool.map(lambda p: cut_lineage(balanced(p[1]).withColumn("_set", F.lit(p[0]))), enumerate(parts)))
+        models = boosting.fit_boosted(reduce(DataFrame.unionByName, tables), "_set", folds + 1, "vector", "label", trees, features="_scaled")
+        chance = boosting.together(models[:folds], folded, F.col("_fold"))
+        scored = folded.select("id", "label", "_fold", chance.alias("_score")).withColumn("prediction", (F.col("_score") > 0.5).cast("double"))
+        held, final = cut_lineage(scored), models[-1]
+    else:
+        outside = []
+        for i in range(folds):
+            scored = fit(parts[i]).transform(folded.where(F.col("_fold") == i))
+            outside.append(cut_lineage(scored.select("id", "label", "_fold", "prediction", probability().alias("_score"))))
+        held, final = reduce(DataFrame.unionByName, outside), fit(ready)
+    scores = []
     for i in range(folds):
-        scored = fit(folded.where(F.col("_fold") != i).drop("_fold")).transform(folded.where(F.col("_fold") == i))
-        scored = cut_lineage(scored.select("id", "label", "prediction", probability().alias("_score")))
-        s = binary_scores(scored)
+        s = binary_scores(held.where(F.col("_fold") == i))
         scores.append((i, s["precision"], s["recall"], s["f1"]))
-        held = scored if held is None else held.unionByName(scored)
     calibration = fit_platt(held, "_score", "label")
-    model = RejectionModel(columns, scaler, fit(ready), calibration, held.select("id", "label", F.col("_score").alias("score")))
+    model = RejectionModel(columns, scaler, final, calibration, held.select("id", "label", F.col("_score").alias("score")))
     table = features.sparkSession.createDataFrame(scores, "fold int, precision double, recall double, f1 double")
     return model, table
 
@@ -487,7 +498,7 @@ def scored_questions(questions: DataFrame, model: RejectionModel) -> DataFrame:
 
 # --- saving fitted models ---------------------------------------------------
 
-SAVED = {c.__name__: c for c in (IssueModel, PeriodBlend, RejectionModel)}
+SAVED = {c.__name__: c for c in (IssueModel, PeriodBlend, RejectionModel, boosting.BoostedTrees)}
 
 
 def save_model(spark: SparkSession, model: IssueModel | PeriodBlend | RejectionModel, path: str) -> str:
