@@ -6,6 +6,7 @@ from docketry import lexicons
 from docketry.functions import patent as P
 from docketry.functions import text as X
 from docketry.operators import near_lists as N
+from docketry.operators.gazetteer import name_matches
 from docketry.plans.cleaning import sql_in, sql_list, sql_matches, sql_relevance
 from docketry.plans.registry import query
 
@@ -498,6 +499,18 @@ def txt31(t):
     return found.select("id", F.explode(kinds).alias("k")).select("id", "k.kind", F.explode("k.names").alias("name"))
 
 
+@query(
+    "txt31_name_table",
+    sql=r"""WITH names AS (SELECT DISTINCT lang AS kind, regexp_extract(text, '^[^ \n]+ [^ \n]+ [^ \n]+') AS name FROM documents)
+      SELECT doc_id, kind, name FROM documents JOIN names ON name <> '' AND contains(text, name)""",
+)
+def txt31_names(t):
+    """The first three words of every document as a table of names, looked for in all documents."""
+    opening = F.regexp_extract("text", r"^[^ \n]+ [^ \n]+ [^ \n]+", 0)
+    names = t.documents.select(F.col("lang").alias("kind"), opening.alias("name"))
+    return name_matches(t.documents, "doc_id", "text", names).select("doc_id", "kind", "name")
+
+
 @query(
     "txt32_parties",
     views=("cases",),
