@@ -333,3 +333,16 @@ def test_synthetic_rows_lie_between_nearest_rows(spark, monkeypatch):
         p = points[i]
         near = sorted((k for k in points if k != i), key=lambda k: float(((points[k] - p) ** 2).sum()))[:5]
         assert any(abs(np.linalg.norm(x - p) + np.linalg.norm(x - points[k]) - np.linalg.norm(p - points[k])) < 1e-9 for k in near)
+
+
+def test_pagerank_of_a_graph_with_many_nodes_that_nothing_points_at(spark, monkeypatch):
+    pairs = random_graph(60, 9)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    sizes = []
+    real = G.spread_edges
+    monkeypatch.setattr(G, "spread_edges", lambda e: sizes.append(e.count()) or real(e))
+    got = {r["id"]: r["score"] for r in G.pagerank(df, tolerance=1e-9).collect()}
+    want = dense_rank(pairs)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-8 for n in want)
+    sources, targets = {a for a, _ in pairs}, {b for _, b in pairs}
+    assert sizes == [len({(a, b) for a, b in pairs if a in targets and b in sources})]  # the steps run over inner edges
