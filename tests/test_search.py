@@ -346,3 +346,23 @@ def test_pagerank_of_a_graph_with_many_nodes_that_nothing_points_at(spark, monke
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-8 for n in want)
     sources, targets = {a for a, _ in pairs}, {b for _, b in pairs}
     assert sizes == [len({(a, b) for a, b in pairs if a in targets and b in sources})]  # the steps run over inner edges
+
+
+def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    monkeypatch.setattr(R, "ROW_BLOCK", 50)  # three groups
+    cells, centres = R.build_cells(rows, 12)
+    asked, placed = R.probed(rows, cells.select("id", "vector", "cell"), centres, 8)
+    sent = asked.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("space").alias("s"), F.sum(F.size("cells")).alias("c")).collect()
+    assert all(r["n"] == r["s"] <= 3 and r["c"] == 8 for r in sent)
+    assert placed.count() == 120
+    cell = {r["id"]: r["cell"] for r in cells.collect()}
+    got = {}
+    for r in R.nearest_within(asked, placed, 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    for q in range(120):
+        near = set(np.argsort(((centres - x[q]) ** 2).sum(axis=1), kind="stable")[:8].tolist())
+        order = sorted((((x[i] - x[q]) ** 2).sum(), i) for i in range(120) if cell[i] in near)
+        assert got[q] == {i for _, i in order[:5]}
