@@ -366,3 +366,14 @@ def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
         near = set(np.argsort(((centres - x[q]) ** 2).sum(axis=1), kind="stable")[:8].tolist())
         order = sorted((((x[i] - x[q]) ** 2).sum(), i) for i in range(120) if cell[i] in near)
         assert got[q] == {i for _, i in order[:5]}
+
+
+def test_balancing_compares_points_of_near_cells_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, size=(400, 1)) * 100.0 + rng.random((400, 3))
+    data = [(i, v.tolist(), 1.0) for i, v in enumerate(x)] + [(1000 + i, [0.0] * 3, 0.0) for i in range(500)]
+    met, real = [], PR.searched
+    monkeypatch.setattr(PR, "searched", lambda *a: met.append(real(*a)) or met[0])
+    made = L.synthetic_minority(spark.createDataFrame(data, "id long, vector array<double>, label double")).where("synthetic")
+    assert made.count() == 100
+    assert met[0][1].agg(F.sum(F.col("queries") * F.col("rows"))).first()[0] < 400 * 400 / 3
