@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import centrality as Z
+from docketry.operators import scaling
 from docketry.operators import graph as G
 from docketry.operators import learn as L
 from docketry.operators import pruned as PR
@@ -121,6 +122,30 @@ def test_betweenness_of_a_random_graph(spark, monkeypatch, way):
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
 
 
+def test_inner_edges_are_sent_by_their_number(spark, monkeypatch):
+    def no_joins(*_):
+        raise AssertionError("searched by joins")
+
+    monkeypatch.setattr(scaling, "BROADCAST_BYTES", 100)  # the size as text does not matter
+    monkeypatch.setattr(Z, "_by_joins", no_joins)
+    pairs = random_graph(40, 9)
+    got = {r["id"]: r["betweenness"] for r in Z.betweenness(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    want = brute_betweenness(pairs)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_searches_leave_no_trace():
+    rng = np.random.default_rng(3)
+    starts, targets = Z.compressed(rng.integers(0, 30, 90), rng.integers(0, 30, 90), 30)
+    state = Z.Searches(starts, targets, 2)
+    search = (np.array([-1, 4]), np.array([2, 1]), np.array([0, 1, 7]), np.array([3.0, 1.0]))
+    state.run(*search)
+    once = state.total.copy()
+    state.run(*search)
+    assert once.any() and np.allclose(state.total, 2 * once)
+    assert state.unseen.all() and not state.lean.any()
+
+
 def test_sampled_betweenness_is_within_the_stated_error(spark):
     pairs = random_graph(300, 8)
     want = brute_betweenness(pairs)
