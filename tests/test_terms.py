@@ -1,4 +1,5 @@
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -35,6 +36,26 @@ def test_common_terms_equal_brute_force(spark, lists, ngrams, least, most):
     assert totals == sorted((c[0] for c in want.values()), reverse=True)[:40]
 
 
+def test_rare_terms_are_not_told_apart(spark, lists, monkeypatch):
+    """Only terms of full buckets leave the tasks by themselves; the floor is lowered where it was too high."""
+    marked = []
+
+    def bound(fn, **given):
+        if "wanted" in given:
+            marked.append(int(np.unpackbits(given["wanted"]).sum()))
+        return partial(fn, **given)
+
+    monkeypatch.setattr(R, "partial", bound)
+    df = spark.createDataFrame([(r,) for r in lists], "words array<string>").repartition(3)
+    want = counted(lists, 3)
+    for size, most in ((5, None), (5, 0.05)):  # with the second, all terms of the first buckets are too frequent
+        marked.clear()
+        _, got = R.common_terms(df, "words", size, 3, 1.0, most)
+        totals = sorted((c[0] for c in want.values() if most is None or c[1] <= most * len(lists)), reverse=True)[:size]
+        assert [want[t][0] for t, _ in got] == totals and marked[0] < len(want) / 10
+        assert len(marked) == 1 if most is None else len(marked) > 1 and marked == sorted(marked)
+
+
 def test_terms_at_the_cut_do_not_depend_on_partitions(spark, lists):
     df = spark.createDataFrame([(" ".join(r) + " zz",) for r in lists], "text string")
     found = [R.vocabulary(R.fit_tfidf(df.repartition(k), "text", "v", 60, 3)) for k in (1, 3, 7)]
