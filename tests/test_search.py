@@ -258,6 +258,23 @@ def test_encoder_vectors_have_unit_length(spark):
     assert all(abs(np.linalg.norm(r["vector"]) - 1) < 1e-6 for r in out)
 
 
+def test_encoder_gets_texts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "ENCODED_BYTES", 100)
+    monkeypatch.setattr(R, "ENCODED_ROWS", 8)
+    rows = [(i, None if i % 9 == 4 else "ab" * (i % 37)) for i in range(300)] + [(300, "é" * 400)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+
+    def size(texts):  # all rows of a call learn what it was given
+        return np.array([[len(texts), sum(len(t.encode()) for t in texts), 1.0] for _ in texts])
+
+    out = R.encoded(df, "text", size).orderBy("id").collect()
+    assert [(r["id"], r["text"]) for r in out] == rows
+    for r in out:
+        texts, held = (round(v / r["vector"][2]) for v in r["vector"][:2])
+        assert texts <= 8 and (held <= 100 or texts == 1)
+    assert R.encoded(df.limit(0), "text", size).count() == 0
+
+
 TEXTS = [
     "The court finds that the software patent claims are invalid under the statute. See 567 U.S. 101. Alpha beta gamma delta.",
     "The court finds that the software patent claims are invalid under the statute. See 567 U.S. 101. Alpha beta gamma delta!",
