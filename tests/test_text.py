@@ -143,6 +143,20 @@ def test_insights_and_points(spark):
         ("holding", "the claims are invalid today"), ("reasoning", "so because the record is thin enough")]  # "as" inside "was"
 
 
+def test_points_are_split_once(spark):
+    kinds, words = ("holding", "reasoning"), ("alpha beta gamma", "beta gamma delta", "omega", "alpha omega beta beta", "")
+    lists = [[(kinds[i % 2], words[(i * j + i) % 5]) for i in range(j)] for j in range(7)]
+    rows = [(i, lists[i], b) for i in range(7) for b in lists]
+    point = "array<struct<type:string,text:string>>"
+    df = spark.createDataFrame(rows, f"i int, a {point}, b {point}").select("a", "b", X.point_similarity("a", "b").alias("s"))
+    for r in df.collect():
+        sets = [[(p["type"], set(p["text"].split())) for p in r[c]] for c in ("a", "b")]
+        want = max((len(x & y) / len(x | y) if x | y else 0.0 for t, x in sets[0] for u, y in sets[1] if t == u), default=0.0)
+        assert r["s"] == want
+    pairs = df._jdf.queryExecution().optimizedPlan().toString().split("array_intersect(")[1:]
+    assert pairs and all("split(" not in p.split("try_divide")[0].split("array_distinct")[0] and not p.startswith("array_distinct") for p in pairs)
+
+
 def test_period_boundaries(spark):
     cases = {"1999-12-31": "pre_2000", "2000-01-01": "2000_2010", "2009-12-31": "2000_2010", "2010-01-01": "2010_2020",
              "2020-01-01": "post_2020", "": "2010_2020", None: "2010_2020", "soon": "2010_2020"}
