@@ -207,6 +207,14 @@ def test_pruned_search_equals_the_whole_search(spark, make):
         assert pairs < 0.1 * len(m) ** 2
 
 
+def test_queries_of_many_cells_meet_rows_in_blocks(spark):
+    m = np.random.default_rng(2).normal(size=(600, 32))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(600)], "id long, vector array<double>").repartition(4)
+    found, met = PR.searched(df, df, 5)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in R.nearest(df, df, 5).collect())
+    assert met.selectExpr("sum(queries)").first()[0] < 4 * 600
+
+
 def test_pruned_search_of_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0])], "id long, vector array<double>")
     got = {(r["query_id"], r["id"]): r["distance"] for r in PR.pruned_nearest(df, df, 10).collect()}
