@@ -1,9 +1,20 @@
-"""Ordered near-duplicate removal in lists of any length, one row per item."""
+"""Ordered near-duplicate removal in lists of any length.
+
+Lists that lie in a row each and are short are judged where they lie; all others travel
+with one row per item.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+import sys
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +22,13 @@ from docketry.functions.text import token_jaccard, word_set
 from docketry.operators.scaling import broadcast_if_small
 from docketry.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
+
+# Items and characters of a list that is judged within its row; longer ones are told apart item by item.
+ROW_ITEMS, ROW_CHARS = 1000, 200_000
+# The characters of ``functions.text.SPACE``; those of \p{Z} end at U+3000.
+BLANKS = "".join({*" \t\n\x0b\f\r", *(chr(c) for c in range(0x3001) if unicodedata.category(chr(c))[0] == "Z")})
+
 
 def similar_items(items: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """``(keys, a, b)``: items ``a`` before ``b`` of one list whose token sets overlap by more than ``threshold``.
@@ -86,3 +104,59 @@ def without_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: fl
     worded = F.size(word_set(F.coalesce(F.col(text), F.lit("")))) > 0
     stay = whole.where(worded).join(broadcast_if_small(kept), [*names, "_position"], "left_semi")
     return stay.unionByName(whole.where(~worded)).drop(*names).withColumnRenamed("_position", position).select(*items.columns)
+
+
+def kept_places(items: Sequence[str], threshold: float) -> list[int]:
+    """Places that one greedy pass over a list of lower-case items keeps; see ``without_near_duplicates``.
+
+    An item is compared with the kept ones that share one of the rarest words of both, as in ``similar_items``.
+    """
+    kept, sets, seen = [], [], set()
+    for place, item in enumerate(items):
+        words = frozenset(w for w in re.split(f"[{BLANKS}]+", item) if w)
+        if not words:
+            kept.append(place)
+        elif words not in seen:
+            seen.add(words)
+            sets.append((place, words))
+    counts = Counter(w for _, words in sets for w in words)
+    rank = {w: i for i, w in enumerate(sorted(counts, key=counts.__getitem__))}
+    index = defaultdict(list)
+    for place, words in sets:
+        n = len(words)
+        rare = sorted(words, key=rank.__getitem__)[:n - math.ceil(n * threshold - 1e-9) + 1]
+        rare = [w for w in rare if counts[w] > 1]
+        near = {other for w in rare for other in index[w]}
+        if any(len(words & other) / len(words | other) > threshold for other in near
+               if min(n, len(other)) >= max(n, len(other)) * threshold - 1e-9):
+            continue
+        kept.append(place)
+        for w in rare:
+            index[w].append(words)
+    return sorted(kept)
+
+
+def lists_without_near_duplicates(df: DataFrame, lists: str, threshold: float, position: str = "position", text: str = "text") -> DataFrame:
+    """The other columns, ``position`` (from 0) and ``text`` of the items that are not near duplicates of a kept item before them.
+
+    Each row of ``df`` holds a list in the ``array<string>`` column ``lists``, and is a list of its own.
+    Lists of at most ``ROW_ITEMS`` items and ``ROW_CHARS`` characters stay in their row and cause no
+    shuffle; longer ones go through ``without_near_duplicates``, with the same result.
+    """
+    if not 0 <= threshold < 1:
+        raise ValueError("the threshold lies in [0, 1)")
+    others = [c for c in df.columns if c != lists]
+
+    @F.arrow_udf("array<int>")
+    def places(column: pa.Array) -> pa.Array:
+        return pa.array([None if items is None else kept_places(items, threshold) for items in column.to_pylist()], pa.list_(pa.int32()))
+
+    short = (F.size(lists) <= ROW_ITEMS) & (F.length(F.array_join(lists, "")) <= ROW_CHARS)
+    kept = places(F.transform(lists, lambda x: F.lower(F.coalesce(x, F.lit("")))))
+    item = lambda p: F.struct(p.alias(position), F.get(F.col(lists), p).alias(text))
+    out = df.where(short).withColumn("_kept", kept).select(*others, F.inline(F.transform("_kept", item)).alias(position, text))
+    long = cut_lineage(df.where(~short))
+    if long.isEmpty():
+        return out
+    items = long.withColumn("_row", F.monotonically_increasing_id()).select(*others, "_row", F.posexplode(lists).alias(position, text))
+    return out.unionByName(without_near_duplicates(items, ["_row"], threshold, position, text).drop("_row"))

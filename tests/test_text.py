@@ -212,3 +212,30 @@ def test_near_duplicates_of_long_lists(spark):
     # Rare words first: lines that share common words only are never compared.
     sets = df.where("k = 'common'").select("k", "position", X.word_set(F.col("text")).alias("tokens"))
     assert N.similar_items(sets, ["k"], 0.7).count() == 1
+
+
+def test_near_duplicates_of_lists_in_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    lists = [[" ".join(rng.choices("abcdefGH", k=rng.randint(0, 7))) for _ in range(40)] for _ in range(6)]
+    lists += [[], None, [None, " ", "w1", "W1\u00a0w1", "w1\u2003w2"], [" ".join(f"w{i + j}" for j in range(10)) for i in range(12)]]
+    df = spark.createDataFrame([(i // 2, v) for i, v in enumerate(lists)], "k int, v array<string>").repartition(2)  # equal keys are lists apart
+    for limit in (0.0, 0.5, 0.7, 0.95):
+        want = sorted((i // 2, p, v[p] or "") for i, v in enumerate(lists) if v for p in _greedy(v, limit))
+        with monkeypatch.context() as m:
+            m.setattr(N, "without_near_duplicates", lambda *_: 1 / 0)  # short lists stay in their row
+            got = N.lists_without_near_duplicates(df, "v", limit)
+            assert got.columns == ["k", "position", "text"]
+            assert sorted((r["k"], r["position"], r["text"] or "") for r in got.collect()) == want, limit
+        for name, value in (("ROW_ITEMS", 20), ("ROW_CHARS", 100)):
+            if limit == 0.7:
+                with monkeypatch.context() as m:
+                    m.setattr(N, name, value)
+                    got = N.lists_without_near_duplicates(df, "v", limit).collect()
+                    assert sorted((r["k"], r["position"], r["text"] or "") for r in got) == want, name
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    chars = [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string")
+    found = {r["c"] for r in rows.where(F.regexp_like("c", F.lit(f"^{X.SPACE}$"))).collect()} | {"\n"}
+    assert found == set(N.BLANKS)
