@@ -28,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no cop
 ROW_ITEMS, ROW_CHARS = 1000, 200_000
 # The characters of ``functions.text.SPACE``; those of \p{Z} end at U+3000.
 BLANKS = "".join({*" \t\n\x0b\f\r", *(chr(c) for c in range(0x3001) if unicodedata.category(chr(c))[0] == "Z")})
+# What ``str.split`` takes for blank and the pattern does not.
+_APART = re.compile("[\x1c-\x1f\x85]")
 
 
 def similar_items(items: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
@@ -106,26 +108,43 @@ def without_near_duplicates(items: DataFrame, keys: Sequence[str], threshold: fl
     return stay.unionByName(whole.where(~worded)).drop(*names).withColumnRenamed("_position", position).select(*items.columns)
 
 
+def words_of(item: str) -> frozenset[str]:
+    """The distinct words of a lower-case item, as ``functions.text.word_set`` finds them."""
+    return frozenset(w for w in re.split(f"[{BLANKS}]+", item) if w) if _APART.search(item) else frozenset(item.split())
+
+
 def kept_places(items: Sequence[str], threshold: float) -> list[int]:
     """Places that one greedy pass over a list of lower-case items keeps; see ``without_near_duplicates``.
 
     An item is compared with the kept ones that share one of the rarest words of both, as in ``similar_items``.
     """
-    kept, sets, seen = [], [], set()
+    first, alone = {}, []
     for place, item in enumerate(items):
-        words = frozenset(w for w in re.split(f"[{BLANKS}]+", item) if w)
-        if not words:
-            kept.append(place)
-        elif words not in seen:
-            seen.add(words)
-            sets.append((place, words))
-    counts = Counter(w for _, words in sets for w in words)
+        words = words_of(item)
+        if words:
+            first.setdefault(words, place)
+        else:
+            alone.append(place)
+    once, shared = set(), set()
+    for words in first:
+        shared |= words & once
+        once |= words
+    # An item that shares fewer words with all others than a near duplicate must is like none of them.
+    sets = []
+    for words, place in first.items():
+        common = words & shared
+        if common and len(common) >= len(words) * threshold - 1e-9:
+            sets.append((place, words, common))
+        else:
+            alone.append(place)
+    counts = Counter(w for _, _, common in sets for w in common)
     rank = {w: i for i, w in enumerate(sorted(counts, key=counts.__getitem__))}
-    index = defaultdict(list)
-    for place, words in sets:
+    index, kept = defaultdict(list), alone
+    for place, words, common in sets:
         n = len(words)
-        rare = sorted(words, key=rank.__getitem__)[:n - math.ceil(n * threshold - 1e-9) + 1]
-        rare = [w for w in rare if counts[w] > 1]
+        # Words of no other item come first and pair nothing.
+        open_places = n - math.ceil(n * threshold - 1e-9) + 1 - (n - len(common))
+        rare = sorted(common, key=rank.__getitem__)[:open_places]
         near = {other for w in rare for other in index[w]}
         if any(len(words & other) / len(words | other) > threshold for other in near
                if min(n, len(other)) >= max(n, len(other)) * threshold - 1e-9):

@@ -239,3 +239,14 @@ def test_blanks_are_those_of_the_pattern(spark):
     rows = spark.createDataFrame([(c,) for c in chars], "c string")
     found = {r["c"] for r in rows.where(F.regexp_like("c", F.lit(f"^{X.SPACE}$"))).collect()} | {"\n"}
     assert found == set(N.BLANKS)
+    for c in chars:
+        assert N.words_of(f"a{c}b") == ({"a", "b"} if c in N.BLANKS else {f"a{c}b"})
+
+
+def test_kept_places_equal_the_greedy_pass():
+    rng = random.Random(11)
+    for _ in range(300):
+        words = "abcdefghijkl"[:rng.randint(3, 12)]
+        items = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 25))]
+        for limit in (0.0, 0.3, 0.5, 0.7, 0.9):
+            assert N.kept_places(items, limit) == _greedy(items, limit)
