@@ -143,8 +143,12 @@ def scanned(docs: DataFrame, scan: int, shards: int, longest: int, sieves) -> Da
     return docs.mapInArrow(run, "lang string, phrase string, mark int, count long")
 
 
-def fresh_slots(reached: DataFrame, sieves) -> DataFrame:
-    """Distinct ``(length, slot)`` of phrases ``(lang, phrase, mark)`` whose slot is not set; at most ``SLOTS`` of each length."""
+def fresh_slots(reached: DataFrame, sieves) -> Iterator[tuple[int, np.ndarray]]:
+    """``(length, slots)`` newly reached by phrases ``(lang, phrase, mark)``, a length at a time.
+
+    Slots meet as bits, so the driver gets ``SLOTS / 8`` bytes of each length at most, in
+    one row for every 32,768 slots, however many phrases reached the threshold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sieves.value
@@ -161,7 +165,13 @@ def fresh_slots(reached: DataFrame, sieves) -> DataFrame:
                     slots.append(slot)
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(slots, pa.int32())], ["length", "slot"])
 
-    return reached.select("lang", "phrase", "mark").mapInArrow(run, "length int, slot int").distinct()
+    found = reached.select("lang", "phrase", "mark").mapInArrow(run, "length int, slot int").withColumn("at", F.col("slot") + 1)
+    bits = found.groupBy("length", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    parts = defaultdict(list)
+    for row in bits.collect():
+        parts[row["length"]].append((row["part"] - 1, row["bits"]))
+    for length, some in sorted(parts.items()):
+        yield length, np.concatenate([np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) + part * 8 * len(b) for part, b in some])
 
 
 def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: int = SHARDS, lang_column: str = "lang",
@@ -170,8 +180,8 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
 
     Gives ``(lang, phrase, length, f)`` with exact counts, and ``(lang, n)``. After
     each scan one table holds the counters of the phrases whose cycle has not
-    ended; the driver sees the distinct sieve slots newly reached, at most
-    ``SLOTS`` of each length whatever the input.
+    ended; the driver sees the sieve slots newly reached as bits, ``SLOTS / 8`` bytes
+    of each length at most whatever the input.
     """
     if longest * shards >= MOST_SCANS or longest >= LENGTHS:
         raise ValueError(f"{longest} lengths over {shards} shards take too many scans")
@@ -199,9 +209,8 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, shards: i
             total = cut_lineage(ended.where(length == 1).groupBy("lang").agg(F.sum("count").alias("n")))
         if scan >= shards - 1:
             done.append(cut_lineage(ended.where(F.col("count") >= least).select("lang", "phrase", length.alias("length"), F.col("count").alias("f"))))
-        rows = fresh_slots(now.where((F.col("count") >= least) & (length < longest)), sent).toPandas()
-        for size, some in rows.groupby("length"):
-            sieves[size - 1][some["slot"].to_numpy()] = scan
+        for size, slots in fresh_slots(now.where((F.col("count") >= least) & (length < longest)), sent):
+            sieves[size - 1][slots] = scan
             last_reached = scan
         sent.destroy()
         state, state_path = now.where(start > scan - shards + 1), path

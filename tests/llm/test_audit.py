@@ -269,3 +269,25 @@ def test_queries_name_the_contract_columns(spark):
         ("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
     assert QUERIES["op11_collocations"](spark, sf).dtypes == [
         ("lang", "string"), ("rank", "bigint"), ("phrase", "string"), ("a", "bigint"), ("l", "bigint"), ("r", "bigint"), ("n", "bigint"), ("score", "bigint")]
+
+
+def test_reached_slots_come_to_the_driver_as_bits(spark):
+    """A row for every 32,768 slots, however many phrases reach the threshold."""
+    from pyspark.sql import functions as F
+
+    sieves = [np.full(collocations.SLOTS, collocations.NEVER, np.int16) for _ in range(2)]
+    words = [f"w{i}" for i in range(20_000)]
+    slots = (collocations.word_hash("en", [w.encode() for w in words]) % np.uint64(collocations.SLOTS)).astype(np.int64)
+    sieves[0][slots[:500]] = 0  # reached before
+    sent = spark.sparkContext.broadcast(sieves)
+    reached = spark.range(20_000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), "id").alias("phrase"), F.lit(1).alias("mark"))
+    reached = reached.union(reached.withColumns({"phrase": F.concat_ws(" ", "phrase", "phrase"), "mark": F.lit(2)}))
+    rows, taken = [], type(reached).collect
+    try:
+        type(reached).collect = lambda df: rows.append(taken(df)) or rows[-1]
+        found = dict(collocations.fresh_slots(reached, sent))
+    finally:
+        type(reached).collect = taken
+    assert len(rows) == 1 and len(rows[0]) <= 2 * collocations.SLOTS // 32_768
+    assert set(found[1].tolist()) == set(slots.tolist()) - set(slots[:500].tolist()) and 19_000 < len(found[2]) <= 20_000
+    assert len(found[1]) == len(set(found[1].tolist()))
