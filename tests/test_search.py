@@ -398,6 +398,20 @@ def test_pagerank_of_a_graph_with_many_nodes_that_nothing_points_at(spark, monke
     assert sizes == [len({(a, b) for a, b in pairs if a in targets and b in sources})]  # the steps run over inner edges
 
 
+def test_steps_of_pagerank_over_arrays_equal_joins(spark, monkeypatch):
+    pairs = random_graph(80, 11)
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    rank = lambda **more: {r["id"]: r["score"] for r in G.pagerank(df, tolerance=1e-10, **more).collect()}
+    joined = []
+    real = G._steps_by_joins
+    monkeypatch.setattr(G, "_steps_by_joins", lambda *a: joined.append(1) or real(*a))
+    here = rank()
+    assert not joined  # a small graph takes no join for each step
+    want, far = dense_rank(pairs), rank(held=10)
+    assert joined and here.keys() == far.keys() == want.keys()
+    assert all(abs(here[n] - want[n]) < 1e-9 and abs(here[n] - far[n]) < 1e-9 for n in want)
+
+
 def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 4))
