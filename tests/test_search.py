@@ -441,3 +441,23 @@ def test_balancing_compares_points_of_near_cells_only(spark, monkeypatch):
     made = L.synthetic_minority(spark.createDataFrame(data, "id long, vector array<double>, label double")).where("synthetic")
     assert made.count() == 100
     assert met[0][1].agg(F.sum(F.col("queries") * F.col("rows"))).first()[0] < 400 * 400 / 3
+
+
+def test_betweenness_numbers_only_the_nodes_it_needs(spark, monkeypatch):
+    """Of nodes that nothing points at only the drawn sources; the drawn ones are the first by hash."""
+    from docketry.operators import centrality as C
+
+    pairs = [(f"leaf{i}", f"n{i % 7}") for i in range(300)] + [(f"n{i}", f"n{(i * 3 + 1) % 7}") for i in range(7)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    sizes, real = [], C.global_rank
+    monkeypatch.setattr(C, "global_rank", lambda d, *a: sizes.append(d.count()) or real(d, *a))
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(df, sources=40).collect()}
+    assert len(got) == 307 and sizes[0] <= 7 + 40
+    ids = spark.createDataFrame([(x,) for x in got], "id string")
+    first = {r["id"] for r in ids.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(40).collect()}
+    assert {r["id"] for r in ids.where(C.drawn(ids, 307, 40, 42)).collect()} == first
+    whole = brute_betweenness(pairs)
+    exact = {r["id"]: r["betweenness"] for r in G.betweenness(df).collect()}
+    assert all(abs(exact[x] - whole[x]) < 1e-9 for x in whole)
+    far = {r["id"]: r["betweenness"] for r in G.betweenness(df, sources=40, sent_edges=0).collect()}
+    assert far.keys() == got.keys() and all(abs(far[x] - got[x]) < 1e-12 for x in got)
