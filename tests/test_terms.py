@@ -2,10 +2,13 @@ from collections import Counter
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from docketry import kernels
 from docketry.operators import retrieval as R
 
 
@@ -75,3 +78,37 @@ def test_sparse_pairs_of_both_kinds_of_vector(spark):
     df = spark.createDataFrame([(1, Vectors.sparse(5, [1, 4], [2.0, 0.0])), (2, Vectors.dense([0.0, 3.0, 0.5]))], ["id", "v"])
     got = {r["id"]: [(e["index"], e["value"]) for e in r["e"]] for r in df.select("id", R.sparse_pairs("v").alias("e")).collect()}
     assert got == {1: [(1, 2.0)], 2: [(1, 3.0), (2, 0.5)]}
+
+
+def test_term_counts_weigh_as_the_vectors(spark, lists):
+    texts = [(i, " ".join(r) + " the zz") for i, r in enumerate(lists)] + [(-1, ""), (-2, "unseen words"), (-3, "Alpha, alpha; ALPHA")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    model = R.fit_tfidf(df.where("id <> -2"), "text", "v", 60, 3, 2.0)
+    assert {len(t.split(" ")) for t in R.vocabulary(model)} == {1, 2, 3}
+    want = {r["id"]: r["x"] for r in R.with_tfidf(model, df).select("id", vector_to_array("v").alias("x")).collect()}
+    got = R.with_term_counts(model, df).select("id", "_e.index", "_e.count").toArrow().combine_chunks()
+    rows = kernels.dense_rows(got["index"].chunk(0), got["count"].chunk(0), R.term_weights(model))
+    assert all(np.abs(rows[i] - want[x]).max() < 1e-14 for i, x in enumerate(got["id"].to_pylist())) and not rows[got["id"].to_pylist().index(-1)].any()
+
+
+def test_runs_of_rows_go_by_words():
+    lists = pa.array([[1] * 10, None, [], [1] * 400, [1] * 30, [1] * 30])
+    sizes = [(len(s), int(s.value_lengths().fill_null(0).to_numpy().sum())) for s in kernels.slices(lists, 60)]
+    assert sizes == [(3, 10), (1, 400), (2, 60)]
+
+
+def test_overlaps_bear_long_names():
+    """Memory goes with the characters of the names, not with the longest one times their number."""
+    lists = pa.array([["x" * 1_000_000, "a"]] + [["a", f"b{i}"] for i in range(9_999)], pa.list_(pa.string()))
+    assert kernels.overlaps(lists[:2], lists)[1, 0] == 1 / 3
+
+
+def test_tables_of_hashes_do_not_stay(spark, lists, monkeypatch):
+    """And the words are read once: the second pass of the tokens names the vocabulary."""
+    gone, made = [], []
+    monkeypatch.setattr(R, "delete_folder", lambda s, p: gone.append(p))
+    real = R.scratch_path
+    monkeypatch.setattr(R, "scratch_path", lambda s, name: made.append(real(s, name)) or made[-1])
+    df = spark.createDataFrame([(r,) for r in lists], "words array<string>")
+    R.common_terms(df, "words", 25, 2)
+    assert gone == made and len(made) == 2

@@ -250,3 +250,25 @@ def test_kept_places_equal_the_greedy_pass():
         items = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 25))]
         for limit in (0.0, 0.3, 0.5, 0.7, 0.9):
             assert N.kept_places(items, limit) == _greedy(items, limit)
+
+
+def test_issue_patterns_are_tried_at_first_letters_only(spark):
+    from docketry import lexicons
+
+    fast = {i: X.any_pattern(ps) for i, ps in lexicons.ISSUE_PATTERNS.items()}
+    assert all(p.startswith("(?=[") for p in fast.values())
+    for odd in ([r"\bfoo|bar"], [r"\b(a|b)?c"], [r"(a|b)"], [r"\b(a|b)x|y"], [r"\b(\d+)"], [r"\b(a)", "b"]):
+        assert X.any_pattern(odd) == "|".join(odd)
+    words = ["infring", "INFRINGES", "İnfringing", "ınvalid", "enſforce", "ſubject matter", "subject  matter", "xinvalid",
+             "invalidé", "a 101.", "1101", "induced\n infringement", "induced infringements", "", " ", "alice test", "(mayo test)", "Kind", "natural phenomenon"]
+    df = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in words for b in words)], "id int, t string")
+    for issue, ps in lexicons.ISSUE_PATTERNS.items():
+        odd = df.where(F.col("t").rlike("(?iU)" + "|".join(ps)) != F.col("t").rlike("(?iU)" + fast[issue]))
+        assert not odd.count() and df.where(F.col("t").rlike("(?iU)" + fast[issue])).count()
+
+
+def test_has_text(spark):
+    texts = [None, "", " \t\n", "  　", " x ", "​", "\x0b\x1c\x85", "."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select((F.length(X.strip_space(F.col("t"))) > 0).alias("a"), X.has_text(F.col("t")).alias("b"), "t").collect():
+        assert r["a"] == r["b"], repr(r["t"])
