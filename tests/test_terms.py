@@ -112,3 +112,22 @@ def test_tables_of_hashes_do_not_stay(spark, lists, monkeypatch):
     df = spark.createDataFrame([(r,) for r in lists], "words array<string>")
     R.common_terms(df, "words", 25, 2)
     assert gone == made and len(made) == 2
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    from docketry.session import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    seen = []
+    real = R.codes_and_words
+    monkeypatch.setattr(R, "_common_terms", lambda lists, *a: seen.append(lists.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]) or (0, []))
+    R.common_terms(spark.range(0, 9000, 1, 1).select(F.array(F.lit("ab")).alias("words")), "words", 5)
+    assert seen == [1000] and spark.conf.get(name) == before and real
+    with small_batches(spark, 10):
+        with small_batches(spark, 500):
+            assert spark.conf.get(name) == "10"
