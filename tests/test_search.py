@@ -461,3 +461,22 @@ def test_betweenness_numbers_only_the_nodes_it_needs(spark, monkeypatch):
     assert all(abs(exact[x] - whole[x]) < 1e-9 for x in whole)
     far = {r["id"]: r["betweenness"] for r in G.betweenness(df, sources=40, sent_edges=0).collect()}
     assert far.keys() == got.keys() and all(abs(far[x] - got[x]) < 1e-12 for x in got)
+
+
+def test_blocks_of_queries_grow_with_their_number(spark, monkeypatch):
+    """Rows are copied once for each block of queries, so these do not stay small when queries are many."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 3)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(4)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(R, "MOST_QUERIES", 300)
+    seen, real = [], R.block_pairs
+    monkeypatch.setattr(R, "block_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    found = R.nearest(rows, rows, 3).collect()
+    cores = spark.sparkContext.defaultParallelism
+    copies = seen[0].where("is_row = 1").groupBy("id").agg(F.countDistinct("a").alias("n")).agg(F.max("n")).first()[0]
+    assert copies <= -(-900 // (900 // (4 * cores))) < 90 and seen[0].schema["vector"].dataType.simpleString() == "array<float>"
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2)
+    want = {(q, int(i)): d[q, i] for q in range(900) for i in np.lexsort((np.arange(900), d[q]))[:3]}
+    assert {(r["query_id"], r["id"]) for r in found} == want.keys()
+    assert all(r["distance"] == want[r["query_id"], r["id"]] for r in found)
